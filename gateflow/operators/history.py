@@ -83,7 +83,6 @@ def rolling_mean(dense: DataFrame, columns: Sequence[str] = FLOWS) -> DataFrame:
         dense.unionByName(carried)
         .withColumns({f"{c}_roll2": F.when(F.count(c).over(w) == 2, F.avg(c).over(w)).otherwise(F.lit(0.0))
                       for c in columns})
-        .join(dense.select("day").distinct(), "day", "left_semi")
         .filter(F.col("slot") >= 0)
     )
 
