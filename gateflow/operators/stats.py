@@ -55,23 +55,33 @@ def add_group_family(df: DataFrame, source: DataFrame, family: dict[str, Sequenc
     return df
 
 
-def station_tiers(flow: DataFrame, column: str, bounds: Sequence[float], name: str, per_day: str = "max",
+TIERS = {"tier_in": ("inNums", "max", TIER_BOUNDS_IN), "tier_out": ("outNums", "max", TIER_BOUNDS_OUT)}
+TIERS_MEAN_OUT = {**TIERS, "tier_out": ("outNums", "mean", TIER_BOUNDS_OUT)}
+
+
+def station_tiers(flow: DataFrame, tiers: dict[str, tuple[str, str, Sequence[float]]] = TIERS,
                   overrides: dict[int, int] = TIER_OVERRIDES) -> DataFrame:
-    """Tier 0-3 of a station from its mean daily peak (or mean), keyed by station id."""
-    daily = flow.groupBy("stationID", "day").agg(_stat(per_day, F.col(column), 0.5).alias("_daily"))
-    level = daily.groupBy("stationID").agg(F.avg("_daily").alias("_level"))
-    tier = F.lit(0)
-    for i, bound in enumerate(bounds, start=1):
-        tier = F.when(F.col("_level") > bound, F.lit(i)).otherwise(tier)
-    for station, fixed in overrides.items():
-        tier = F.when(F.col("stationID") == station, F.lit(fixed)).otherwise(tier)
-    return level.select("stationID", tier.cast("int").alias(name))
-
-
-def add_station_tiers(df: DataFrame, flow: DataFrame, out_per_day: str = "max") -> DataFrame:
-    tiers_in = station_tiers(flow, "inNums", TIER_BOUNDS_IN, "tier_in")
-    tiers_out = station_tiers(flow, "outNums", TIER_BOUNDS_OUT, "tier_out", out_per_day)
-    return df.join(tiers_in, "stationID", "left").join(tiers_out, "stationID", "left")
+    """Tiers 0-3 of a station, keyed by station id, all of them in one pass.
+
+    ``tiers`` maps an output column to (flow column, statistic per day, bounds); the statistic is
+    averaged over the days before it meets the bounds.
+    """
+    daily = flow.groupBy("stationID", "day").agg(
+        *[_stat(per_day, F.col(c), 0.5).alias(name) for name, (c, per_day, _) in tiers.items()])
+    level = daily.groupBy("stationID").agg(*[F.avg(name).alias(name) for name in tiers])
+    out = {}
+    for name, (_, _, bounds) in tiers.items():
+        tier = F.lit(0)
+        for i, bound in enumerate(bounds, start=1):
+            tier = F.when(F.col(name) > bound, F.lit(i)).otherwise(tier)
+        for station, fixed in overrides.items():
+            tier = F.when(F.col("stationID") == station, F.lit(fixed)).otherwise(tier)
+        out[name] = tier.cast("int")
+    return level.withColumns(out)
+
+
+def add_station_tiers(df: DataFrame, flow: DataFrame, tiers: dict = TIERS) -> DataFrame:
+    return df.join(station_tiers(flow, tiers), "stationID", "left")
 
 
 def night_in(minute: Column) -> Column:

@@ -9,7 +9,7 @@ from gateflow.operators import flow, grid
 from gateflow.plans.naive import naive_forecast as naive_plan
 from gateflow.queries.registry import (CLOSED, DENSE, FIRST_DAY, FLOW, FORECAST_DAY, PREVIOUS_DAY, SWIPE, day_text,
                                        query, with_)
-from gateflow.session import run_folder
+from gateflow.session import materialise, run_folder
 from gateflow.sources import swipes as src
 
 GRAINS = {
@@ -25,9 +25,14 @@ def swipes(spark, sf_dir, **kw):
     return src.read_event_swipes(spark, sf_dir, **kw)
 
 
+def stored_flow(spark, sf_dir):
+    """The flow table, written once: everything after it starts from files instead of raw swipes."""
+    return materialise(flow.slot_flow(swipes(spark, sf_dir)), "flow")
+
+
 def dense_flow(spark, sf_dir, first=FIRST_DAY, last=FORECAST_DAY):
-    sw = swipes(spark, sf_dir)
-    return grid.densify(flow.slot_flow(sw), grid.grid(sw, first, last))
+    rows = stored_flow(spark, sf_dir)
+    return grid.densify(rows, grid.grid(rows, first, last))
 
 
 @query("naive_forecast", with_(SWIPE) + """
@@ -157,8 +162,7 @@ JOIN (SELECT stationID, hour, max(payType) AS payType_max,
       first(payType ORDER BY n DESC, payType) AS payType_mode FROM p GROUP BY ALL) USING (stationID, hour)""".lstrip())
 def top_device_max_and_mode(spark, sf_dir):
     sw = flow.with_grain_fields(swipes(spark, sf_dir))
-    grain = ["stationID", "hour"]
-    return flow.top_values(sw, "deviceID", grain).join(flow.top_values(sw, "payType", grain), grain)
+    return flow.top_values(sw, ["deviceID", "payType"], ["stationID", "hour"])
 
 
 @query("largest_devices", with_(SWIPE) + """

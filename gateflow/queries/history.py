@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gateflow.constants import ANCHOR_CAP_BY_SPAN, TRAILING_WINDOWS_BY_SPAN
 from gateflow.functions import timefields as tf
 from gateflow.operators import flow, grid, history, trailing
-from gateflow.queries.flow import dense_flow, swipes
+from gateflow.queries.flow import dense_flow, stored_flow, swipes
 from gateflow.queries.registry import BUSINESS, DENSE, FIRST_DAY, FLOW, HOLIDAYS, ORIGIN, day_text, query, with_
 
 
@@ -21,7 +21,7 @@ def indexed(df):
 
 def business_flow(spark, sf_dir):
     """Sparse flow of business days with index, weekday, hour and minute."""
-    return tf.add_time_fields(indexed(flow.slot_flow(swipes(spark, sf_dir))))
+    return tf.add_time_fields(indexed(stored_flow(spark, sf_dir)))
 
 
 def day_index():

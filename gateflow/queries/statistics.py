@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gateflow.functions import numeric as num
 from gateflow.functions import timefields as tf
 from gateflow.operators import flow, history, stats
-from gateflow.queries.flow import dense_flow, swipes
+from gateflow.queries.flow import dense_flow, stored_flow, swipes
 from gateflow.queries.registry import DENSE, FIRST_DAY, FLOW, FORECAST_DAY, day_text, query, with_
 
 _FAMILY = {"ID_dh": ["stationID", "weekday", "hour"], "ID_d": ["stationID", "weekday"], "ID": ["stationID"],
@@ -45,7 +45,7 @@ def group_stats(spark, sf_dir):
     "(SELECT * FROM f3 WHERE day < DATE '2024-01-30')", "f3"))
 def baseline_stats(spark, sf_dir):
     """Entries, exits and total flow at weekday-slot, weekday-hour and hour grain."""
-    rows = tf.add_time_fields(flow.slot_flow(swipes(spark, sf_dir))).withColumn(
+    rows = tf.add_time_fields(stored_flow(spark, sf_dir)).withColumn(
         "total", F.col("inNums") + F.col("outNums"))
     known = rows.filter(F.col("day") < F.lit(FORECAST_DAY))
     columns = ("inNums", "outNums", "total")
@@ -71,7 +71,7 @@ FROM flow f LEFT JOIN t USING (stationID, hour) WHERE f.day >= DATE '2024-01-16'
 def feat_stats(spark, sf_dir):
     """All ten statistics of the first half of the month on the rows of the second half."""
     import datetime as dt
-    rows = tf.add_time_fields(flow.slot_flow(swipes(spark, sf_dir)))
+    rows = tf.add_time_fields(stored_flow(spark, sf_dir))
     cut = F.lit(dt.date(2024, 1, 16))
     out = stats.add_stats(rows.filter(F.col("day") >= cut), rows.filter(F.col("day") < cut),
                           ["stationID", "hour"], "inNums", _TEN, q=0.25)
@@ -94,10 +94,9 @@ SELECT stationID,
 FROM i JOIN o USING (stationID) JOIN a USING (stationID)""".lstrip())
 def station_tiers(spark, sf_dir):
     """Tiers with bounds that fit the small counts of the driver tables."""
-    rows = flow.slot_flow(swipes(spark, sf_dir))
-    return (stats.station_tiers(rows, "inNums", (1.5, 1.7, 2.0), "tier_in")
-            .join(stats.station_tiers(rows, "outNums", (1.9, 2.0, 2.2), "tier_out"), "stationID")
-            .join(stats.station_tiers(rows, "outNums", (0.6, 0.65, 0.7), "tier_mean_out", per_day="mean"), "stationID"))
+    return stats.station_tiers(flow.slot_flow(swipes(spark, sf_dir)), {
+        "tier_in": ("inNums", "max", (1.5, 1.7, 2.0)), "tier_out": ("outNums", "max", (1.9, 2.0, 2.2)),
+        "tier_mean_out": ("outNums", "mean", (0.6, 0.65, 0.7))})
 
 
 @query("night_profile", with_(FLOW) + """
@@ -127,9 +126,10 @@ def history_mean_transfer(spark, sf_dir):
     from gateflow.operators import grid
     sw = flow.with_grain_fields(swipes(spark, sf_dir))
     past = sw.filter(F.col("day") < F.lit(FORECAST_DAY))
-    rows = flow.add_distinct_counts(tf.add_time_fields(flow.slot_flow(past)), past, "deviceID",
-                                    {"devices": ["stationID", "weekday", "hour"]})
-    target = tf.add_time_fields(grid.grid(sw, FORECAST_DAY, FORECAST_DAY))
+    everything = stored_flow(spark, sf_dir)
+    known = tf.add_time_fields(everything.filter(F.col("day") < F.lit(FORECAST_DAY)))
+    rows = flow.add_distinct_counts(known, past, "deviceID", {"devices": ["stationID", "weekday", "hour"]})
+    target = tf.add_time_fields(grid.grid(everything, FORECAST_DAY, FORECAST_DAY))
     out = stats.transfer_means(target, rows, {
         "devices_s": ("devices", ["stationID"]), "devices_s_h": ("devices", ["stationID", "hour"]),
         "in_s_h": ("inNums", ["stationID", "hour"]), "devices_s_w_h": ("devices", ["stationID", "weekday", "hour"])})
@@ -162,7 +162,7 @@ SELECT stationID, strftime(flow.day, '%Y-%m-%d') AS day, slot,
 FROM flow, b""".lstrip())
 def equal_width_bins(spark, sf_dir):
     """Codes over the global range; the bounds are scalar subqueries, not a joined table."""
-    rows = flow.slot_flow(swipes(spark, sf_dir)).withColumn("hourMinute", F.col("slot") * 10)
+    rows = stored_flow(spark, sf_dir).withColumn("hourMinute", F.col("slot") * 10)
 
     def bound(fn, c):
         return rows.agg(fn(c)).scalar()

@@ -51,6 +51,17 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back.
+
+    Used for the flow table above all: raw swipes are scanned once, and the plans on top start from
+    columnar files with known sizes that survive the loss of executors.
+    """
+    folder = run_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files that outlive any executor."""
     shared_folder(df.sparkSession)
