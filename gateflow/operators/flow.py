@@ -150,9 +150,8 @@ def device_load(swipes: DataFrame, keys: Sequence[str] = ("stationID", "day", "h
     """Spread of entries and exits over the devices of a group."""
     per_device = swipes.groupBy(*keys, "deviceID").agg(entries().alias("_in"), exits().alias("_out"))
     return per_device.groupBy(*keys).agg(*[
-        fn(source).alias(f"{prefix}DID_h_{name}")
-        for prefix, source in (("in", "_in"), ("out", "_out"))
-        for name, fn in (("max", F.max), ("min", F.min), ("mean", F.avg))
+        F.expr(f"{fn}(_{side}) AS {side}DID_h_{name}")
+        for side in ("in", "out") for name, fn in (("max", "max"), ("min", "min"), ("mean", "avg"))
     ])
 
 

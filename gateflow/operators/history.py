@@ -11,14 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Wide tables are written as SQL expressions: one parsed text per column instead of a chain of calls.
+
 FLOWS = ("inNums", "outNums")
 
 
 def business_day_lags(dense: DataFrame, columns: Sequence[str] = FLOWS, lags: Sequence[int] = (1, 2, 3),
                       index: str = "businessIndex") -> DataFrame:
     """Value of the same slot 1, 2, 3 business days earlier, on a dense grid of business days."""
-    w = Window.partitionBy("stationID", "slot").orderBy(index)
-    return dense.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for k in lags for c in columns})
+    w = f"(PARTITION BY stationID, slot ORDER BY {index})"
+    return dense.withColumns({f"{c}_lag_{k}": F.expr(f"lag(`{c}`, {k}) OVER {w}") for k in lags for c in columns})
 
 
 def previous_day(rows: DataFrame, columns: Sequence[str] = FLOWS, index: str = "dayIndex",
@@ -29,25 +31,20 @@ def previous_day(rows: DataFrame, columns: Sequence[str] = FLOWS, index: str = "
     A lag that is kept only when the indices are adjacent gives the self-join's result with one
     shuffle instead of two. ``first_from_itself`` repeats the first day as its own predecessor.
     """
-    w = Window.partitionBy(*keys).orderBy(index)
-    adjacent = F.lag(index).over(w) == F.col(index) - 1
-    out = {}
-    for c in columns:
-        value = F.when(adjacent, F.lag(c).over(w))
-        if first_from_itself:
-            value = F.when(F.col(index) == 1, F.col(c)).otherwise(value)
-        out[c + suffix] = value
-    return rows.withColumns(out)
+    w = f"(PARTITION BY {', '.join(keys)} ORDER BY {index})"
+    first = "WHEN {index} = 1 THEN `{c}` " if first_from_itself else ""
+    case = "CASE " + first + "WHEN lag({index}) OVER {w} = {index} - 1 THEN lag(`{c}`) OVER {w} END"
+    return rows.withColumns({c + suffix: F.expr(case.format(index=index, c=c, w=w)) for c in columns})
 
 
 def neighbour_slots(dense: DataFrame, columns: Sequence[str] = FLOWS, order: str = "slot",
                     keys: Sequence[str] = ("stationID", "day")) -> DataFrame:
     """Value one slot before and after, within the same station and day."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = f"(PARTITION BY {', '.join(keys)} ORDER BY {order})"
     out = {}
     for c in columns:
-        out[f"{c}_1"] = F.lag(c, 1).over(w)
-        out[f"{c}_-1"] = F.lead(c, 1).over(w)
+        out[f"{c}_1"] = F.expr(f"lag(`{c}`) OVER {w}")
+        out[f"{c}_-1"] = F.expr(f"lead(`{c}`) OVER {w}")
     return dense.withColumns(out)
 
 
@@ -62,12 +59,8 @@ def last_days_wide(dense: DataFrame, label_days: Sequence, k: int = 5, lookback:
     rows = dense.withColumn("labelDay", F.explode(feeding)).withColumn("_gap", F.datediff("labelDay", "day"))
     w = Window.partitionBy("stationID", "slot", "labelDay").orderBy(F.desc("day"))
     ranked = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
-    picks = []
-    for i in range(1, k + 1):
-        at = F.col("_rank") == i
-        picks += [F.max(F.when(at, F.col("inNums"))).alias(f"In{i}"),
-                  F.max(F.when(at, F.col("outNums"))).alias(f"out{i}"),
-                  F.max(F.when(at, F.col("_gap"))).alias(f"gap{i}")]
+    picks = [F.expr(f"max({c}) FILTER (WHERE _rank = {i}) AS {name}{i}") for i in range(1, k + 1)
+             for c, name in (("inNums", "In"), ("outNums", "out"), ("_gap", "gap"))]
     return ranked.groupBy("stationID", "slot", "labelDay").agg(*picks)
 
 
@@ -109,9 +102,8 @@ def expanding_stats(flow: DataFrame, grains: dict[str, Sequence[str]] | None = N
     common = [k for k in next(iter(grains.values())) if all(k in g for g in grains.values())]
     out = flow.repartition(*common)
     for name, grain in grains.items():
-        w = Window.partitionBy(*grain).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        w = f"(PARTITION BY {', '.join(grain)} ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         out = out.withColumns({
-            f"{prefix}_{name}_{stat}": fn(c).over(w)
-            for prefix, c in columns.items()
-            for stat, fn in (("max", F.max), ("min", F.min), ("mean", F.avg))})
+            f"{prefix}_{name}_{stat}": F.expr(f"{fn}({c}) OVER {w}")
+            for prefix, c in columns.items() for stat, fn in (("max", "max"), ("min", "min"), ("mean", "avg"))})
     return out

@@ -70,30 +70,20 @@ def fit(df: DataFrame, features: Sequence[str], label: str, setting: Boosting, c
         stepSize=setting.rate, maxDepth=setting.depth, subsamplingRate=setting.rows, maxBins=bins,
         minInstancesPerNode=setting.min_rows, lossType=setting.loss, seed=setting.seed, checkpointInterval=10, **options)
     assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[*indexers, assembler, tree]).fit(_ready(df, features, categorical))
-
-
-def _ready(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features if c not in categorical})
+    return Pipeline(stages=[*indexers, assembler, tree]).fit(df.na.fill(0, list(features)))
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    """Prediction as column ``name``; the input columns stay as they are."""
-    assembler, indexed = model.stages[-2], model.stages[:-2]
-    inputs = assembler.getInputCols()
-    categorical = [s.getInputCol() for s in indexed]
-    plain = [c for c in inputs if c in df.columns]
-    ready = _ready(df.select("*", *[F.col(c).alias(f"_keep_{c}") for c in plain]), plain, categorical)
-    out = model.transform(ready).drop("features", *[f"{c}_code" for c in categorical])
-    back = {c: F.col(f"_keep_{c}") for c in plain}
-    return out.withColumns(back).drop(*[f"_keep_{c}" for c in plain]).withColumnRenamed("prediction", name)
+    """Prediction as column ``name``; missing features are 0 in the result as well."""
+    inputs = [c for c in model.stages[-2].getInputCols() if c in df.columns]
+    codes = [s.getOutputCol() for s in model.stages[:-2]]
+    return model.transform(df.na.fill(0, inputs)).drop("features", *codes).withColumnRenamed("prediction", name)
 
 
 def best_rounds(model: PipelineModel, valid: DataFrame, setting: Boosting) -> int:
     """Round with the lowest validation loss, searched until ``patience`` rounds bring no gain."""
-    tree, ready = model.stages[-1], valid
-    inputs = [c for c in model.stages[-2].getInputCols() if c in valid.columns]
-    ready = _ready(valid, inputs, [s.getInputCol() for s in model.stages[:-2]])
+    tree = model.stages[-1]
+    ready = valid.na.fill(0, [c for c in model.stages[-2].getInputCols() if c in valid.columns])
     for stage in model.stages[:-1]:
         ready = stage.transform(ready)
     best, at = math.inf, 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,11 +15,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def _missing(df: DataFrame, column: str) -> Column:
-    c = F.col(column)
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+def _missing(df: DataFrame, column: str) -> str:
+    """Condition for NULL or, in floating columns, NaN."""
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return f"`{column}` IS NULL" + (f" OR isnan(`{column}`)" if floating else "")
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -31,12 +30,11 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     columns = list(columns or numeric_columns(df))
     aggs = []
     for c in columns:
-        present = F.when(~_missing(df, c), F.col(c).cast("double"))
-        aggs.append(F.struct(
-            F.lit(c).alias("column"), F.min(present).alias("min"), F.max(present).alias("max"),
-            F.count_if(_missing(df, c)).alias("missing"),
-            F.sum(present - F.when(present < 0, F.ceil(present)).otherwise(F.floor(present))).alias("_fraction"),
-        ).alias(c))
+        missing = _missing(df, c)
+        x = f"CASE WHEN NOT ({missing}) THEN cast(`{c}` AS double) END"
+        aggs.append(F.expr(
+            f"struct('{c}' AS column, min({x}) AS min, max({x}) AS max, count_if({missing}) AS missing, "
+            f"sum({x} - CASE WHEN `{c}` < 0 THEN ceil({x}) ELSE floor({x}) END) AS _fraction) AS `{c}`"))
     low = F.when(F.col("missing") > 0, F.col("min") - 1).otherwise(F.col("min"))
     narrow = F.lit("bigint")
     for name, bound in reversed(_WIDTHS):
@@ -58,7 +56,7 @@ def narrow(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFra
         c = F.col(row["column"])
         if row["missing"]:
             filled.append(row["column"])
-            c = F.when(_missing(df, row["column"]), F.lit(row["min"] - 1)).otherwise(c)
+            c = F.when(F.expr(_missing(df, row["column"])), F.lit(row["min"] - 1)).otherwise(c)
         out[row["column"]] = c.cast(row["type"])
     return df.withColumns(out), filled
 
@@ -105,7 +103,7 @@ def summary(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] =
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Missing values per column, one pass."""
-    counts = df.agg(*[F.struct(F.lit(c).alias("column"), F.count_if(_missing(df, c)).alias("nulls")).alias(c)
+    counts = df.agg(*[F.expr(f"struct('{c}' AS column, count_if({_missing(df, c)}) AS nulls) AS `{c}`")
                       for c in df.columns])
     return counts.select(F.inline(F.array(*[F.col(f"`{c}`") for c in df.columns])))
 

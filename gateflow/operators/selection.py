@@ -21,20 +21,23 @@ def dominant_values(df: DataFrame, columns: Sequence[str] | None = None,
     if share <= 0.55:
         raise ValueError("a dominant value needs a share well above one half")
     columns = list(columns or df.columns)
-    hashed = [F.hash(F.col(c)) for c in columns]
-    candidates = df.agg(*[F.percentile_approx(h, 0.5, 100).alias(c) for h, c in zip(hashed, columns)]).first()
+    middle = df.agg(*[F.expr(f"percentile_approx(hash(`{c}`), 0.5, 100) AS `{c}`") for c in columns]).first()
     aggs = []
-    for h, c in zip(hashed, columns):
-        hit = h == F.lit(candidates[c])
-        aggs.append(F.struct(
-            F.lit(c).alias("column"), (F.count_if(hit) / F.count(F.lit(1))).alias("topShare"),
-            # More than one value behind the same hash: the count would be of both together.
-            (F.coalesce(F.min(F.when(hit, F.col(c))) != F.max(F.when(hit, F.col(c))), F.lit(False))
-             | (F.bool_or(hit & F.col(c).isNull()) & F.bool_or(hit & F.col(c).isNotNull()))).alias("_collision"),
-        ).alias(c))
+    for c in columns:
+        hit = f"hash(`{c}`) = {middle[c]}"
+        # The value itself is counted: rows that only share its hash are told apart by min and max.
+        low, high = (f"{fn}(`{c}`) FILTER (WHERE {hit})" for fn in ("min", "max"))
+        aggs.append(F.expr(
+            f"struct('{c}' AS column, count_if({hit}) AS _hits, count_if({hit} AND `{c}` IS NULL) AS _nulls, "
+            f"count(1) AS _rows, coalesce({low} <> {high}, false) AS _mixed) AS `{c}`"))
     table = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
-    found = table.filter(F.col("topShare") > share)
-    return found.filter(~F.col("_collision")).drop("_collision")
+    mixed = "_mixed OR (_nulls > 0 AND _nulls < _hits)"
+    shared = [r["column"] for r in table.filter(mixed).select("column").collect()] if middle else []
+    found = table.filter(f"NOT ({mixed})").selectExpr("column", "_hits / _rows AS topShare")
+    for c in shared:  # colliding hashes: count the values themselves
+        top = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).agg((F.max("_n") / F.sum("_n")).alias("topShare"))
+        found = found.unionByName(top.select(F.lit(c).alias("column"), "topShare"))
+    return found.filter(F.col("topShare") > share)
 
 
 def drop_quasi_constant(df: DataFrame, columns: Sequence[str] | None = None,
@@ -47,8 +50,8 @@ def drop_quasi_constant(df: DataFrame, columns: Sequence[str] | None = None,
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, all pairs in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("correlation"))
-                   .alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.expr(f"struct('{a}' AS a, '{b}' AS b, corr(`{a}`, `{b}`) AS correlation) AS p{i}")
+                   for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
 
 

@@ -15,18 +15,20 @@ from gateflow.constants import (NIGHT_IN_FROM, NIGHT_IN_UNTIL, NIGHT_OUT_UNTIL,
                                 TIER_OVERRIDES)
 
 
-def _stat(name: str, c: Column, q: float) -> Column:
-    return {
-        "count": lambda: F.count(c), "nunique": lambda: F.count_distinct(c), "mean": lambda: F.avg(c),
-        "std": lambda: F.stddev_samp(c), "median": lambda: F.median(c), "max": lambda: F.max(c),
-        "min": lambda: F.min(c), "sum": lambda: F.sum(c), "var": lambda: F.var_samp(c),
-        "quantile": lambda: F.percentile(c, F.lit(q)),
-    }[name]()
+STATS = {
+    "count": "count({c})", "nunique": "count(DISTINCT {c})", "mean": "avg({c})", "std": "stddev_samp({c})",
+    "median": "median({c})", "max": "max({c})", "min": "min({c})", "sum": "sum({c})", "var": "var_samp({c})",
+    "quantile": "percentile({c}, {q})",
+}
+
+
+def _stat(name: str, column: str, q: float, alias: str) -> Column:
+    return F.expr(STATS[name].format(c=f"`{column}`", q=q)).alias(alias)
 
 
 def group_stats(df: DataFrame, grain: Sequence[str], names: dict[str, tuple[str, str]], q: float = 0.5) -> DataFrame:
     """One aggregation per grain; ``names`` maps an output column to (value column, statistic)."""
-    return df.groupBy(*grain).agg(*[_stat(s, F.col(v), q).alias(out) for out, (v, s) in names.items()])
+    return df.groupBy(*grain).agg(*[_stat(s, v, q, out) for out, (v, s) in names.items()])
 
 
 def feature_name(value: str, grain: Sequence[str], stat: str) -> str:
@@ -67,7 +69,7 @@ def station_tiers(flow: DataFrame, tiers: dict[str, tuple[str, str, Sequence[flo
     averaged over the days before it meets the bounds.
     """
     daily = flow.groupBy("stationID", "day").agg(
-        *[_stat(per_day, F.col(c), 0.5).alias(name) for name, (c, per_day, _) in tiers.items()])
+        *[_stat(per_day, c, 0.5, name) for name, (c, per_day, _) in tiers.items()])
     level = daily.groupBy("stationID").agg(*[F.avg(name).alias(name) for name in tiers])
     out = {}
     for name, (_, _, bounds) in tiers.items():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.constants import ANCHOR_CAP_BY_SPAN, TRAILING_WINDOWS, TRAILING_WINDOWS_BY_SPAN
@@ -17,9 +17,8 @@ GRAINS = {
     "s_w_h_m": ["stationID", "weekday", "hour", "minute"],
 }
 
-STATS: dict[str, Callable[[Column], Column]] = {
-    "mean": F.avg, "std": F.stddev_samp, "median": F.median, "max": F.max, "min": F.min, "var": F.var_samp,
-}
+# Statistic -> SQL function.
+STATS = {"mean": "avg", "std": "stddev_samp", "median": "median", "max": "max", "min": "min", "var": "var_samp"}
 
 # Which statistics each grain carries.
 DEFAULT_SPEC = {"s": list(STATS), "s_h": ["mean"], "s_h_m": ["mean"], "s_w_h": list(STATS),
@@ -42,11 +41,9 @@ def trailing_stats(history: DataFrame, grain: Sequence[str], name: str, windows:
                    stats: Sequence[str], columns: Sequence[str] = ("inNums", "outNums"),
                    index: str = "businessIndex") -> DataFrame:
     """All windows and statistics of one grain in a single aggregation over the expanded history."""
-    aggs = []
-    for n in windows:
-        for c in columns:
-            inside = F.when(F.col(index) >= F.col("anchor") - n, F.col(c))
-            aggs += [F.coalesce(STATS[s](inside), F.lit(0)).alias(f"{c}_{s}_{name}_{n}") for s in stats]
+    aggs = [
+        F.expr(f"coalesce({STATS[s]}(CASE WHEN {index} >= anchor - {n} THEN {c} END), 0) AS {c}_{s}_{name}_{n}")
+        for n in windows for c in columns for s in stats]
     return history.groupBy("anchor", *grain).agg(*aggs)
 
 
@@ -64,9 +61,9 @@ def add_trailing_stats(labels: DataFrame, flow: DataFrame, anchors: Sequence[int
         grain = GRAINS[name]
         table = trailing_stats(history, grain, name, windows, stats, columns, index)
         names = [c for c in table.columns if c not in ("anchor", *grain)]
-        enough = {c: F.col("anchor") - int(c.rsplit("_", 1)[1]) >= first_index for c in names}
-        labels = labels.join(table, ["anchor", *grain], "left").withColumns(
-            {c: F.when(enough[c], F.coalesce(F.col(c), F.lit(0))) for c in names})
+        labels = labels.join(table, ["anchor", *grain], "left").withColumns({
+            c: F.expr(f"CASE WHEN anchor - {c.rsplit('_', 1)[1]} >= {first_index} THEN coalesce({c}, 0) END")
+            for c in names})
     return labels
 
 

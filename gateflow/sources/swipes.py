@@ -67,18 +67,18 @@ def swipes_from_events(events: DataFrame, stations: int = 10, station_from: str
     ``station_from`` picks what a station is: a property of the rider ("user") or of the gate
     ("device"); only the latter lets a rider move between stations.
     """
-    device = F.get_json_object("props", "$.k").cast("int")
-    station = (F.col("user_id") if station_from == "user" else device) % F.lit(stations)
-    return events.select(
-        F.col("event_id"),
-        F.col("ts").alias("time"),
-        F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (station % 3 + 1).cast("int")).alias("lineID"),
-        station.cast("int").alias("stationID"),
-        device.alias("deviceID"),
-        F.col("event_type").isin("view", "click").cast("int").alias("status"),
-        F.col("user_id").cast("string").alias("userID"),
-        (device % 4).cast("int").alias("payType"),
-        F.col("value"),
+    device = "cast(get_json_object(props, '$.k') as int)"
+    station = f"cast({'user_id' if station_from == 'user' else device} % {int(stations)} as int)"
+    return events.selectExpr(
+        "event_id",
+        "ts AS time",
+        f"element_at(array('A', 'B', 'C'), {station} % 3 + 1) AS lineID",
+        f"{station} AS stationID",
+        f"{device} AS deviceID",
+        "cast(event_type IN ('view', 'click') as int) AS status",
+        "cast(user_id as string) AS userID",
+        f"{device} % 4 AS payType",
+        "value",
     )
 
 
