@@ -76,6 +76,11 @@ def errors(df: DataFrame, pairs: dict[str, tuple[str, str]], by: Sequence[str] =
     return df.groupBy(*by).agg(*aggs)
 
 
+def mean_over_folds(scores: DataFrame, by: Sequence[str] = ("label",), column: str = "mae") -> DataFrame:
+    """Cross-validated error: plain mean of the fold errors."""
+    return scores.groupBy(*by).agg(F.avg(column).alias(column))
+
+
 def mean_of_days(dense: DataFrame, before: dt.date, days: int, holidays: Sequence[dt.date] = ()) -> DataFrame:
     """Forecast: mean of the last business days before a date."""
     chosen: list[dt.date] = []

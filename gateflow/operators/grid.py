@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gateflow.constants import PAY_TYPES, SERVICE_START_MINUTE, SLOTS_PER_DAY
@@ -53,10 +53,14 @@ def in_service(df: DataFrame, closed_stations: Sequence[int] = (), start_minute:
 
 
 def grid(stations: DataFrame, first: dt.date, last: dt.date, slots: int = SLOTS_PER_DAY) -> DataFrame:
-    """Every station, day and slot. Each station row generates its own cells, so nothing is crossed."""
+    """Every station, day and slot. Each station row generates its own cells, so nothing is crossed.
+
+    Station days are spread over all cores before they grow into slots.
+    """
     return (
         stations.select("stationID").distinct()
         .select("stationID", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
+        .repartition(stations.sparkSession.sparkContext.defaultParallelism, "stationID", "day")
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     )
 
@@ -79,6 +83,16 @@ def template(stations: DataFrame, day: dt.date) -> DataFrame:
     })
 
 
+def mask_labels(df: DataFrame, day: dt.date, columns: Sequence[str] = ("inNums", "outNums")) -> DataFrame:
+    """Blank the flow of one day, so that nothing can be learned from it."""
+    return df.withColumns({c: F.when(F.col("day") != F.lit(day), F.col(c)) for c in columns})
+
+
+def day_gap(index: str = "businessIndex", anchor: str = "anchor") -> Column:
+    """Signed distance in days to the anchor: negative before it."""
+    return F.col(index) - F.col(anchor)
+
+
 def day_sheet(dense: DataFrame, stations: Sequence[int]) -> DataFrame:
     """Wide sheet: one row per day and slot, in and out columns per listed station."""
     wide = dense.groupBy("day", "slot").pivot("stationID", list(stations)).agg(

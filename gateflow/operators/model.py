@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 from gateflow.session import shared_folder
 
+T = TypeVar("T")
+
 # Published training settings (rate, leaves or depth, rounds, patience, row share).
 PUBLISHED = {
     "total-flow": {"rate": 0.01, "leaves": 65, "rounds": 10000, "patience": 200, "rows": 0.9},
@@ -53,6 +58,13 @@ class Boosting:
                         loss="absolute" if name == "absolute-loss" else "squared")
 
 
+def side_by_side(jobs: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:
+    """Run independent fits at the same time: each is a chain of short Spark jobs that alone would
+    leave most of the cluster idle."""
+    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(j)) for j in jobs]]
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, setting: Boosting, categorical: Sequence[str] = (),
         weight: str | None = None) -> PipelineModel:
     """Assemble the features and fit one model; missing features count as 0."""
@@ -124,9 +136,10 @@ def cross_fit(train: DataFrame, test: DataFrame, features: Sequence[str], label:
     """Out-of-fold predictions of the training rows and fold-averaged predictions of the test rows."""
     name = name or f"{label}_pred"
     train = train.withColumn("fold", fold if fold is not None else fold_of(["stationID", "day", "slot"], k))
+    models = side_by_side([
+        lambda i=i: fit(train.filter(F.col("fold") != i), features, label, setting, **options) for i in range(k)])
     parts, sums = [], test
-    for i in range(k):
-        model = fit(train.filter(F.col("fold") != i), features, label, setting, **options)
+    for i, model in enumerate(models):
         parts.append(predict(model, train.filter(F.col("fold") == i), name))
         sums = predict(model, sums, f"_p{i}")
     mean = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(k)]) / F.lit(k)
@@ -149,7 +162,8 @@ def per_type(train: DataFrame, test: DataFrame, domain: Sequence, column: str,
              fitted: Callable[[DataFrame, DataFrame], DataFrame], keys: Sequence[str],
              predictions: Sequence[str]) -> DataFrame:
     """One model per value of ``column``; the predictions of a key are summed over the values."""
-    parts = [fitted(train.filter(F.col(column) == v), test.filter(F.col(column) == v)) for v in domain]
+    parts = side_by_side([
+        lambda v=v: fitted(train.filter(F.col(column) == v), test.filter(F.col(column) == v)) for v in domain])
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.sum(p).alias(p) for p in predictions])
 
 
@@ -161,14 +175,14 @@ def rolling_splits(business_indices: Sequence[int], next_day: dict[int, int] | N
 def rolling_origin(rows: DataFrame, splits: Sequence[tuple[int, int]], features: Sequence[str], label: str,
                    setting: Boosting, index: str = "businessIndex") -> DataFrame:
     """Errors per fold: stop early on the validation day, refit up to it, test on the following day."""
-    found = []
-    for valid_day, test_day in splits:
+    def one(valid_day: int, test_day: int) -> DataFrame:
         train, valid, test = day_slices(rows, valid_day, test_day, index)
         _, model = fit_refit(train, valid, rows.filter(F.col(index) <= valid_day), features, label, setting)
         scored = predict(model, test, "_pred")
-        found.append(scored.agg(F.avg(F.abs(F.col(label) - F.abs(F.rint("_pred")))).alias("mae")).select(
-            F.lit(label).alias("label"), F.lit(valid_day).alias("validDay"), F.lit(test_day).alias("testDay"), "mae"))
-    return reduce(DataFrame.unionByName, found)
+        return scored.agg(F.avg(F.abs(F.col(label) - F.abs(F.rint("_pred")))).alias("mae")).select(
+            F.lit(label).alias("label"), F.lit(valid_day).alias("validDay"), F.lit(test_day).alias("testDay"), "mae")
+
+    return reduce(DataFrame.unionByName, side_by_side([lambda s=s: one(*s) for s in splits]))
 
 
 def importance(models: Sequence[PipelineModel]) -> DataFrame:

@@ -30,14 +30,17 @@ def dominant_values(df: DataFrame, columns: Sequence[str] | None = None,
         aggs.append(F.expr(
             f"struct('{c}' AS column, count_if({hit}) AS _hits, count_if({hit} AND `{c}` IS NULL) AS _nulls, "
             f"count(1) AS _rows, coalesce({low} <> {high}, false) AS _mixed) AS `{c}`"))
-    table = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
-    mixed = "_mixed OR (_nulls > 0 AND _nulls < _hits)"
-    shared = [r["column"] for r in table.filter(mixed).select("column").collect()] if middle else []
-    found = table.filter(f"NOT ({mixed})").selectExpr("column", "_hits / _rows AS topShare")
-    for c in shared:  # colliding hashes: count the values themselves
-        top = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).agg((F.max("_n") / F.sum("_n")).alias("topShare"))
-        found = found.unionByName(top.select(F.lit(c).alias("column"), "topShare"))
-    return found.filter(F.col("topShare") > share)
+    table = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns]))).collect()
+    shares = {}
+    for r in table:  # one row per column
+        if r["_mixed"] or 0 < r["_nulls"] < r["_hits"]:  # colliding hashes: count the values themselves
+            c = r["column"]
+            counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+            shares[c] = counts.agg(F.max("_n") / F.sum("_n")).first()[0]
+        else:
+            shares[r["column"]] = r["_hits"] / r["_rows"] if r["_rows"] else 0.0
+    found = [(c, s) for c, s in shares.items() if s > share]
+    return df.sparkSession.createDataFrame(found, "column STRING, topShare DOUBLE")
 
 
 def drop_quasi_constant(df: DataFrame, columns: Sequence[str] | None = None,

@@ -42,7 +42,8 @@ def rolling_errors(table: DataFrame, names: Sequence[str], valid_days: Sequence[
                    setting: model.Boosting) -> DataFrame:
     """Errors of both targets per fold; average them for the cross-validated error."""
     splits = model.rolling_splits(valid_days)
-    both = [model.rolling_origin(table, splits, names, label, setting) for label in ("inNums", "outNums")]
+    both = model.side_by_side([
+        lambda c=c: model.rolling_origin(table, splits, names, c, setting) for c in ("inNums", "outNums")])
     return both[0].unionByName(both[1])
 
 

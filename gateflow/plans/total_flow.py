@@ -66,9 +66,11 @@ def train(table: DataFrame, valid_day: dt.date, forecast_day: dt.date, first_day
     names = feature_names(table)
     known = table.filter(F.col("day") != F.lit(first_day))
     fitting, valid, test = model.day_slices(known, valid_day, forecast_day)
-    everything, models = known.filter(F.col("day") < F.lit(forecast_day)), {}
-    for label in ("inNums", "outNums"):
-        models[label] = model.fit_refit(fitting, valid, everything, names, label, setting)
+    everything = known.filter(F.col("day") < F.lit(forecast_day))
+    labels = ("inNums", "outNums")
+    models = dict(zip(labels, model.side_by_side([
+        lambda c=c: model.fit_refit(fitting, valid, everything, names, c, setting) for c in labels])))
+    for label in labels:
         test = model.predict(models[label][1], test, f"{label}_pred")
     return test, models
 

@@ -47,6 +47,34 @@ def rolling_origin_splits(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.sum("inNums").alias("inNums"))
 
 
+@query("fold_errors", with_(DENSE, BUSINESS) + """,
+p AS (SELECT stationID, idx, slot, inNums, lag(inNums) OVER (PARTITION BY stationID, slot ORDER BY idx) AS prev
+      FROM dense JOIN business USING (day)),
+f AS (SELECT (stationID * 31 + idx * 7 + slot) % 5 AS fold, avg(abs(inNums - prev)) AS mae FROM p
+      WHERE prev IS NOT NULL GROUP BY 1)
+SELECT 'inNums' AS label, round(avg(mae), 9) AS mae FROM f""".lstrip())
+def fold_errors(spark, sf_dir):
+    """Error of the previous business day as forecast: per fold first, then averaged over the folds."""
+    from gateflow.operators import forecast, history
+    rows = history.business_day_lags(indexed(dense_flow(spark, sf_dir)), ["inNums"], [1])
+    scores = (rows.filter(F.col("inNums_lag_1").isNotNull()).groupBy(model.arithmetic_fold(5).alias("fold"))
+              .agg(F.avg(F.abs(F.col("inNums") - F.col("inNums_lag_1"))).alias("mae"))
+              .withColumn("label", F.lit("inNums")))
+    return forecast.mean_over_folds(scores).withColumn("mae", F.round("mae", 9))
+
+
+@query("masked_labels", with_(DENSE, BUSINESS) + """
+SELECT stationID, idx AS businessIndex, slot, CAST(idx - 21 AS INTEGER) AS dayGap,
+       CAST(CASE WHEN idx <> 21 THEN inNums END AS DOUBLE) AS inNums,
+       CAST(CASE WHEN idx <> 21 THEN outNums END AS DOUBLE) AS outNums, -1 AS payType
+FROM flow JOIN business USING (day)""")
+def masked_labels(spark, sf_dir):
+    rows = business_flow(spark, sf_dir).withColumns({"anchor": F.lit(21), "payType": F.lit(-1)})
+    rows = grid.mask_labels(rows, FORECAST_DAY).withColumn("dayGap", grid.day_gap())
+    return rows.select("stationID", "businessIndex", "slot", "dayGap", F.col("inNums").cast("double").alias("inNums"),
+                       F.col("outNums").cast("double").alias("outNums"), "payType")
+
+
 @query("day_slices", with_(DENSE) + """
 SELECT part, count(*) AS rows, CAST(sum(inNums) AS BIGINT) AS inNums, CAST(sum(outNums) AS BIGINT) AS outNums FROM (
   SELECT CASE WHEN day < DATE '2024-01-29' THEN 'train' WHEN day = DATE '2024-01-29' THEN 'valid' ELSE 'test' END AS part,
@@ -88,7 +116,7 @@ def gbt_rolling_origin(spark, sf_dir):
     """Errors per fold and target."""
     table, names = rolling_origin.feature_table(swipes(spark, sf_dir), FIRST_DAY, FORECAST_DAY, HOLIDAYS, ORIGIN,
                                                 dt.date(2024, 1, 26))
-    return rolling_origin.rolling_errors(table, names, [19, 20], QUICK)
+    return rolling_origin.rolling_errors(table, names, [19, 20], model.Boosting(rounds=4, rate=0.3, depth=3, patience=2))
 
 
 @query("gbt_anchor_windows")
