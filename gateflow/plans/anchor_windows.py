@@ -34,7 +34,8 @@ def anchor_forecast(rows: DataFrame, cells: DataFrame, spans: Sequence[int], tes
                     spec: dict | None = None, closed: Sequence[int] = ()) -> DataFrame:
     """Blend over the label spans; night slots come from the history of non-zero days."""
     spec = spec or trailing.DEFAULT_SPEC
-    parts = [span_forecast(rows, cells, s, test_index, setting, folds, windows, spec)[0] for s in spans]
+    parts = model.side_by_side([
+        lambda s=s: span_forecast(rows, cells, s, test_index, setting, folds, windows, spec)[0] for s in spans])
     night = stats.night_profile(rows.filter(F.col("businessIndex") < test_index)).select(
         "stationID", "slot", F.col("mean_in").alias("night_in"), F.col("mean_out").alias("night_out"))
     return forecast.submission(grid.template(cells, forecast_day), forecast.blend(parts), night, closed)
