@@ -34,22 +34,31 @@ def station_activity(swipes: DataFrame, pass_type: int = 3) -> DataFrame:
     ).withColumn("activity", F.col("swipes") - (F.col("riders") - F.col("passRiders")))
 
 
-def _chunk(time: Column, minutes: int) -> Column:
-    since = F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")).cast("long") * F.lit(1440)
-    return F.floor((since + F.hour(time) * F.lit(60) + F.minute(time)) / F.lit(minutes)).cast("long")
+def hot_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows: at most 1 / share of them, whatever the data."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > total * share).select(key)
 
 
 def with_next(events: DataFrame, key: str, columns: Sequence[str], order: Sequence[str] = ("time", "event_id"),
-              chunk_minutes: int = 60) -> DataFrame:
+              hot_share: float = 0.001, hot_minutes: int = 1, other_minutes: int = 1440) -> DataFrame:
     """Columns of the same rider's next event as ``next_*``.
 
     A plain window per rider would put a rider with a third of all rows into one task. Here a group
-    is one rider and one hour; the first event of the following non-empty hour is added to each
-    group as a closing row, so the last event of an hour finds its successor as well.
+    is one rider and one stretch of time: a day, or a minute for riders with more than
+    ``hot_share`` of the rows. The first event of the following non-empty stretch is added to each
+    group as a closing row, so the last event of a stretch finds its successor as well.
     """
     first, *_ = order
-    rows = events.select(key, *dict.fromkeys([*order, *columns])).withColumns({
-        "_chunk": _chunk(F.col(first), chunk_minutes), "_closing": F.lit(False)})
+    rows = events.select(key, *dict.fromkeys([*order, *columns])).filter(
+        F.col(key).isNotNull() & F.col(first).isNotNull())
+    # Broadcast: the table has at most 1 / hot_share rows by construction.
+    hot = F.broadcast(hot_keys(rows, key, hot_share).withColumn("_hot", F.lit(True)))
+    minute = F.expr(f"datediff({first}, DATE'1970-01-01') * 1440L + hour({first}) * 60 + minute({first})")
+    width = F.when(F.col("_hot"), F.lit(hot_minutes)).otherwise(F.lit(other_minutes))
+    rows = rows.join(hot, key, "left").withColumns({
+        "_chunk": (minute - F.pmod(minute, width)), "_closing": F.lit(False)}).drop("_hot")
     payload = [c for c in rows.columns if c not in (key, "_chunk", "_closing")]
     opening = rows.groupBy(key, "_chunk").agg(
         F.min_by(F.struct(*payload), F.struct(*order)).alias("_first"))
@@ -64,9 +73,9 @@ def with_next(events: DataFrame, key: str, columns: Sequence[str], order: Sequen
     )
 
 
-def trips(swipes: DataFrame, chunk_minutes: int = 60) -> DataFrame:
+def trips(swipes: DataFrame, **chunks) -> DataFrame:
     """An entry directly followed by the same rider's exit: origin, destination, whole minutes."""
-    paired = with_next(swipes, "userID", ["status", "stationID", "time"], chunk_minutes=chunk_minutes)
+    paired = with_next(swipes, "userID", ["status", "stationID", "time"], **chunks)
     seconds = F.timestamp_diff("SECOND", F.col("time"), F.col("next_time"))
     return paired.filter((F.col("status") == 1) & (F.col("next_status") == 0)).select(
         "userID", F.col("stationID").alias("src"), F.col("next_stationID").alias("dst"),

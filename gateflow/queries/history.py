@@ -149,6 +149,30 @@ def expanding_prev_day(spark, sf_dir):
                                    *[F.coalesce(f"{c}_p", F.lit(0)).alias(f"{c}_p") for c in _EXPANDING_NAMES]))
 
 
+_WIDE = [f"{side}{i}" for i in range(1, 6) for side in ("In", "out")]
+
+
+@query("wide_days_features", with_(DENSE) + """,
+labels AS (SELECT unnest([DATE '2024-01-09', DATE '2024-01-16', DATE '2024-01-23', DATE '2024-01-30']) AS labelDay),
+w AS (SELECT stationID, slot, labelDay,
+""".lstrip() + ",\n".join(
+    f"max(inNums) FILTER (g = {i}) AS In{i}, max(outNums) FILTER (g = {i}) AS out{i}, "
+    f"CAST(max(g) FILTER (g = {i}) AS INTEGER) AS gap{i}" for i in range(1, 6)) + """
+  FROM (SELECT dense.*, labelDay, date_diff('day', dense.day, labelDay) AS g FROM dense, labels)
+  WHERE g BETWEEN 1 AND 5 GROUP BY 1, 2, 3)
+SELECT w.* EXCLUDE (l), """ + ", ".join(f'coalesce(lag({c}) OVER n, -1) AS "{c}_1", coalesce(lead({c}) OVER n, -1) AS "{c}_-1"'
+                            for c in _WIDE) + """,
+       d.inNums AS labelin, d.outNums AS labelout
+FROM (SELECT * REPLACE (strftime(labelDay, '%Y-%m-%d') AS labelDay), labelDay AS l FROM w) w
+JOIN dense d ON d.stationID = w.stationID AND d.slot = w.slot AND d.day = w.l
+WINDOW n AS (PARTITION BY w.stationID, w.l ORDER BY w.slot)""")
+def wide_days_features(spark, sf_dir):
+    """Five days back, their neighbour slots and the label of each label day."""
+    from gateflow.plans import wide_days
+    table = wide_days.feature_table(dense_flow(spark, sf_dir), LABEL_DAYS)
+    return day_text(table.withColumnRenamed("day", "labelDay").na.fill(-1))
+
+
 _SQL_STAT = {"mean": "avg", "std": "stddev_samp", "median": "median", "max": "max", "min": "min", "var": "var_samp"}
 _ROUNDED = ("std", "var")
 
@@ -235,3 +259,62 @@ def _slip_labels(span: int) -> tuple[str, str]:
 def trailing_stats_by_slip(spark, sf_dir):
     """Capped variant with two-day spans: train, train-all, validation and test rows."""
     return _trailing_output(trailing.slip_sets(business_flow(spark, sf_dir), 2, 20, 21), ["part"])
+
+
+_DEVICE = ["dID_of_sID", "dID_of_sID_h", "dID_of_sID_hm"] + [
+    f"{side}DID_h_{s}" for side in ("in", "out") for s in ("max", "min", "mean")]
+_CARRIED = ["inNums", "outNums", *_DEVICE, "inNums_log", "outNums_log", *_EXPANDING_NAMES]
+
+
+@query("total_flow_features", with_(DENSE, f"e AS ({_EXPANDING_SQL.replace('FROM flow', 'FROM past')})").replace(
+    "e AS (SELECT", "past AS (SELECT * FROM flow WHERE day < DATE '2024-01-30'), e AS (SELECT") + """,
+dev AS (SELECT stationID, day, hour, deviceID, sum(status) AS i, count(*) - sum(status) AS o FROM swipe GROUP BY ALL),
+load AS (SELECT stationID, day, hour, max(i) AS inDID_h_max, min(i) AS inDID_h_min, avg(i) AS inDID_h_mean,
+                max(o) AS outDID_h_max, min(o) AS outDID_h_min, avg(o) AS outDID_h_mean FROM dev GROUP BY 1, 2, 3),
+a AS (SELECT stationID, day, count(DISTINCT deviceID) AS dID_of_sID FROM swipe GROUP BY 1, 2),
+b AS (SELECT stationID, day, hour, count(DISTINCT deviceID) AS dID_of_sID_h FROM swipe GROUP BY 1, 2, 3),
+c AS (SELECT stationID, day, slot, count(DISTINCT deviceID) AS dID_of_sID_hm FROM swipe GROUP BY 1, 2, 3),
+full_row AS (
+  SELECT p.*, load.* EXCLUDE (stationID, day, hour), dID_of_sID, dID_of_sID_h, dID_of_sID_hm,
+         CASE WHEN inNums > 0 THEN 1 + log2(inNums) ELSE 0 END AS inNums_log,
+         CASE WHEN outNums > 0 THEN 1 + log2(outNums) ELSE 0 END AS outNums_log, e.* EXCLUDE (stationID, day, slot)
+  FROM past p JOIN load USING (stationID, day, hour) JOIN a USING (stationID, day) JOIN b USING (stationID, day, hour)
+  JOIN c USING (stationID, day, slot) JOIN e USING (stationID, day, slot)),
+target AS (SELECT stationID, day, slot, inNums, outNums FROM past
+           UNION ALL SELECT stationID, day, slot, NULL, NULL FROM cells WHERE day = DATE '2024-01-30')
+SELECT t.stationID, strftime(t.day, '%Y-%m-%d') AS day, t.slot, CAST(isodow(t.day) AS INTEGER) AS week,
+       CASE WHEN isodow(t.day) >= 6 THEN 1 ELSE 0 END AS weekend, CAST(t.slot // 6 AS INTEGER) AS hour,
+       CAST(t.slot % 6 * 10 AS INTEGER) AS minute,
+       CAST(date_diff('day', DATE '2024-01-01', t.day) AS INTEGER) AS daySinceFirst,
+       CAST(t.inNums AS DOUBLE) AS inNums, CAST(t.outNums AS DOUBLE) AS outNums,
+       CAST(f.inNums AS DOUBLE) / nullif(CAST(f.outNums AS DOUBLE), 0) AS ratio_p,
+""" + ", ".join(f"round(CAST(f.{c} AS DOUBLE), 9) AS {c}_p" for c in _CARRIED) + """
+FROM target t LEFT JOIN full_row f
+  ON f.stationID = t.stationID AND f.slot = t.slot AND f.day + INTERVAL 1 DAY = t.day""")
+def total_flow_features(spark, sf_dir):
+    """The whole feature table of the total-flow forecast."""
+    from gateflow.plans import total_flow
+    table = total_flow.feature_table(swipes(spark, sf_dir), FIRST_DAY, dt.date(2024, 1, 30)).drop("dayIndex")
+    rounded = {f"{c}_p": F.expr(f"round(cast({c}_p AS double), 9)") for c in _CARRIED}
+    return day_text(table.withColumns({**rounded, "inNums": F.col("inNums").cast("double"),
+                                       "outNums": F.col("outNums").cast("double")}))
+
+
+@query("lagged_group_stats", with_(DENSE, BUSINESS) + """,
+g AS (SELECT stationID, weekday, hour, max(inNums) AS mx, avg(outNums) AS av FROM dense WHERE day < DATE '2024-01-26'
+      GROUP BY 1, 2, 3)
+SELECT stationID, idx AS businessIndex, slot,
+""".lstrip() + ", ".join(f"CAST(lag(mx, {k}) OVER n AS DOUBLE) AS mx_lag_{k}, lag(av, {k}) OVER n AS av_lag_{k}"
+                         for k in (1, 2, 3)) + """
+FROM dense d JOIN business USING (day) LEFT JOIN g USING (stationID, weekday, hour)
+WINDOW n AS (PARTITION BY stationID, slot ORDER BY idx)""")
+def lagged_group_stats(spark, sf_dir):
+    """Weekday-hour statistics of past days, lagged along the business days like the flow itself."""
+    from gateflow.operators import stats
+    rows = tf.add_time_fields(dense_flow(spark, sf_dir))
+    known = rows.filter(F.col("day") < F.lit(dt.date(2024, 1, 26)))
+    table = stats.group_stats(known, ["stationID", "weekday", "hour"], {"mx": ("inNums", "max"), "av": ("outNums", "mean")})
+    joined = indexed(rows.join(table, ["stationID", "weekday", "hour"], "left"))
+    lagged = history.business_day_lags(joined, ["mx", "av"])
+    return lagged.select("stationID", "businessIndex", "slot", *[
+        F.col(f"{c}_lag_{k}").cast("double").alias(f"{c}_lag_{k}") for k in (1, 2, 3) for c in ("mx", "av")])

@@ -88,8 +88,9 @@ def test_next_event_equals_brute_force_with_a_hot_rider(spark):
         for a, b in zip(own, own[1:] + [None]):
             expected[a[1]] = b and b[2]
     df = events(spark, data)
-    for chunk in (10, 60, 1440):
-        got = riders.with_next(df, "userID", ["stationID"], chunk_minutes=chunk)
+    assert rows(riders.hot_keys(df, "userID", 0.2)) == [("hot",)]
+    for chunks in ({"hot_share": 0.2}, {"hot_share": 0.2, "hot_minutes": 60, "other_minutes": 10}, {"hot_share": 0.0}):
+        got = riders.with_next(df, "userID", ["stationID"], **chunks)
         assert {r.event_id: r.next_stationID for r in got.select("event_id", "next_stationID").collect()} == expected
 
 
