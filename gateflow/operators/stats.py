@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gateflow.constants import (NIGHT_IN_FROM, NIGHT_IN_UNTIL, NIGHT_OUT_UNTIL, TIER_BOUNDS_IN, TIER_BOUNDS_OUT,
                                 TIER_OVERRIDES)
+from gateflow.session import materialise
 
 
 STATS = {
@@ -47,13 +48,31 @@ def add_stats(df: DataFrame, source: DataFrame, grain: Sequence[str], value: str
     return out.na.fill(0, list(names)) if fill else out
 
 
+# How a statistic is put together from partial sums, counts and extremes.
+ROLL_UP = {"max": "max(`{c}_max`)", "min": "min(`{c}_min`)", "sum": "sum(`{c}_sum`)",
+           "mean": "sum(`{c}_sum`) / sum(`{c}_n`)"}
+
+
+def family_partials(source: DataFrame, family: dict[str, Sequence[str]], columns: Sequence[str]) -> DataFrame:
+    """Sum, count, maximum and minimum at the finest key all grains of a family share."""
+    keys = list(dict.fromkeys(k for grain in family.values() for k in grain))
+    return source.groupBy(*keys).agg(*[
+        F.expr(f"{fn}(`{c}`) AS `{c}_{name}`") for c in columns
+        for fn, name in (("sum", "sum"), ("count", "n"), ("max", "max"), ("min", "min"))])
+
+
 def add_group_family(df: DataFrame, source: DataFrame, family: dict[str, Sequence[str]],
                      columns: Sequence[str] = ("inNums", "outNums"),
                      stats: Sequence[str] = ("max", "min", "mean", "sum")) -> DataFrame:
-    """Statistics of several columns at several grains; all columns of a grain in one aggregation."""
+    """Statistics of several columns at several grains, joined to ``df``.
+
+    The source is read once for partial results, which are stored; every grain is rolled up from them.
+    """
+    partials = materialise(family_partials(source, family, columns), "partials")
     for tag, grain in family.items():
-        names = {f"{c}_{tag}_{s}": (c, s) for c in columns for s in stats}
-        df = df.join(group_stats(source, grain, names), list(grain), "left")
+        rolled = partials.groupBy(*grain).agg(*[
+            F.expr(ROLL_UP[s].format(c=c)).alias(f"{c}_{tag}_{s}") for c in columns for s in stats])
+        df = df.join(rolled, list(grain), "left")
     return df
 
 
