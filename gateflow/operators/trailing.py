@@ -57,14 +57,15 @@ def add_trailing_stats(labels: DataFrame, flow: DataFrame, anchors: Sequence[int
     """
     history = to_anchors(flow, anchors, max(windows), index).select(
         "stationID", "weekday", "hour", "minute", index, "anchor", *columns)
+    guarded = {}
     for name, stats in (spec or DEFAULT_SPEC).items():
         grain = GRAINS[name]
         table = trailing_stats(history, grain, name, windows, stats, columns, index)
-        names = [c for c in table.columns if c not in ("anchor", *grain)]
-        labels = labels.join(table, ["anchor", *grain], "left").withColumns({
-            c: F.expr(f"CASE WHEN anchor - {c.rsplit('_', 1)[1]} >= {first_index} THEN coalesce({c}, 0) END")
-            for c in names})
-    return labels
+        labels = labels.join(table, ["anchor", *grain], "left")
+        for n in windows:
+            guarded.update({c: f"CASE WHEN anchor - {n} >= {first_index} THEN coalesce({c}, 0) END"
+                            for c in table.columns if c.endswith(f"_{name}_{n}")})
+    return labels.withColumns({c: F.expr(e) for c, e in guarded.items()})
 
 
 def anchors_before(end: int, span: int, first: int = 2, cap: int | None = None) -> list[int]:

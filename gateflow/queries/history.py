@@ -206,10 +206,9 @@ def _trailing_output(df, extra=()):
     out = []
     for c in df.columns:
         if c not in drop:
-            value = F.col(c).cast("double")
-            rounded = any(f"_{s}_" in c for s in _ROUNDED)
-            out.append((F.round(value, 6) if rounded else value).alias(c))
-    return df.select(*keys, *out)
+            value = f"cast({c} AS double)"
+            out.append(f"round({value}, 6) AS {c}" if any(f"_{s}_" in c for s in _ROUNDED) else f"{value} AS {c}")
+    return df.selectExpr(*keys, *out)
 
 
 _STAT_SPEC = {"s": list(_SQL_STAT), "s_h_m": ["mean"], "s_w_h": list(_SQL_STAT),

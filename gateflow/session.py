@@ -20,6 +20,7 @@ def build_session(app: str = "gateflow", cpus: int | str = "*", shuffle_partitio
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call stack per column expression
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
