@@ -18,6 +18,11 @@ def parse_time(text: Column, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.to_timestamp_ntz(text, F.lit(fmt))
 
 
+def midnight(day: dt.date) -> Column:
+    """Start of a day as a naive time literal, independent of any time zone."""
+    return F.expr(f"TIMESTAMP_NTZ'{day.isoformat()} 00:00:00'")
+
+
 def slot_in_hour(ts: Column, minutes: int = SLOT_MINUTES, offset: int = 0) -> Column:
     """Slot within the hour; ``offset`` minutes shift the phase (the last one may be 6)."""
     return F.floor((F.minute(ts) + F.lit(offset)) / F.lit(minutes)).cast("int")

@@ -7,16 +7,15 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.functions.timefields import rebase
+from gateflow.functions.timefields import midnight, rebase
 from gateflow.operators.flow import slot_flow
 from gateflow.operators.grid import KEY, template
 
 
 def naive_forecast(swipes: DataFrame, source_day: dt.date, forecast_day: dt.date) -> DataFrame:
     """The day filter sits on the event time itself, so it reaches the scan."""
-    start = dt.datetime.combine(source_day, dt.time())
-    one_day = swipes.filter((F.col("time") >= F.lit(start).cast("timestamp_ntz"))
-                            & (F.col("time") < F.lit(start + dt.timedelta(days=1)).cast("timestamp_ntz")))
+    one_day = swipes.filter((F.col("time") >= midnight(source_day))
+                            & (F.col("time") < midnight(source_day + dt.timedelta(days=1))))
     moved = one_day.withColumn("time", rebase(F.col("time"), (forecast_day - source_day).days))
     return (
         template(swipes, forecast_day).join(slot_flow(moved), KEY, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gateflow.constants import PAY_TYPES
 from gateflow.functions.numeric import log_feature, ratio
-from gateflow.functions.timefields import add_time_fields, days_since_first, weekday, weekend_flag
+from gateflow.functions.timefields import add_time_fields, days_since_first, midnight, weekday, weekend_flag
 from gateflow.operators import flow, forecast, grid, history, model, network
 from gateflow.session import materialise
 
@@ -33,8 +33,7 @@ def feature_table(swipes: DataFrame, first_day: dt.date, forecast_day: dt.date,
                   stations: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
     """Label rows with the whole feature row of the day before; nothing of a row's own day is used."""
     extra = ["payType"] if by_type else []
-    start = F.lit(dt.datetime.combine(forecast_day, dt.time())).cast("timestamp_ntz")
-    past = swipes.filter(F.col("time") < start)
+    past = swipes.filter(F.col("time") < midnight(forecast_day))
     rows = history.expanding_stats(base_features(past, extra), _grains(extra))
     carried = [c for c in rows.columns if c not in (*KEYS, *extra, "weekday", "hour", "minute")]
     cells = grid.grid(past, forecast_day, forecast_day)
