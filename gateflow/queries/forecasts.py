@@ -52,20 +52,20 @@ def profile_forecast(dense):
 
 
 @query("profile_scaling", with_(DENSE, PROFILE) + """
-SELECT stationID, slot, round(inNums, 6) AS inNums, round(outNums, 6) AS outNums FROM prof""")
+SELECT stationID, slot, round(inNums, 9) AS inNums, round(outNums, 9) AS outNums FROM prof""")
 def profile_scaling(spark, sf_dir):
     out = profile_forecast(dense_flow(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 6) for c in ("inNums", "outNums")})
+    return out.withColumns({c: F.round(c, 9) for c in ("inNums", "outNums")})
 
 
 @query("weighted_blend", with_(TWO, PROFILE) + """
-SELECT stationID, slot, round(0.5::DOUBLE * f1.inNums + 0.3::DOUBLE * f2.inNums + 0.2::DOUBLE * p.inNums, 6) AS inNums,
-       round(0.5::DOUBLE * f1.outNums + 0.3::DOUBLE * f2.outNums + 0.2::DOUBLE * p.outNums, 6) AS outNums
+SELECT stationID, slot, round(0.5::DOUBLE * f1.inNums + 0.3::DOUBLE * f2.inNums + 0.2::DOUBLE * p.inNums, 9) AS inNums,
+       round(0.5::DOUBLE * f1.outNums + 0.3::DOUBLE * f2.outNums + 0.2::DOUBLE * p.outNums, 9) AS outNums
 FROM f1 JOIN f2 USING (stationID, slot) JOIN prof p USING (stationID, slot)""")
 def weighted_blend(spark, sf_dir):
     dense = materialise(dense_flow(spark, sf_dir), "dense")
     out = forecast.blend([*two_forecasts(dense), profile_forecast(dense)], [0.5, 0.3, 0.2], keys=["stationID", "slot"])
-    return out.withColumns({c: F.round(c, 6) for c in ("inNums", "outNums")})
+    return out.withColumns({c: F.round(c, 9) for c in ("inNums", "outNums")})
 
 
 @query("postprocess", with_(TWO) + """,
@@ -158,11 +158,11 @@ s AS (SELECT stationID, slot, k, v AS s1, v AS s2, v AS s3 FROM x WHERE k = 0
       FROM s JOIN x ON x.stationID = s.stationID AND x.slot = s.slot AND x.k = s.k + 1)
 SELECT stationID, slot, round(3 * s1 - 3 * s2 + s3
          + (0.3::DOUBLE / (2 * 0.7::DOUBLE * 0.7::DOUBLE)) * (4.5::DOUBLE * s1 - 7.6::DOUBLE * s2 + 3.1::DOUBLE * s3)
-         + (0.09::DOUBLE / (2 * 0.7::DOUBLE * 0.7::DOUBLE)) * (s1 - 2 * s2 + s3), 6) AS inNums_smooth
+         + (0.09::DOUBLE / (2 * 0.7::DOUBLE * 0.7::DOUBLE)) * (s1 - 2 * s2 + s3), 9) AS inNums_smooth
 FROM s WHERE k = 29""".lstrip())
 def triple_smoothing(spark, sf_dir):
     out = forecast.triple_smoothing(dense_flow(spark, sf_dir), 0.3)
-    return out.withColumn("inNums_smooth", F.round("inNums_smooth", 6))
+    return out.withColumn("inNums_smooth", F.round("inNums_smooth", 9))
 
 
 @query("week_over_week", with_(DENSE) + """
