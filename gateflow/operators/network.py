@@ -14,6 +14,8 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gateflow.session import materialise
+
 # Upper bound on matrix columns: the singular vectors of that many columns pass through the driver.
 MAX_MATRIX_COLUMNS = 20_000
 
@@ -67,13 +69,13 @@ def right_vectors(cells: DataFrame, row: str, column: str, rank: int = 2) -> Dat
 
 def svd_features(cells: DataFrame, row: str, column: str, names: Sequence[str]) -> DataFrame:
     """Rank-k embedding of the rows (left vectors times singular values)."""
-    cells = cells.select(row, column).distinct()
+    cells = materialise(cells.select(row, column).distinct(), "cells")
     vectors = right_vectors(cells, row, column, len(names))
     return cells.join(vectors, column).groupBy(row).agg(
         *[F.sum(f"v{k + 1}").alias(n) for k, n in enumerate(names)])
 
 
-def nmf_features(edges: DataFrame, rank: int = 2, iterations: int = 20, seed: int = 1) -> DataFrame:
+def nmf_features(edges: DataFrame, rank: int = 2, iterations: int = 10, seed: int = 1) -> DataFrame:
     """Non-negative rank-k factors of the adjacency matrix.
 
     Alternating least squares on implicit feedback with a vanishing confidence gain weighs the
