@@ -148,7 +148,16 @@ def largest_n(df: DataFrame, grain: Sequence[str], column: str, n: int) -> DataF
 
 def device_load(swipes: DataFrame, keys: Sequence[str] = ("stationID", "day", "hour")) -> DataFrame:
     """Spread of entries and exits over the devices of a group."""
-    per_device = swipes.groupBy(*keys, "deviceID").agg(entries().alias("_in"), exits().alias("_out"))
+    return _spread(swipes.groupBy(*keys, "deviceID").agg(entries().alias("_in"), exits().alias("_out")), keys)
+
+
+def device_load_of_counts(counts: DataFrame, keys: Sequence[str] = ("stationID", "day", "hour")) -> DataFrame:
+    """The same from a flow table kept per device."""
+    return _spread(counts.groupBy(*keys, "deviceID").agg(
+        F.sum("inNums").alias("_in"), F.sum("outNums").alias("_out")), keys)
+
+
+def _spread(per_device: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_device.groupBy(*keys).agg(*[
         F.expr(f"{fn}(_{side}) AS {side}DID_h_{name}")
         for side in ("in", "out") for name, fn in (("max", "max"), ("min", "min"), ("mean", "avg"))

@@ -23,6 +23,16 @@ def test_forecast_covers_the_template(spark, name):
     assert got.filter("stationID = 4 AND (inNums <> 0 OR outNums <> 0)").count() == 0
 
 
+def test_boosted_forecast_beats_the_previous_day(spark):
+    sf = SF.replace("0.001", "0.1")  # the smaller tables leave most slots empty
+    truth = QUERIES["slot_flow"](spark, sf).select("stationID", "startTime", F.col("inNums").alias("x"))
+    error = {}
+    for name in ("naive_forecast", "gbt_forecast"):
+        joined = QUERIES[name](spark, sf).filter("stationID <> 4").join(truth, ["stationID", "startTime"], "left")
+        error[name] = joined.agg(F.avg(F.abs(F.col("inNums") - F.coalesce("x", F.lit(0))))).first()[0]
+    assert error["gbt_forecast"] < error["naive_forecast"]
+
+
 def test_rolling_errors(spark):
     got = QUERIES["gbt_rolling_origin"](spark, SF).collect()
     assert len(got) == 4 and all(r.mae >= 0 for r in got)
