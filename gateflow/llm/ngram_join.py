@@ -132,12 +132,11 @@ class DivideSkip:
 
     def search(self, query: np.ndarray, similarity: Fraction, skip=lambda r: False):
         """Indexes of the sets similar to ``query``, ascending; those for which ``skip`` is true are not checked."""
-        at = np.searchsorted(self.keys, query)
-        at = at[at < len(self.keys)]
-        at = at[np.isin(self.keys[at], query, assume_unique=True)]
         n = len(query)
-        if not n:
+        if not n or not len(self.keys):
             return
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
         least = int(required_overlap(n, -(-similarity.numerator * n // similarity.denominator), similarity))
         if len(at) < least:
             return
@@ -201,13 +200,13 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def _block_links(similarity: Fraction):
-    """Spanning links between the components of one block of (side, label, sets)."""
+def _block_links(width: int, similarity: Fraction):
+    """Spanning links between the components of one block of (rep, label, side, text)."""
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_pylist()
         labels = table.column("label").to_pylist()
         sides = table.column("side").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        sets = shingle_sets(table.column("text").combine_chunks(), width)
         forest, links = Forest(labels), []
         both = len(set(sides)) > 1
         indexed = [i for i, s in enumerate(sides) if not both or s == 0]
@@ -225,8 +224,8 @@ def _block_links(similarity: Fraction):
     return run
 
 
-def _search(blocks: DataFrame, similarity: Fraction) -> DataFrame:
-    return grouped(blocks, ["block"], _block_links(similarity), "u long, v long")
+def _search(blocks: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    return grouped(blocks, ["block"], _block_links(width, similarity), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
@@ -257,52 +256,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = materialise(arrow_map(docs, sets, "doc_id long, n_shingles long, set_key binary, heads array<long>", rows=512),
                         "ngram-sets")
     named = every.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    reps = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
-                                        F.first("heads").alias("heads"))
-    postings = materialise(reps.select("rep", "n", F.explode("heads").alias("gram")), "ngram-postings")
-    # a list of two sets or more hangs its sets on the smallest one
-    lists = postings.groupBy("gram").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).filter("v < last")
-    edges = postings.join(lists.select("gram", "v"), "gram").select(F.col("rep").alias("u"), "v").filter("u <> v").distinct()
+    reps = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "ngram-reps")
+    postings = named.select("doc_id", F.explode("heads").alias("gram"))
+    # a list of two documents or more hangs its documents on the smallest one
+    lists = postings.groupBy("gram").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).filter("v < last")
+    edges = (postings.join(lists.select("gram", "v"), "gram").select(F.col("doc_id").alias("u"), "v")
+             .filter("u <> v").distinct())
     clusters = connected_components(edges, "ngram-clusters")
-    links = _cluster_links(docs, every, clusters, width, similarity)
-    same = (named.join(named.groupBy("set_key").agg(F.min("doc_id").alias("v")), "set_key")
-            .select(F.col("doc_id").alias("u"), "v").filter("u <> v"))
+    links = _cluster_links(docs, reps, clusters, width, similarity)
+    same = named.join(reps, "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
     classes = connected_components(links.union(same), "ngram-classes")
     return (every.select("doc_id", "n_shingles")
             .join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
-def _cluster_links(docs: DataFrame, every: DataFrame, clusters: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """Spanning links of the similar sets of every cluster."""
-    spark = docs.sparkSession
-
-    def full(batch):
-        return {"rep": batch.column(0), "cluster": batch.column(1),
-                "grams": [s.tobytes() for s in shingle_sets(batch.column(2), width)]}
-
-    members = (docs.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-               .select("doc_id", "cluster", "text"))
-    sets = materialise(arrow_map(members, full, "rep long, cluster long, grams binary", rows=512), "ngram-members")
-    sets = sets.withColumn("n", (F.length("grams") / 8).cast("long")).filter("n > 0")
+def _cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """Spanning links of the similar sets of every cluster. Blocks carry texts, which are smaller than their sets."""
     # similar sets are in the same or in neighbouring bands of sizes
     band = F.floor(F.log("n") / float(np.log(similarity.denominator / similarity.numerator)) + 1e-9).cast("int")
 
     def blocks(rows: DataFrame) -> DataFrame:
-        """Cut clusters whose sets are too large for one block by size band and salt."""
-        weight = rows.groupBy("cluster").agg(F.sum("n").alias("weight"))
-        by_band = (rows.withColumn("band", band).groupBy("cluster", "band").agg(F.sum("n").alias("band_weight")))
-        sized = (rows.withColumn("band", band).join(weight, "cluster").join(by_band, ["cluster", "band"])
-                 .withColumn("split", F.col("weight") > BLOCK_SHINGLES)
-                 .withColumn("band", F.when(F.col("split"), F.col("band")).otherwise(-1))
-                 .withColumn("parts", F.when(F.col("split"), F.ceil(F.col("band_weight") / BLOCK_SHINGLES)).otherwise(1))
-                 .withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts"))))
-        return sized.select("rep", "cluster", "grams", "n", "band", "split",
-                            F.concat_ws("/", "cluster", "band", "salt").alias("block"))
-
-    cut = materialise(blocks(sets), "ngram-blocks")
-    links = materialise(_search(cut.select("block", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"), "grams"),
-                                similarity), "ngram-links")
+        """Cut clusters whose sets are too large for one block by size band and salt; (rep, cluster, n) rows."""
+        rows = rows.withColumn("band", band)
+        by_band = rows.groupBy("cluster", "band").agg(F.sum("n").alias("band_weight"))
+        weight = by_band.groupBy("cluster").agg(F.sum("band_weight").alias("weight"))
+        return (rows.join(weight, "cluster").join(by_band, ["cluster", "band"])
+                .withColumn("split", F.col("weight") > BLOCK_SHINGLES)
+                .withColumn("band", F.when(F.col("split"), F.col("band")).otherwise(-1))
+                .withColumn("parts", F.when(F.col("split"), F.ceil(F.col("band_weight") / BLOCK_SHINGLES)).otherwise(1))
+                .select("rep", "cluster", "n", "band", "split",
+                        F.concat_ws("/", "cluster", "band", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")))
+
+    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps.select("rep", "n"), "rep")
+    alone = members.groupBy("cluster").agg(F.count("*").alias("held")).filter("held > 1").select("cluster")
+    placed = blocks(members.join(alone, "cluster"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    cut = materialise(texts.join(placed, "rep"), "ngram-blocks")
+    links = materialise(_search(cut.select("block", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"), "text"),
+                                width, similarity), "ngram-links")
     split = cut.filter("split")
     if split.isEmpty():
         return links
@@ -311,14 +303,13 @@ def _cluster_links(docs: DataFrame, every: DataFrame, clusters: DataFrame, width
         classes = connected_components(links, "ngram-levels")
         labelled = materialise(split.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
                                .withColumn("label", F.coalesce("component", "rep")).drop("component"), "ngram-labelled")
-        leaders = labelled.groupBy("block", "cluster", "label").agg(F.min_by("grams", "rep").alias("grams"),
-                                                                   F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"))
+        leaders = labelled.groupBy("block", "cluster", "label").agg(F.min("rep").alias("rep"), F.min_by("n", "rep").alias("n"))
         crowd = leaders.join(leaders.groupBy("cluster").agg(F.count_distinct("label").alias("labels"),
                                                             F.count_distinct("block").alias("held"))
                              .filter("labels > 1 AND held > 1").select("cluster"), "cluster")
-        again = blocks(crowd.select("rep", "cluster", "grams", "n"))
-        more = materialise(_search(again.join(crowd.select("rep", "label"), "rep").select(
-            "block", "rep", "label", F.lit(0).alias("side"), "grams"), similarity), "ngram-links")
+        again = blocks(crowd.select("rep", "cluster", "n")).select("rep", F.col("block").alias("new"))
+        more = materialise(_search(labelled.join(again, "rep").select(
+            F.col("new").alias("block"), "rep", "label", F.lit(0).alias("side"), "text"), width, similarity), "ngram-links")
         if more.isEmpty():
             break
         links = materialise(links.union(more), "ngram-links")
@@ -330,5 +321,5 @@ def _cluster_links(docs: DataFrame, every: DataFrame, clusters: DataFrame, width
              .select(F.concat_ws("|", "block", "block2").alias("pair"), "block", "block2"))
     dealt = pairs.select("pair", "block", F.lit(0).alias("side")).union(
         pairs.select("pair", F.col("block2"), F.lit(1)))
-    rest = labelled.join(dealt, "block").select(F.col("pair").alias("block"), "rep", "label", "side", "grams")
-    return links.union(materialise(_search(rest, similarity), "ngram-links"))
+    rest = labelled.join(dealt, "block").select(F.col("pair").alias("block"), "rep", "label", "side", "text")
+    return links.union(materialise(_search(rest, width, similarity), "ngram-links"))
