@@ -168,7 +168,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400, spread: int = SPREAD) ->
 
     every = materialise(arrow_map(docs, anchors, "doc_id long, text_key long, anchor long, region long, lo int, hi int",
                                   rows=256), "suffix-anchors")
-    twice = every.groupBy("anchor").agg(F.count("*").alias("held")).filter("held > 1").select("anchor")
+    # stored first, so that the join below reads two plain shuffles, of which Spark can split a frequent anchor
+    twice = materialise(every.groupBy("anchor").agg(F.count("*").alias("held")).filter("held > 1").select("anchor"), "suffix-twice")
     some = materialise(every.join(twice, "anchor"), "suffix-repeated")
     distinct = materialise(some.groupBy("anchor", "region").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key", "lo", "hi")).alias("at")), "suffix-regions")
