@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gateflow.llm import langid, orc_tokens, packing, pieces, token_counts, toxicity
 from gateflow.llm.common import table
 from gateflow.llm.ngram_join import jaccard_components
 from gateflow.llm.suffix_dedup import remove_repeats
+from gateflow.session import run_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,11 +23,46 @@ def query(fn):
     return fn
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty here; a pipeline names one folder and keeps it."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), run_folder(spark, "token-counts"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by streaming Viterbi search over the pieces' own scores, and what they decode to."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = run_folder(spark, "orc-tokens")
+    orc_tokens.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return orc_tokens.token_offsets(orc_tokens.read_tokens(spark, folder))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))

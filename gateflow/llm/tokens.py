@@ -9,62 +9,72 @@ HELD = 400_000    # words of each of the two generations that are kept
 LONGEST = 64      # characters; longer words are encoded but not kept
 
 
-class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes for tokenizers whose tokens never reach across white space.
+class KeptParts:
+    """Ids of texts as little-endian unsigned 32-bit bytes, put together from the ids of their parts.
 
-    Normalisation, special strings and merges of such a tokenizer stay inside words between blanks or line ends,
-    so the ids of a text are those of its words in turn; the library encodes every distinct word. Words are kept in
-    two generations of bounded size; the older one is dropped when the younger is full.
+    Parts are kept in two generations of bounded size; the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
+    def __init__(self):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Entries of ``words`` that are not in the young generation."""
-        found, missing = {}, []
-        for w in words:
-            kept = self.old.get(w)
-            if kept is None:
-                missing.append(w)
-            else:
-                found[w] = kept
-        for w, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            found[w] = array("I", e.ids).tobytes()
-        return found
+    def split(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        raise NotImplementedError
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set().union(*split).difference(self.young) if split else set()
-        found = self._learn(new)
-        if len(self.young) + len(found) > HELD:
+        split = [self.split(t) if t else [] for t in texts]
+        if len(self.young) > HELD:
             self.old, self.young = self.young, {}
-            kept = self.old
-        else:
-            kept = self.young
-        for w, ids in found.items():
-            if len(w) <= LONGEST:
-                self.young[w] = ids
-        if kept is self.young and len(found) == sum(len(w) <= LONGEST for w in found):
-            get = self.young.__getitem__
-        else:
-            def get(w):
-                ids = found.get(w)
-                if ids is None:
-                    ids = self.young.get(w)
-                return kept[w] if ids is None else ids
-        return [b"".join(map(get, words)) for words in split]
-
-
-_encoders: dict[str, WordEncoder] = {}
+        young, old = self.young, self.old
+        new = set().union(*split).difference(young)
+        missing = []
+        for part in new:
+            ids = old.get(part)
+            if ids is None:
+                missing.append(part)
+            else:
+                young[part] = ids
+        young.update(zip(missing, self.learn(missing), strict=True))
+        out = [b"".join(map(young.__getitem__, parts)) for parts in split]
+        for part in missing:
+            if len(part) > LONGEST:
+                del young[part]
+        return out
 
 
-def word_encoder(path: str) -> WordEncoder:
+class WordEncoder(KeptParts):
+    """For tokenizers whose tokens never reach across white space.
+
+    Normalisation, special strings and merges of such a tokenizer stay inside the words between blanks or line ends,
+    so the ids of a text are those of its words in turn; the library encodes every distinct word.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.library = Tokenizer.from_file(path)
+
+    def split(self, text: str) -> list[str]:
+        return text.replace("\n", " ").split(" ")
+
+    def learn(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+_encoders: dict = {}
+
+
+def encoder(kind: type[KeptParts], path: str):
     """The encoder of this Python process for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path)
+    return _encoders[kind, path]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    return encoder(WordEncoder, path)
