@@ -1,9 +1,10 @@
 """Jaccard self-join on word shingles by T-occurrence search (DivideSkip) inside candidate blocks.
 
 1. Documents become sets of hashed shingles; equal sets share one representative (smallest doc_id).
-2. Shingles are ordered by how many documents hold them, counted over all documents in a table of 2^20 hashed
-   cells (a bounded size; cells only order shingles, so collisions cost time, never results).
-3. Two sets with similarity J share a shingle among the first n - ceil(J n) + 1 of either in that order. Sets
+2. A set can only be similar to another one if the share J of its shingles occurs in other sets too. That is counted
+   over all sets; most documents of a corpus end here.
+3. Shingles of the rest are ordered by how many of its documents hold them, counted in a table of 2^20 hashed cells (a
+   bounded size; cells only order shingles, so collisions cost time, never results). Two sets with similarity J share a shingle among the first n - ceil(J n) + 1 of either in that order. Sets
    that share such a shingle, directly or in a chain, form a cluster; no link crosses clusters.
 4. A cluster is cut into blocks of bounded total size. In a block every set is searched in the inverted index of
    the block: short lists are merged by a heap, the longest ones are only probed by binary search (DivideSkip).
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.llm.common import arrow_map, grouped, materialise, mixed, range_hash, ship, text_bytes
+from gateflow.llm.common import arrow_map, grouped, materialise, mixed, range_hash, ship, shuffle_width, text_bytes
 from gateflow.llm.components import connected_components
 
 CELLS_LOG2 = 20      # hashed cells of the document frequencies
 CHUNK_LOG2 = 12      # cells of one row while counts are merged
+BATCH = 512          # documents whose shingles travel together while repeats are counted
 BLOCK_SHINGLES = 200_000  # shingles of a block: bounds the memory of a task
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -112,6 +114,103 @@ def document_frequencies(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _profiles(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, set_key, set_hash) of every row and, with n_shingles NULL, (set_hash, met) counts.
+
+    The sum of ``met`` over a set_hash is the number of its shingles that other sets hold too. Shingles travel to the
+    bucket of their hash as sorted, compressed blocks of many documents, two to four bytes each, and only counts come
+    back. A bucket is a fraction of a shuffle partition, and is what a task holds at once.
+    """
+    parts = shuffle_width(docs.sparkSession)
+    buckets = 4 * parts
+    kind = "bucket int, block binary, doc_id long, n_shingles long, set_key binary, set_hash long"
+
+    def deal(batch):
+        sets = shingle_sets(batch.column(1), width)
+        n = len(sets)
+        keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        hashes = np.array([int.from_bytes(k[:8], "little", signed=True) if k else 0 for k in keys], np.int64)
+        yield {"bucket": (hashes % buckets).astype(np.int32), "block": pa.nulls(n, pa.binary()), "doc_id": batch.column(0),
+               "n_shingles": [len(s) for s in sets], "set_key": keys, "set_hash": hashes}
+        first = list({k: i for i, k in enumerate(keys) if k}.values())  # equal sets of the batch once
+        if not first:
+            return
+        grams = np.concatenate([sets[i] for i in first])
+        owner = np.repeat(np.arange(len(first), dtype=np.uint16), [len(sets[i]) for i in first])
+        to = (grams % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort(((grams >> np.uint64(32)), to))
+        short, owner, to = (grams[order] >> np.uint64(32)).astype(np.uint32), owner[order], to[order]
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        names = hashes[first]
+        out = {"bucket": [], "block": []}
+        for b in np.flatnonzero(np.diff(cuts)):
+            part = short[cuts[b]: cuts[b + 1]]
+            steps = np.diff(part, prepend=np.uint32(0))
+            own = owner[cuts[b]: cuts[b + 1]]
+            used, own = np.unique(own, return_inverse=True)
+            planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + own.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+            out["bucket"].append(int(b))
+            out["block"].append(len(used).to_bytes(2, "little") + names[used].tobytes() + zlib.compress(planes, 1))
+        n = len(out["bucket"])
+        yield out | {"doc_id": pa.nulls(n, pa.int64()), "n_shingles": pa.nulls(n, pa.int64()),
+                     "set_key": pa.nulls(n, pa.binary()), "set_hash": pa.nulls(n, pa.int64())}
+
+    def opened(block: bytes):
+        n = int.from_bytes(block[:2], "little")
+        names = np.frombuffer(block, np.int64, n, 2)
+        planes = np.frombuffer(zlib.decompress(block[2 + 8 * n:]), np.uint8).reshape(6, -1)
+        steps = np.ascontiguousarray(planes[:4].T).view(np.uint32).ravel()
+        own = np.ascontiguousarray(planes[4:].T).view(np.uint16).ravel()
+        return np.cumsum(steps, dtype=np.uint32), names[own]
+
+    def repeated(blocks: list[bytes]):
+        """(set hashes, counts) of the shingles of one bucket that several sets hold."""
+        pairs = [opened(b) for b in blocks]
+        short, sets = np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+        order = np.lexsort((sets, short))
+        short, sets = short[order], sets[order]
+        new = np.r_[True, (short[1:] != short[:-1]) | (sets[1:] != sets[:-1])]  # a set once for each shingle
+        short, sets = short[new], sets[new]
+        same = short[1:] == short[:-1]
+        return np.unique(sets[np.r_[same, False] | np.r_[False, same]], return_counts=True)
+
+    def count(batches):
+        met: dict[int, int] = {}
+
+        def flush():
+            rows = len(met)
+            yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()),
+                                              pa.array(list(met), pa.int64()), pa.array(list(met.values()), pa.int64())], names=names)
+            met.clear()
+
+        def close():
+            for h, c in zip(*(x.tolist() for x in repeated(held)), strict=True):
+                met[h] = met.get(h, 0) + c
+
+        names = ["doc_id", "n_shingles", "set_key", "set_hash", "met"]
+        current, held = None, []
+        for batch in batches:
+            rows = batch.filter(batch.column(1).is_null())
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.nulls(rows.num_rows, pa.int64())], names=names)
+            blocks = batch.filter(batch.column(1).is_valid())
+            for bucket, block in zip(blocks.column(0).to_pylist(), blocks.column(1).to_pylist(), strict=True):
+                if bucket != current and held:
+                    close()
+                    held = []
+                current = bucket
+                held.append(block)
+            if len(met) > 1 << 20:
+                yield from flush()
+        if held:
+            close()
+        yield from flush()
+
+    dealt = arrow_map(docs.select("doc_id", "text"), deal, kind, rows=BATCH)
+    return materialise(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        count, "doc_id long, n_shingles long, set_key binary, set_hash long, met long"), "ngram-profiles")
+
+
 def required_overlap(a, b, similarity: Fraction):
     """Smallest intersection of sets of sizes a and b that reaches the similarity."""
     p, q = similarity.numerator, similarity.denominator
@@ -237,41 +336,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = spark.sparkContext.broadcast(document_frequencies(docs, "text", width).astype(np.int64))
     p, q = similarity.numerator, similarity.denominator
-
-    def sets(batch):
-        found = shingle_sets(batch.column(1), width)
-        frequency = counts.value
-        n = np.array([len(s) for s in found], np.int64)
-        heads = []
-        for s in found:
-            k = len(s) - (-(-p * len(s) // q)) + 1 if len(s) else 0
-            heads.append(s[np.lexsort((s, frequency[_cells(s)]))[:k]].view(np.int64) if k else np.zeros(0, np.int64))
-        return {"doc_id": batch.column(0), "n_shingles": n,
-                "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found],
-                "heads": pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(h) for h in heads])].astype(np.int32),
-                                                  pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))}
-
-    every = materialise(arrow_map(docs, sets, "doc_id long, n_shingles long, set_key binary, heads array<long>", rows=512),
-                        "ngram-sets")
+    profile = _profiles(docs, width)
+    every = profile.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "set_key", "set_hash")
     named = every.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    reps = materialise(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "ngram-reps")
-    postings = named.select("doc_id", F.explode("heads").alias("gram"))
+    reps = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("set_hash").alias("set_hash"))
+    met = profile.filter("n_shingles IS NULL").groupBy("set_hash").agg(F.sum("met").alias("met"))
+    hopeful = reps.join(met, "set_hash").filter(F.col("met") * q >= F.col("n") * p).select("rep", "n")
+    texts = materialise(docs.join(hopeful, F.col("doc_id") == F.col("rep")).select("rep", "n", "text"), "ngram-texts")
+    counts = spark.sparkContext.broadcast(document_frequencies(texts, "text", width))
+
+    def heads(batch):
+        rep, out = [], []
+        for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
+            k = len(s) - (-(-p * len(s) // q)) + 1 if len(s) else 0
+            out.append(s[np.lexsort((s, counts.value[_cells(s)]))[:k]].view(np.int64))
+            rep.append(np.full(k, i, np.int64))
+        return {"doc_id": np.concatenate(rep), "gram": np.concatenate(out)}
+
+    postings = materialise(arrow_map(texts.select("rep", "text"), heads, "doc_id long, gram long", rows=BATCH), "ngram-postings")
     # a list of two documents or more hangs its documents on the smallest one
     lists = postings.groupBy("gram").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).filter("v < last")
     edges = (postings.join(lists.select("gram", "v"), "gram").select(F.col("doc_id").alias("u"), "v")
              .filter("u <> v").distinct())
     clusters = connected_components(edges, "ngram-clusters")
-    links = _cluster_links(docs, reps, clusters, width, similarity)
-    same = named.join(reps, "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
+    links = _cluster_links(texts, clusters, width, similarity)
+    same = named.join(reps.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
     classes = connected_components(links.union(same), "ngram-classes")
     return (every.select("doc_id", "n_shingles")
             .join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
-def _cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+def _cluster_links(texts: DataFrame, clusters: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """Spanning links of the similar sets of every cluster. Blocks carry texts, which are smaller than their sets."""
     # similar sets are in the same or in neighbouring bands of sizes
     band = F.floor(F.log("n") / float(np.log(similarity.denominator / similarity.numerator)) + 1e-9).cast("int")
@@ -288,11 +385,8 @@ def _cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width:
                 .select("rep", "cluster", "n", "band", "split",
                         F.concat_ws("/", "cluster", "band", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")))
 
-    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps.select("rep", "n"), "rep")
-    alone = members.groupBy("cluster").agg(F.count("*").alias("held")).filter("held > 1").select("cluster")
-    placed = blocks(members.join(alone, "cluster"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    cut = materialise(texts.join(placed, "rep"), "ngram-blocks")
+    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(texts.select("rep", "n"), "rep")
+    cut = materialise(texts.select("rep", "text").join(blocks(members), "rep"), "ngram-blocks")
     links = materialise(_search(cut.select("block", "rep", F.col("rep").alias("label"), F.lit(0).alias("side"), "text"),
                                 width, similarity), "ngram-links")
     split = cut.filter("split")
