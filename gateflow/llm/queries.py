@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateflow.llm import langid, orc_tokens, packing, pieces, token_counts, toxicity
+from gateflow.llm import iblt, langid, orc_tokens, packing, pieces, token_counts, toxicity
 from gateflow.llm.common import table
 from gateflow.llm.ngram_join import jaccard_components
 from gateflow.llm.suffix_dedup import remove_repeats
@@ -67,3 +67,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.version_fingerprints(table(spark, sf_dir, "documents"))
