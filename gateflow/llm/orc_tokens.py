@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gateflow.llm.common import arrow_map, shuffle_width
+from gateflow.llm.common import arrow_map, materialise, shuffle_width
 from gateflow.llm.tokens import word_encoder
 
 OPTIONS = {
@@ -68,7 +68,8 @@ def token_offsets(rows: DataFrame) -> DataFrame:
         return {"doc_id": batch.column(0), "file": batch.column(2), "n_tokens": np.diff(bounds).astype(np.int64),
                 "ids_crc32": [zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}
 
-    counted = arrow_map(rows.select("doc_id", "ids", "file"), run, "doc_id long, file int, n_tokens long, ids_crc32 long")
+    counted = materialise(arrow_map(rows.select("doc_id", "ids", "file"), run, "doc_id long, file int, n_tokens long, ids_crc32 long"),
+                          "orc-counted")  # a narrow table, read twice below
     # a row per file: what all files before it hold
     totals = counted.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     before = totals.withColumn("before", F.sum("held").over(Window.orderBy("file")) - F.col("held")).select("file", "before")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateflow.llm import iblt, langid, orc_tokens, packing, pieces, token_counts, toxicity
+from gateflow.llm import iblt, langid, orc_tokens, packing, pieces, rotated_codes, token_counts, toxicity
 from gateflow.llm.common import table
 from gateflow.llm.ngram_join import jaccard_components
 from gateflow.llm.suffix_dedup import remove_repeats
@@ -72,3 +72,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.version_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated_codes.link_vectors(table(spark, sf_dir, "embeddings"))

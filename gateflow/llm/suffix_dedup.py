@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.llm.common import arrow_map, grouped, materialise, range_hash, text_bytes
@@ -258,3 +258,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     done = arrow_map(joined, cut, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, carried {kind}", rows=256)
     return done.select(F.col("doc_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept",
                        *[F.col(f"carried.{c}").alias(c) for c in keep])
+
+
+def kept_text(kept: Column) -> Column:
+    """Remaining bytes as text; halves of characters at the edges of a removed range go with it."""
+    @F.arrow_udf("string")
+    def run(kept: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+    return run(kept)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from array import array
 
-HELD = 400_000    # words of each of the two generations that are kept
+HELD = 600_000    # words of each of the two generations that are kept
 LONGEST = 64      # characters; longer words are encoded but not kept
 
 
