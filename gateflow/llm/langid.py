@@ -193,14 +193,14 @@ def language(net: ByteGru, text: Column) -> Column:
         names, scores = [], []
         for at in range(0, len(texts), 512):
             data, bounds = text_bytes(texts.slice(at, 512))
-            p = net.documents(data, bounds)
             if net.languages:
+                p = net.documents(data, bounds)
                 best = p.argmax(axis=1)
                 names += [net.languages[k] for k in best]
                 scores += np.clip(p[np.arange(len(p)), best], 0, 1).tolist()
             else:
-                names += [UNKNOWN] * len(p)
-                scores += [0.0] * len(p)
+                names += [UNKNOWN] * (len(bounds) - 1)
+                scores += [0.0] * (len(bounds) - 1)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

@@ -126,7 +126,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         unit = _matrix(table.column("v").combine_chunks())
         before = np.array(table.column("signature").to_pylist(), np.int64).reshape(len(rep), -1)[:, :band]
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        turn = rotation(unit.shape[1], CODE_BITS, 7)
+        turn = rotation(unit.shape[1], max(CODE_BITS, unit.shape[1]), 7)
         signs, factor = codes(unit, turn)
         rotated = unit @ turn.T
         links = np.zeros(len(rep), np.int64)
