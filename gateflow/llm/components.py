@@ -19,8 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     joined = directed.join(least, "u")
     if large:
-        hung = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return hung.filter("u <> v").distinct()
+        return joined.filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     hung = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -34,12 +33,10 @@ def connected_components(edges: DataFrame, purpose: str = "components") -> DataF
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     current = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                           .distinct(), purpose)
-    before = None
-    while True:
-        state = current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if not state[0] or state == before:
-            break
-        before = state
+    # finished when every node hangs on one other at most, and none hangs on a node that hangs itself
+    while not (current.select(F.col("u").alias("node"), F.lit(1).alias("hangs")).union(current.select("v", F.lit(0)))
+               .groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("holds"))
+               .filter("hangs > 1 OR hangs > 0 AND holds = 0").isEmpty()):
         current = materialise(_star(_star(current, large=True), large=False), purpose)
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -32,7 +32,7 @@ from gateflow.llm.components import connected_components
 CELLS_LOG2 = 20      # hashed cells of the document frequencies
 CHUNK_LOG2 = 12      # cells of one row while counts are merged
 BATCH = 512          # documents whose shingles travel together while repeats are counted
-BLOCK_SHINGLES = 200_000  # shingles of a block: bounds the memory of a task
+BLOCK_SHINGLES = 400_000  # shingles of a block: bounds the memory of a task
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -115,11 +115,10 @@ def document_frequencies(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, set_hash) of every row and, with n_shingles NULL, (set_hash, met) counts.
+    """(doc_id, n_shingles, set_key, set_hash) of every row and, with n_shingles NULL, packed counts for ``_met``.
 
-    The sum of ``met`` over a set_hash is the number of its shingles that other sets hold too. Shingles travel to the
-    bucket of their hash as sorted, compressed blocks of many documents, two to four bytes each, and only counts come
-    back. A bucket is a fraction of a shuffle partition, and is what a task holds at once.
+    Shingles travel to the bucket of their hash as sorted, compressed blocks of many documents, two to four bytes each,
+    and only counts come back. A bucket is a fraction of a shuffle partition, and is what a task holds at once.
     """
     parts = shuffle_width(docs.sparkSession)
     buckets = 4 * parts
@@ -130,7 +129,8 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
         n = len(sets)
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         hashes = np.array([int.from_bytes(k[:8], "little", signed=True) if k else 0 for k in keys], np.int64)
-        yield {"bucket": (hashes % buckets).astype(np.int32), "block": pa.nulls(n, pa.binary()), "doc_id": batch.column(0),
+        rows = np.arange(n)  # copies of a text may be very many: rows go round, whatever they hold
+        yield {"bucket": (rows % buckets).astype(np.int32), "block": pa.nulls(n, pa.binary()), "doc_id": batch.column(0),
                "n_shingles": [len(s) for s in sets], "set_key": keys, "set_hash": hashes}
         first = list({k: i for i, k in enumerate(keys) if k}.values())  # equal sets of the batch once
         if not first:
@@ -178,9 +178,14 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
         met: dict[int, int] = {}
 
         def flush():
-            rows = len(met)
+            """One row for each partition of sets, with all its counts."""
+            sets, counts = np.array(list(met), np.int64), np.array(list(met.values()), np.int64)
+            to = sets % parts
+            targets = np.unique(to)
+            rows = len(targets)
             yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()),
-                                              pa.array(list(met), pa.int64()), pa.array(list(met.values()), pa.int64())], names=names)
+                                              pa.array(targets, pa.int64()), pa.array([np.stack(
+                                                  [sets[to == t], counts[to == t]]).tobytes() for t in targets], pa.binary())], names=names)
             met.clear()
 
         def close():
@@ -192,7 +197,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows = batch.filter(batch.column(1).is_null())
             if rows.num_rows:
-                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.nulls(rows.num_rows, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.nulls(rows.num_rows, pa.binary())], names=names)
             blocks = batch.filter(batch.column(1).is_valid())
             for bucket, block in zip(blocks.column(0).to_pylist(), blocks.column(1).to_pylist(), strict=True):
                 if bucket != current and held:
@@ -208,7 +213,21 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
 
     dealt = arrow_map(docs.select("doc_id", "text"), deal, kind, rows=BATCH)
     return materialise(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        count, "doc_id long, n_shingles long, set_key binary, set_hash long, met long"), "ngram-profiles")
+        count, "doc_id long, n_shingles long, set_key binary, set_hash long, met binary"), "ngram-profiles")
+
+
+def _met(packed: DataFrame) -> DataFrame:
+    """(set_hash, met): how many shingles of a set other sets hold too. ``set_hash`` of the packed rows is a partition."""
+    def add(batches):
+        total: dict[int, int] = {}
+        for batch in batches:
+            for block in batch.column(1).to_pylist():
+                for h, c in zip(*np.frombuffer(block, np.int64).reshape(2, -1).tolist(), strict=True):
+                    total[h] = total.get(h, 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["set_hash", "met"])
+
+    parts = shuffle_width(packed.sparkSession)
+    return packed.select("set_hash", "met").repartition(parts, "set_hash").mapInArrow(add, "set_hash long, met long")
 
 
 def required_overlap(a, b, similarity: Fraction):
@@ -310,7 +329,10 @@ def _block_links(width: int, similarity: Fraction):
         both = len(set(sides)) > 1
         indexed = [i for i, s in enumerate(sides) if not both or s == 0]
         index = DivideSkip([sets[i] for i in indexed])
+        apart = len(set(labels))
         for i in range(len(ids)):
+            if apart == 1:  # all connected: nothing left to find
+                break
             if both and sides[i] == 0:
                 continue
             mine = labels[i]
@@ -319,6 +341,7 @@ def _block_links(width: int, similarity: Fraction):
                 if forest.root(labels[other]) != forest.root(mine):
                     links.append((ids[i], ids[other]))
                     forest.join(mine, labels[other])
+                    apart -= 1
         return pa.table({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
     return run
 
@@ -341,7 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = profile.filter("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "set_key", "set_hash")
     named = every.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
     reps = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("set_hash").alias("set_hash"))
-    met = profile.filter("n_shingles IS NULL").groupBy("set_hash").agg(F.sum("met").alias("met"))
+    met = _met(profile.filter("n_shingles IS NULL"))
     hopeful = reps.join(met, "set_hash").filter(F.col("met") * q >= F.col("n") * p).select("rep", "n")
     texts = materialise(docs.join(hopeful, F.col("doc_id") == F.col("rep")).select("rep", "n", "text"), "ngram-texts")
     counts = spark.sparkContext.broadcast(document_frequencies(texts, "text", width))

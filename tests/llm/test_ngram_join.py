@@ -52,7 +52,7 @@ def family():
     return texts
 
 
-@pytest.mark.parametrize("block", [200_000, 1_500])
+@pytest.mark.parametrize("block", [400_000, 1_500])
 def test_components_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)  # small blocks: leaders and pairs of blocks
     ids, texts = awkward()
