@@ -137,6 +137,8 @@ def largest_n(df: DataFrame, grain: Sequence[str], column: str, n: int) -> DataF
 
     counts = df.groupBy(*grain, column).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*grain).orderBy(F.desc(column))
+    # n values need at most n distinct ones: the limit is applied in each task before the shuffle
+    counts = counts.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n).drop("_place")
     before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         counts.withColumn("_before", before).filter(F.col("_before") < n)
@@ -165,10 +167,10 @@ def _spread(per_device: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def resample(swipes: DataFrame, minutes: int = 30) -> DataFrame:
-    """Rows, entries and the busiest line (first letter on ties) per wider window."""
+    """Rows, entries and the busiest line (first name on ties) per wider window."""
     per_line = with_slot(swipes, minutes).groupBy("day", "slot", "lineID").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("status").alias("_in"))
-    top = F.max(F.struct(F.col("_n"), -F.ascii("lineID"), F.col("lineID")))["lineID"]
+    top = F.min(F.struct(-F.col("_n"), F.col("lineID")))["lineID"]
     return per_line.groupBy(slot_start(F.col("day"), F.col("slot"), minutes).alias("startTime")).agg(
         F.sum("_n").alias("rows"), F.sum("_in").alias("entries"), top.alias("busiestLine"))
 

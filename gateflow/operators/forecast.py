@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gateflow.constants import EARLY_HOURS_CAP, EARLY_HOURS_END, PROFILE_DAMPING
 from gateflow.functions.numeric import clip, ratio
-from gateflow.functions.timefields import hour_of, is_business_day
+from gateflow.functions.timefields import hour_of, is_business_day, midnight
 from gateflow.operators.grid import KEY
 from gateflow.operators.stats import night_in, night_out
 
@@ -169,6 +169,11 @@ def week_over_week(dense: DataFrame, days_back: int = 7) -> DataFrame:
     return dense.withColumns(out).filter(F.col("inNums_week").isNotNull())
 
 
+def covering(swipes: DataFrame, days: Sequence[dt.date]) -> DataFrame:
+    """Swipes of the span of time that holds all ``days``; the bounds sit on the time itself and reach the scan."""
+    return swipes.filter((F.col("time") >= midnight(min(days))) & (F.col("time") < midnight(max(days) + dt.timedelta(days=1))))
+
+
 def recent_days(df: DataFrame, days: Sequence[dt.date]) -> DataFrame:
     """Training rows of a few chosen days."""
     return df.filter(F.col("day").isin(list(days)))

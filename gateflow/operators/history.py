@@ -48,14 +48,15 @@ def neighbour_slots(dense: DataFrame, columns: Sequence[str] = FLOWS, order: str
     return dense.withColumns(out)
 
 
-def last_days_wide(dense: DataFrame, label_days: Sequence, k: int = 5, lookback: int = 5) -> DataFrame:
+def last_days_wide(dense: DataFrame, label_days: Sequence, k: int = 5, lookback: int | None = None) -> DataFrame:
     """The k most recent days before each label day as columns ``In1..Ink, out1..outk``.
 
-    ``gap1..gapk`` tell how many days back each of them lies; days without data are skipped.
+    ``gap1..gapk`` tell how many days back each of them lies; days without data are skipped, however long the gap.
+    ``lookback``, if given, leaves out days further back than that.
     """
     labels = F.array(*[F.lit(d) for d in label_days])
-    feeding = F.filter(labels, lambda label: (label > F.col("day"))
-                       & (F.datediff(label, F.col("day")) <= lookback))
+    feeding = F.filter(labels, lambda label: (label > F.col("day")) & (
+        F.lit(True) if lookback is None else F.datediff(label, F.col("day")) <= lookback))
     rows = dense.withColumn("labelDay", F.explode(feeding)).withColumn("_gap", F.datediff("labelDay", "day"))
     w = Window.partitionBy("stationID", "slot", "labelDay").orderBy(F.desc("day"))
     ranked = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)

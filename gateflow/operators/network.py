@@ -1,34 +1,39 @@
 """Station network and weather features.
 
-A matrix is kept as its non-zero cells (row, column); rank-2 embeddings are the product of those
-cells with the right singular vectors, computed as a join and an aggregation.
+A matrix is kept as its non-zero cells (row, column); products with it are joins and aggregations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.recommendation import ALS
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gateflow.session import materialise
 
-# Upper bound on matrix columns: the singular vectors of that many columns pass through the driver.
-MAX_MATRIX_COLUMNS = 20_000
+# Second start vectors of the iterations: any fixed numbers that differ between columns.
+ROAD_START = "dst % 7 + 1"
+WEATHER_START = "length(cell) % 5 + 0.5 * (ascii(right(cell, 2)) % 4)"
 
 
-def neighbours(edges: DataFrame, width: int = 4) -> DataFrame:
-    """The first ``width`` neighbours of each station in id order, as ``map00, map01, ...``.
-
-    The rank filter is applied per task before the shuffle, so a hub does not gather all its edges.
-    """
+def neighbour_ranks(edges: DataFrame) -> DataFrame:
+    """Every neighbour of every station with its rank in id order: (stationID, rank, neighbour)."""
     w = Window.partitionBy("src").orderBy("dst")
-    ranked = edges.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= width)
-    return ranked.groupBy(F.col("src").alias("stationID")).agg(*[
-        F.max(F.when(F.col("_rank") == i + 1, F.col("dst"))).alias(f"map{i:02d}") for i in range(width)])
+    return edges.select(F.col("src").alias("stationID"), F.row_number().over(w).alias("rank"), F.col("dst").alias("neighbour"))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """All neighbours of each station in id order, as ``map00, map01, ...``: as many columns as the largest degree."""
+    ranked = materialise(neighbour_ranks(edges), "neighbours")
+    width = ranked.agg(F.max("rank")).first()[0] or 0
+    return ranked.groupBy("stationID").agg(F.count(F.lit(1)).alias("_n"), *[
+        F.max(F.when(F.col("rank") == i + 1, F.col("neighbour"))).alias(f"map{i:02d}") for i in range(width)]).drop("_n")
+
+
+def neighbour_lists(edges: DataFrame) -> DataFrame:
+    """All neighbours of each station as one sorted array."""
+    return edges.groupBy(F.col("src").alias("stationID")).agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -46,62 +51,74 @@ def graph_checks(edges: DataFrame) -> DataFrame:
         (F.col("unmatched") == 0).cast("int").alias("symmetric"))
 
 
-def right_vectors(cells: DataFrame, row: str, column: str, rank: int = 2) -> DataFrame:
-    """Leading right singular vectors of a 0/1 matrix, signs fixed by the largest coefficient."""
-    spark = cells.sparkSession
-    ids = cells.select(column).distinct()
-    width = ids.count()
-    if width > MAX_MATRIX_COLUMNS:
-        raise ValueError(f"{width} columns exceed the bound of {MAX_MATRIX_COLUMNS}")
-    kind = ids.schema[0].dataType.simpleString()
-    names = [r[0] for r in ids.orderBy(column).collect()]  # bounded by the check above
-    numbered = spark.createDataFrame(list(enumerate(names)), f"_j INT, {column} {kind}")
-    rows = cells.join(numbered, column).groupBy(row).agg(F.array_sort(F.collect_set("_j")).alias("_js"))
-    matrix = RowMatrix(rows.select("_js").rdd.map(lambda r: Vectors.sparse(width, r[0], [1.0] * len(r[0]))), numCols=width)
-    v = matrix.computeSVD(rank).V.toArray().copy()
-    for k in range(v.shape[1]):
-        if v[abs(v[:, k]).argmax(), k] < 0:
-            v[:, k] = -v[:, k]
-    data = [(names[j], *(float(x) for x in v[j])) for j in range(len(names))]
-    kinds = ", ".join(f"v{k + 1} DOUBLE" for k in range(v.shape[1]))
-    return spark.createDataFrame(data, f"{column} {kind}, {kinds}")
-
-
-def svd_features(cells: DataFrame, row: str, column: str, names: Sequence[str]) -> DataFrame:
-    """Rank-k embedding of the rows (left vectors times singular values)."""
-    cells = materialise(cells.select(row, column).distinct(), "cells")
-    vectors = right_vectors(cells, row, column, len(names))
-    return cells.join(vectors, column).groupBy(row).agg(
-        *[F.sum(f"v{k + 1}").alias(n) for k, n in enumerate(names)])
+def _turn(cells: DataFrame, vectors: DataFrame, by: str, onto: str) -> DataFrame:
+    """Product of the 0/1 matrix with two vectors: (onto, x, y), sums over the cells of each ``onto``."""
+    return cells.join(vectors, by).groupBy(onto).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
 
-def nmf_features(edges: DataFrame, rank: int = 2, iterations: int = 10, seed: int = 1) -> DataFrame:
-    """Non-negative rank-k factors of the adjacency matrix.
+def svd_features(cells: DataFrame, row: str, column: str, names: Sequence[str], start: str, rounds: int = 10) -> DataFrame:
+    """Rank-2 embedding of the rows of a 0/1 matrix: left vectors times singular values.
 
-    Alternating least squares on implicit feedback with a vanishing confidence gain weighs the
-    absent edges like the present ones, which is the usual factorisation loss on the full matrix.
+    Orthogonal iteration from fixed start vectors, 1 and the SQL expression ``start`` of the column id. Products with
+    the matrix are joins and aggregations; only three inner products of a round reach the driver. Signs are such
+    that the first vector has a positive sum and so has the second one weighted by ``start``.
     """
-    als = ALS(rank=rank, maxIter=iterations, regParam=1e-4, implicitPrefs=True, alpha=1e-3, nonnegative=True,
-              seed=seed, userCol="src", itemCol="dst", ratingCol="adj")
-    model = als.fit(edges.select("src", "dst", F.lit(1.0).alias("adj")))
-    return model.userFactors.select(
-        F.col("id").alias("stationID"),
-        *[F.get("features", F.lit(k)).cast("double").alias(f"mapNMF{k + 1}") for k in range(rank)])
-
-
-def road_features(edges: DataFrame, width: int = 4) -> DataFrame:
+    cells = materialise(cells.select(row, column).distinct(), "cells")
+    vectors = cells.select(column).distinct().select(column, F.lit(1.0).alias("x"), F.expr(start).cast("double").alias("y"))
+    for _ in range(rounds):
+        turned = materialise(_turn(cells, _turn(cells, vectors, column, row), row, column), "vectors")
+        xx, xy = turned.agg(F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y"))).first()
+        if not xx:
+            break
+        y = F.col("y") - F.lit(xy / xx) * F.col("x")
+        yy = turned.agg(F.sum(y * y)).first()[0]
+        vectors = turned.select(column, (F.col("x") / F.lit(xx ** 0.5)).alias("x"), (y / F.lit(yy ** 0.5) if yy else F.lit(0.0)).alias("y"))
+    signs = vectors.agg(F.sum("x").alias("x"), F.sum(F.col("y") * F.expr(start)).alias("y")).first()
+    flip = [-1.0 if (signs[c] or 0) < 0 else 1.0 for c in ("x", "y")]
+    return _turn(cells, vectors, column, row).select(row, *[(F.col(c) * F.lit(f)).alias(n) for c, f, n in zip(("x", "y"), flip, names)])
+
+
+def nmf_features(edges: DataFrame, iterations: int = 10, start: tuple[str, str] = ("1 + 0.5 * ({0} % 3)", "1 + 0.25 * ({0} % 5)")) -> DataFrame:
+    """Non-negative rank-2 factors of the adjacency matrix by multiplicative updates for the squared error.
+
+    The factors start from fixed expressions of the ids. An update multiplies each factor by the quotient of two
+    products; those with the matrix are joins, and only the 2 x 2 products of a factor with itself reach the driver.
+    """
+    cells = materialise(edges.select("src", "dst").distinct(), "cells")
+
+    def first(name: str) -> DataFrame:
+        x, y = (F.expr(e.format(name)).cast("double") for e in start)
+        return cells.select(name).distinct().select(name, x.alias("x"), y.alias("y"))
+
+    def update(own: DataFrame, other: DataFrame, by: str, onto: str) -> DataFrame:
+        xx, xy, yy = other.agg(F.sum(F.col("x") * F.col("x")), F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
+        top = _turn(cells, other, by, onto).select(onto, F.col("x").alias("_x"), F.col("y").alias("_y"))
+        x, y = F.col("x"), F.col("y")
+        return materialise(own.join(top, onto).select(
+            onto, F.coalesce(F.try_divide(x * F.col("_x"), x * F.lit(xx) + y * F.lit(xy)), F.lit(0.0)).alias("x"),
+            F.coalesce(F.try_divide(y * F.col("_y"), x * F.lit(xy) + y * F.lit(yy)), F.lit(0.0)).alias("y")), "factors")
+
+    w, h = first("src"), first("dst")
+    if cells.isEmpty():
+        iterations = 0
+    for _ in range(iterations):
+        h = update(h, w, "src", "dst")
+        w = update(w, h, "dst", "src")
+    return w.select(F.col("src").alias("stationID"), F.col("x").alias("mapNMF1"), F.col("y").alias("mapNMF2"))
+
+
+def road_features(edges: DataFrame) -> DataFrame:
     """Embedding and neighbour list per station."""
-    svd = svd_features(edges.withColumnRenamed("src", "stationID"), "stationID", "dst", ["mapSVD1", "mapSVD2"])
-    return svd.join(nmf_features(edges), "stationID", "left").join(neighbours(edges, width), "stationID", "left")
+    svd = svd_features(edges.withColumnRenamed("src", "stationID"), "stationID", "dst", ["mapSVD1", "mapSVD2"], ROAD_START)
+    return svd.join(nmf_features(edges), "stationID", "left").join(neighbours(edges), "stationID", "left")
 
 
-def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None, limit: int = 1000) -> DataFrame:
-    """0/1 column per category. Unknown categories are looked up, at most ``limit`` of them."""
+def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None) -> DataFrame:
+    """0/1 column per category. Without ``categories`` the distinct values name the columns, which only a schema can
+    hold; ``one_hot_cells`` is the form for columns with very many values."""
     if categories is None:
-        found = df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit + 1)
+        found = df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
         categories = [r[0] for r in found.collect()]
-        if len(categories) > limit:
-            raise ValueError(f"{column} has more than {limit} categories")
     return df.withColumns({f"{column}_{c}": F.coalesce((F.col(column) == F.lit(c)).cast("int"), F.lit(0))
                            for c in categories})
 
@@ -114,7 +131,7 @@ def one_hot_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 def weather_features(weather: DataFrame) -> DataFrame:
     """Rank-2 embedding of the one-hot coded condition and wind of each day."""
-    return svd_features(one_hot_cells(weather, "day", ["weat", "wind"]), "day", "cell", ["weatsvd1", "weatsvd2"])
+    return svd_features(one_hot_cells(weather, "day", ["weat", "wind"]), "day", "cell", ["weatsvd1", "weatsvd2"], WEATHER_START)
 
 
 def enrich(flow: DataFrame, stations: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:

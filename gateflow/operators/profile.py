@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gateflow.session import materialise
+
 _WIDTHS = (("tinyint", 2 ** 7), ("smallint", 2 ** 15), ("int", 2 ** 31))
 
 
@@ -83,22 +85,37 @@ def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def summary(df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, distinct values, most frequent value, moments and exact quantiles per column.
 
-    Everything comes from the value counts, so a task holds a column's distinct values, not its
-    rows. Meant for coded columns; for continuous ones use ``DataFrame.summary`` (sketches).
+    Everything comes from the value counts. For the quantiles the distinct numbers are dealt by ranges of (column,
+    value); sums per range tell each range the rank it starts at, so no task holds a whole column. ``top`` is NULL if no
+    value occurs twice.
     """
-    numeric = set(numeric_columns(df))
-    counts = value_counts(df, columns).filter(F.col("value").isNotNull())
-    is_num = F.col("column").isin([c for c in columns if c in numeric])
-    x, n = F.when(is_num, F.col("value")).cast("double"), F.col("n")
-    total = F.sum(F.when(is_num, n))
+    spark = df.sparkSession
+    numeric = [c for c in columns if c in set(numeric_columns(df))]
+    number = F.when(F.col("column").isin(numeric), F.col("value").cast("double")) if numeric else F.lit(None).cast("double")
+    counts = value_counts(df, columns).filter(F.col("value").isNotNull()).withColumn("x", number)
+    dealt = materialise(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "column", "x", "value")
+                        .withColumn("part", F.spark_partition_id()), "summary")
+    x, n = F.col("x"), F.col("n")
+    total = F.sum(F.when(x.isNotNull(), n))
     mean = F.sum(x * n) / total
     variance = F.try_divide(F.sum(x * x * n) - F.sum(x * n) * F.sum(x * n) / total, total - 1)
-    return counts.groupBy("column").agg(
-        F.sum(n).alias("count"), F.count(n).alias("unique"),
-        F.max(F.struct(n, F.col("value")))["value"].alias("top"), F.max(n).alias("freq"),
-        mean.alias("mean"), F.sqrt(variance).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        *[F.percentile(x, F.lit(q), n).alias(f"q{int(q * 100)}") for q in quantiles],
-    )
+    moments = dealt.groupBy("column").agg(
+        F.sum(n).alias("count"), F.count(n).alias("unique"), F.max(F.struct(n, F.col("value")))["value"].alias("top"),
+        F.max(n).alias("freq"), mean.alias("mean"), F.sqrt(variance).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        total.alias("_total"))
+    parts = dealt.filter("x IS NOT NULL").groupBy("column", "part").agg(F.sum("n").alias("held"))
+    before = parts.select("column", "part", (F.sum("held").over(Window.partitionBy("column").orderBy("part")) - F.col("held")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("column", "part").orderBy("x"))
+    ranked = (dealt.filter("x IS NOT NULL").withColumn("inside", inside).join(before, ["column", "part"])
+              .join(moments.select("column", "_total"), "column").withColumn("upto", F.col("before") + F.col("inside")))
+    picks = []
+    for q in quantiles:
+        place = F.lit(q) * (F.col("_total") - 1)
+        low, high = (F.min(F.when(F.col("upto") > f(place), x)) for f in (F.floor, F.ceil))
+        share = F.max(place - F.floor(place))
+        picks.append((low + (high - low) * share).alias(f"q{int(q * 100)}"))
+    found = moments.join(ranked.groupBy("column").agg(*picks), "column", "left").drop("_total")
+    return found.withColumn("top", F.when(F.col("freq") > 1, F.col("top")))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gateflow.constants import REGULAR_RIDER_SWIPES
 from gateflow.operators.flow import with_slot
+from gateflow.session import materialise
 
 
 def regular_flow(swipes: DataFrame, threshold: int = REGULAR_RIDER_SWIPES, excluded_pay_type: int = 3) -> DataFrame:
@@ -18,9 +19,9 @@ def regular_flow(swipes: DataFrame, threshold: int = REGULAR_RIDER_SWIPES, exclu
     rider is as small as the grid.
     """
     kept = with_slot(swipes).filter((F.col("payType") != excluded_pay_type) & F.col("userID").isNotNull())
-    regulars = kept.groupBy("userID").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= threshold)
-    counts = kept.groupBy("userID", "stationID", "day", "slot").agg(
-        F.sum("status").alias("_in"), F.count(F.lit(1)).alias("_n"))
+    counts = materialise(kept.groupBy("userID", "stationID", "day", "slot").agg(
+        F.sum("status").alias("_in"), F.count(F.lit(1)).alias("_n")), "riders")
+    regulars = counts.groupBy("userID").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= threshold)
     return (counts.join(regulars.select("userID"), "userID", "left_semi").groupBy("stationID", "day", "slot")
             .agg(F.sum("_in").alias("inRegular"), (F.sum("_n") - F.sum("_in")).alias("outRegular")))
 
@@ -34,48 +35,34 @@ def station_activity(swipes: DataFrame, pass_type: int = 3) -> DataFrame:
     ).withColumn("activity", F.col("swipes") - (F.col("riders") - F.col("passRiders")))
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows: at most 1 / share of them, whatever the data."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > total * share).select(key)
-
-
 def with_next(events: DataFrame, key: str, columns: Sequence[str], order: Sequence[str] = ("time", "event_id"),
-              hot_share: float = 0.001, hot_minutes: int = 1, other_minutes: int = 1440) -> DataFrame:
-    """Columns of the same rider's next event as ``next_*``.
+              minutes: int = 1) -> DataFrame:
+    """Columns of the same rider's next event as ``next_*``; NULL after the last one, and for events without rider or time.
 
-    A plain window per rider would put a rider with a third of all rows into one task. Here a group
-    is one rider and one stretch of time: a day, or a minute for riders with more than
-    ``hot_share`` of the rows. The first event of the following non-empty stretch is added to each
-    group as a closing row, so the last event of a stretch finds its successor as well.
+    A plain window per rider would put a rider with a third of all rows into one task. Here a group is one rider and
+    one stretch of ``minutes``. The table is dealt once and stored with each event's place in its stretch; only the last
+    events of the stretches then look up the first event of the rider's next stretch.
     """
     first, *_ = order
-    rows = events.select(key, *dict.fromkeys([*order, *columns])).filter(
-        F.col(key).isNotNull() & F.col(first).isNotNull())
-    # Broadcast: the table has at most 1 / hot_share rows by construction.
-    hot = F.broadcast(hot_keys(rows, key, hot_share).withColumn("_hot", F.lit(True)))
+    names = list(dict.fromkeys([key, *order, *columns]))
+    known = F.col(key).isNotNull() & F.col(first).isNotNull()
     minute = F.expr(f"datediff({first}, DATE'1970-01-01') * 1440L + hour({first}) * 60 + minute({first})")
-    width = F.when(F.col("_hot"), F.lit(hot_minutes)).otherwise(F.lit(other_minutes))
-    rows = rows.join(hot, key, "left").withColumns({
-        "_chunk": (minute - F.pmod(minute, width)), "_closing": F.lit(False)}).drop("_hot")
-    payload = [c for c in rows.columns if c not in (key, "_chunk", "_closing")]
-    opening = rows.groupBy(key, "_chunk").agg(
-        F.min_by(F.struct(*payload), F.struct(*order)).alias("_first"))
-    before = F.lag("_chunk").over(Window.partitionBy(key).orderBy("_chunk"))
-    closing = (opening.withColumn("_chunk", before).filter(F.col("_chunk").isNotNull())
-               .select(key, *[F.col(f"_first.{c}").alias(c) for c in payload], "_chunk", F.lit(True).alias("_closing")))
+    # events without rider or time have no successor; they go round by hash
+    chunk = F.when(known, minute - F.pmod(minute, F.lit(minutes))).otherwise(F.xxhash64(*order))
     w = Window.partitionBy(key, "_chunk").orderBy(*order)
-    return (
-        rows.unionByName(closing)
-        .withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-        .filter(~F.col("_closing")).drop("_chunk", "_closing")
-    )
+    stored = materialise(events.select(*names).withColumn("_chunk", chunk).withColumns({
+        "_next": F.when(known, F.lead(F.struct(*columns)).over(w)), "_opens": known & (F.row_number().over(w) == 1)})
+        .withColumn("_closes", known & F.col("_next").isNull()), "next")
+    opening = stored.filter("_opens").select(key, "_chunk", F.struct(*columns).alias("_own"))
+    follow = opening.select(key, "_chunk", F.lead("_own").over(Window.partitionBy(key).orderBy("_chunk")).alias("_after"))
+    closing = stored.filter("_closes").drop("_next").join(follow, [key, "_chunk"], "left").withColumnRenamed("_after", "_next")
+    both = stored.filter("NOT _closes").unionByName(closing)
+    return both.select(*names, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
-def trips(swipes: DataFrame, **chunks) -> DataFrame:
+def trips(swipes: DataFrame, minutes: int = 1) -> DataFrame:
     """An entry directly followed by the same rider's exit: origin, destination, whole minutes."""
-    paired = with_next(swipes, "userID", ["status", "stationID", "time"], **chunks)
+    paired = with_next(swipes, "userID", ["status", "stationID", "time"], minutes=minutes)
     seconds = F.timestamp_diff("SECOND", F.col("time"), F.col("next_time"))
     return paired.filter((F.col("status") == 1) & (F.col("next_status") == 0)).select(
         "userID", F.col("stationID").alias("src"), F.col("next_stationID").alias("dst"),

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.constants import ANCHOR_CAP_BY_SPAN, TRAILING_WINDOWS, TRAILING_WINDOWS_BY_SPAN
+from gateflow.constants import TRAILING_WINDOWS, TRAILING_WINDOWS_BY_SPAN
+
+from gateflow.session import materialise
 
 GRAINS = {
     "s": ["stationID"],
@@ -32,8 +34,11 @@ def to_anchors(flow: DataFrame, anchors: Sequence[int], reach: int, index: str =
 
     The match is written as an expansion of the row, not as a range join over all pairs.
     """
-    fed = F.filter(F.array(*[F.lit(a) for a in anchors]),
-                   lambda a: (a > F.col(index)) & (a <= F.col(index) + reach))
+    first, last = min(anchors), max(anchors)
+    near = F.filter(F.sequence(F.greatest(F.col(index) + 1, F.lit(first)).cast("int"),
+                               F.greatest(F.least(F.col(index) + reach, F.lit(last)), F.col(index) + 1, F.lit(first)).cast("int")),
+                    lambda a: (a > F.col(index)) & (a <= F.col(index) + reach) & a.isin(sorted(anchors)))
+    fed = F.when(F.col(index) < last, near)
     return flow.withColumn("anchor", F.explode(fed))
 
 
@@ -55,8 +60,8 @@ def add_trailing_stats(labels: DataFrame, flow: DataFrame, anchors: Sequence[int
 
     A group without history gets 0; a window longer than the history there is gives NULL.
     """
-    history = to_anchors(flow, anchors, max(windows), index).select(
-        "stationID", "weekday", "hour", "minute", index, "anchor", *columns)
+    history = materialise(to_anchors(flow, anchors, max(windows), index).select(
+        "stationID", "weekday", "hour", "minute", index, "anchor", *columns), "trailing")  # read once per grain
     guarded = {}
     for name, stats in (spec or DEFAULT_SPEC).items():
         grain = GRAINS[name]
@@ -92,8 +97,7 @@ def anchor_training_set(flow: DataFrame, span: int, end: int, first: int = 2, ca
 
 def slip_sets(flow: DataFrame, span: int, valid_index: int, test_index: int, cap: int | None = None,
               **options) -> DataFrame:
-    """Train, train-all, validation and test rows of the capped variant, told apart by ``part``."""
-    cap = ANCHOR_CAP_BY_SPAN.get(span) if cap is None else cap
+    """Train, train-all, validation and test rows, told apart by ``part``; ``cap`` keeps that many recent anchors only."""
     train = anchors_before(valid_index, span, cap=cap)
     train_all = anchors_before(test_index, span, cap=cap)
 

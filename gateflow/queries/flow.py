@@ -44,7 +44,11 @@ LEFT JOIN (SELECT stationID, time_bucket(INTERVAL 10 MINUTE, time) + INTERVAL 1
                   count(*) - sum(status) AS outNums
            FROM swipe WHERE day = DATE '2024-01-29' GROUP BY 1, 2) c ON c.stationID = s.stationID AND c.t = ts0""")
 def naive_forecast(spark, sf_dir):
-    return naive_plan(swipes(spark, sf_dir), PREVIOUS_DAY, FORECAST_DAY)
+    """From the stored flow: its stations make the template, its previous day the forecast."""
+    rows = stored_flow(spark, sf_dir)
+    earlier = rows.filter(F.col("day") == F.lit(PREVIOUS_DAY)).withColumn("day", F.lit(FORECAST_DAY))
+    return (grid.template(rows, FORECAST_DAY).join(earlier, grid.KEY, "left").na.fill(0, ["inNums", "outNums"])
+            .select("stationID", "startTime", "endTime", "inNums", "outNums"))
 
 
 @query("slot_flow", with_(SWIPE) + """
@@ -153,16 +157,28 @@ def distinct_devices_per_day(spark, sf_dir):
     return day_text(scoped.select("stationID", "day", "slot", "dID_of_sID", "dID_of_sID_h", "dID_of_sID_hm"))
 
 
-@query("top_device_max_and_mode", with_(SWIPE) + """,
-d AS (SELECT stationID, hour, deviceID, count(*) n FROM swipe GROUP BY ALL),
-p AS (SELECT stationID, hour, payType, count(*) n FROM swipe GROUP BY ALL)
-SELECT * FROM (SELECT stationID, hour, max(deviceID) AS deviceID_max,
-       first(deviceID ORDER BY n DESC, deviceID) AS deviceID_mode FROM d GROUP BY ALL)
-JOIN (SELECT stationID, hour, max(payType) AS payType_max,
-      first(payType ORDER BY n DESC, payType) AS payType_mode FROM p GROUP BY ALL) USING (stationID, hour)""".lstrip())
+_TOP_GRAINS = {"s": ["stationID"], "s_h": ["stationID", "hour"], "s_w_h": ["stationID", "weekday", "hour"]}
+
+
+def _top_sql(name: str, grain: list[str]) -> str:
+    keys = ", ".join(grain)
+    shown = ", ".join(k if k in grain else f"-1 AS {k}" for k in ("stationID", "weekday", "hour"))
+    return f"""SELECT '{name}' AS grain, {shown}, deviceID_max, deviceID_mode, payType_max, payType_mode
+FROM (SELECT {keys}, max(deviceID) AS deviceID_max, first(deviceID ORDER BY n DESC, deviceID) AS deviceID_mode
+      FROM (SELECT {keys}, deviceID, count(*) n FROM swipe GROUP BY ALL) GROUP BY {keys})
+JOIN (SELECT {keys}, max(payType) AS payType_max, first(payType ORDER BY n DESC, payType) AS payType_mode
+      FROM (SELECT {keys}, payType, count(*) n FROM swipe GROUP BY ALL) GROUP BY {keys}) USING ({keys})"""
+
+
+@query("top_device_max_and_mode", with_(SWIPE) + " UNION ALL ".join(_top_sql(n, g) for n, g in _TOP_GRAINS.items()))
 def top_device_max_and_mode(spark, sf_dir):
-    sw = flow.with_grain_fields(swipes(spark, sf_dir))
-    return flow.top_values(sw, ["deviceID", "payType"], ["stationID", "hour"])
+    """Three grains from one stored table of counts."""
+    sw = flow.with_grain_fields(swipes(spark, sf_dir)).select("stationID", "weekday", "hour", "deviceID", "payType")
+    sw = materialise(sw, "top")
+    parts = [flow.top_values(sw, ["deviceID", "payType"], g).select(
+        F.lit(n).alias("grain"), *[F.col(k) if k in g else F.lit(-1).alias(k) for k in ("stationID", "weekday", "hour")],
+        "deviceID_max", "deviceID_mode", "payType_max", "payType_mode") for n, g in _TOP_GRAINS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("largest_devices", with_(SWIPE) + """
@@ -235,11 +251,18 @@ def service_hours_flow(spark, sf_dir):
 
 
 @query("nonzero_entries", with_(DENSE) + """
-SELECT stationID, strftime(dense.day, '%Y-%m-%d') AS day, slot, inNums FROM dense
-WHERE inNums <> 0 AND (slot * 10 >= 1420 OR slot * 10 <= 320)""")
+SELECT 'inNums' AS flow, stationID, strftime(dense.day, '%Y-%m-%d') AS day, slot, inNums AS value FROM dense
+WHERE inNums <> 0 AND (slot * 10 >= 1420 OR slot * 10 <= 320)
+UNION ALL
+SELECT 'outNums', stationID, strftime(dense.day, '%Y-%m-%d'), slot, outNums FROM dense
+WHERE outNums <> 0 AND (slot * 10 >= 1420 OR slot * 10 <= 350)""")
 def nonzero_entries(spark, sf_dir):
-    night = (F.col("slot") * 10 >= 1420) | (F.col("slot") * 10 <= 320)
-    return day_text(dense_flow(spark, sf_dir).filter((F.col("inNums") != 0) & night).drop("outNums"))
+    """Night slots with entries, and with exits: the band of exits ends later."""
+    minute = F.col("slot") * 10
+    bands = {"inNums": (minute >= 1420) | (minute <= 320), "outNums": (minute >= 1420) | (minute <= 350)}
+    sides = F.array(*[F.when(night & (F.col(c) != 0), F.struct(F.lit(c).alias("flow"), F.col(c).alias("value"))) for c, night in bands.items()])
+    rows = dense_flow(spark, sf_dir).select("stationID", "day", "slot", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("x"))
+    return day_text(rows.select("x.flow", "stationID", "day", "slot", "x.value"))
 
 
 @query("daily_file_counts", with_(SWIPE) + """

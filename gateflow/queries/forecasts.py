@@ -15,11 +15,13 @@ from gateflow.session import materialise
 
 # Two simple forecasts of the forecast day: the previous business day, the mean of the last five.
 TWO = DENSE + """,
-f1 AS (SELECT stationID, slot, CAST(inNums AS DOUBLE) AS inNums, CAST(outNums AS DOUBLE) AS outNums
-       FROM dense WHERE day = DATE '2024-01-29'),
-f2 AS (SELECT stationID, slot, avg(inNums) AS inNums, avg(outNums) AS outNums FROM dense
-       WHERE day IN (DATE '2024-01-23', DATE '2024-01-24', DATE '2024-01-25', DATE '2024-01-26', DATE '2024-01-29')
-       GROUP BY 1, 2)"""
+two AS MATERIALIZED (
+  SELECT stationID, slot, CAST(sum(inNums) FILTER (day = DATE '2024-01-29') AS DOUBLE) AS i1,
+         CAST(sum(outNums) FILTER (day = DATE '2024-01-29') AS DOUBLE) AS o1, avg(inNums) AS i2, avg(outNums) AS o2
+  FROM dense WHERE day IN (DATE '2024-01-23', DATE '2024-01-24', DATE '2024-01-25', DATE '2024-01-26', DATE '2024-01-29')
+  GROUP BY 1, 2),
+f1 AS (SELECT stationID, slot, i1 AS inNums, o1 AS outNums FROM two),
+f2 AS (SELECT stationID, slot, i2 AS inNums, o2 AS outNums FROM two)"""
 
 
 def two_forecasts(dense):
@@ -28,8 +30,7 @@ def two_forecasts(dense):
 
 
 @query("blend", with_(TWO) + """
-SELECT stationID, slot, round((f1.inNums + f2.inNums) / 2, 9) AS inNums,
-       round((f1.outNums + f2.outNums) / 2, 9) AS outNums FROM f1 JOIN f2 USING (stationID, slot)""")
+SELECT stationID, slot, round((i1 + i2) / 2, 9) AS inNums, round((o1 + o2) / 2, 9) AS outNums FROM two""")
 def blend(spark, sf_dir):
     dense = materialise(dense_flow(spark, sf_dir), "dense")
     out = forecast.blend(two_forecasts(dense), keys=["stationID", "slot"])
@@ -146,29 +147,38 @@ def normalise_label(spark, sf_dir):
     return day_text(network.one_hot(out, "weekday", range(7)).drop("weekday", "inNums", "outNums"))
 
 
+def _smooth(s: str) -> str:
+    """Forecast one step ahead from the three smoothed levels ``{s}1..{s}3`` with a share of 0.3."""
+    return (f"round(3 * {s}1 - 3 * {s}2 + {s}3 + (0.3::DOUBLE / (2 * 0.7::DOUBLE * 0.7::DOUBLE)) * (4.5::DOUBLE * {s}1 "
+            f"- 7.6::DOUBLE * {s}2 + 3.1::DOUBLE * {s}3) + (0.09::DOUBLE / (2 * 0.7::DOUBLE * 0.7::DOUBLE)) * ({s}1 - 2 * {s}2 + {s}3), 9)")
+
+
+def _levels(s: str, v: str) -> str:
+    one = f"0.3::DOUBLE * x.{v} + 0.7::DOUBLE * s.{s}1"
+    two = f"0.3::DOUBLE * ({one}) + 0.7::DOUBLE * s.{s}2"
+    return f"{one}, {two}, 0.3::DOUBLE * ({two}) + 0.7::DOUBLE * s.{s}3"
+
+
 @query("triple_smoothing", "WITH RECURSIVE " + DENSE + """,
-x AS (SELECT stationID, slot, CAST(date_diff('day', DATE '2024-01-01', dense.day) AS INTEGER) AS k,
-             CAST(inNums AS DOUBLE) AS v FROM dense),
-s AS (SELECT stationID, slot, k, v AS s1, v AS s2, v AS s3 FROM x WHERE k = 0
+x AS MATERIALIZED (SELECT stationID, slot, CAST(date_diff('day', DATE '2024-01-01', dense.day) AS INTEGER) AS k,
+             CAST(inNums AS DOUBLE) AS v, CAST(outNums AS DOUBLE) AS u FROM dense),
+s AS (SELECT stationID, slot, k, v AS i1, v AS i2, v AS i3, u AS o1, u AS o2, u AS o3 FROM x WHERE k = 0
       UNION ALL
-      SELECT s.stationID, s.slot, x.k, 0.3::DOUBLE * x.v + 0.7::DOUBLE * s.s1,
-             0.3::DOUBLE * (0.3::DOUBLE * x.v + 0.7::DOUBLE * s.s1) + 0.7::DOUBLE * s.s2,
-             0.3::DOUBLE * (0.3::DOUBLE * (0.3::DOUBLE * x.v + 0.7::DOUBLE * s.s1) + 0.7::DOUBLE * s.s2)
-               + 0.7::DOUBLE * s.s3
+      SELECT s.stationID, s.slot, x.k, """.lstrip() + _levels("i", "v") + ", " + _levels("o", "u") + """
       FROM s JOIN x ON x.stationID = s.stationID AND x.slot = s.slot AND x.k = s.k + 1)
-SELECT stationID, slot, round(3 * s1 - 3 * s2 + s3
-         + (0.3::DOUBLE / (2 * 0.7::DOUBLE * 0.7::DOUBLE)) * (4.5::DOUBLE * s1 - 7.6::DOUBLE * s2 + 3.1::DOUBLE * s3)
-         + (0.09::DOUBLE / (2 * 0.7::DOUBLE * 0.7::DOUBLE)) * (s1 - 2 * s2 + s3), 9) AS inNums_smooth
-FROM s WHERE k = 29""".lstrip())
+SELECT stationID, slot, """ + _smooth("i") + " AS inNums_smooth, " + _smooth("o") + """ AS outNums_smooth
+FROM s WHERE k = 29""")
 def triple_smoothing(spark, sf_dir):
-    out = forecast.triple_smoothing(dense_flow(spark, sf_dir), 0.3)
-    return out.withColumn("inNums_smooth", F.round("inNums_smooth", 9))
+    dense = materialise(dense_flow(spark, sf_dir), "dense")
+    out = forecast.triple_smoothing(dense, 0.3).join(forecast.triple_smoothing(dense, 0.3, column="outNums"), ["stationID", "slot"])
+    return out.withColumns({c: F.round(c, 9) for c in ("inNums_smooth", "outNums_smooth")})
 
 
 @query("week_over_week", with_(DENSE) + """
-SELECT a.stationID, strftime(a.day, '%Y-%m-%d') AS day, a.slot, a.inNums, a.outNums, b.inNums AS inNums_week,
-       a.inNums - b.inNums AS inNums_change, b.outNums AS outNums_week, a.outNums - b.outNums AS outNums_change
-FROM dense a JOIN dense b ON a.stationID = b.stationID AND a.slot = b.slot AND b.day + INTERVAL 7 DAY = a.day""")
+SELECT stationID, strftime(d, '%Y-%m-%d') AS day, slot, inNums, outNums, i AS inNums_week, inNums - i AS inNums_change,
+       o AS outNums_week, outNums - o AS outNums_change
+FROM (SELECT stationID, dense.day AS d, slot, inNums, outNums, lag(inNums, 7) OVER w AS i, lag(outNums, 7) OVER w AS o
+      FROM dense WINDOW w AS (PARTITION BY stationID, slot ORDER BY dense.day)) WHERE i IS NOT NULL""")
 def week_over_week(spark, sf_dir):
     return day_text(forecast.week_over_week(dense_flow(spark, sf_dir)))
 
@@ -178,7 +188,7 @@ SELECT stationID, strftime(flow.day, '%Y-%m-%d') AS day, slot, inNums, outNums F
 WHERE day BETWEEN DATE '2024-01-22' AND DATE '2024-01-26' OR day = DATE '2024-01-29'""")
 def recent_training_days(spark, sf_dir):
     days = [dt.date(2024, 1, d) for d in (22, 23, 24, 25, 26, 29)]
-    return day_text(forecast.recent_days(flow.slot_flow(swipes(spark, sf_dir)), days))
+    return day_text(forecast.recent_days(flow.slot_flow(forecast.covering(swipes(spark, sf_dir), days)), days))
 
 
 @query("paytype_sum", with_(SWIPE) + """
@@ -189,7 +199,7 @@ SELECT stationID, slot, round(sum(inNums), 9) AS inNums, round(sum(outNums), 9)
 def paytype_sum(spark, sf_dir):
     """Mean of five days per ticket type, summed to station totals."""
     days = [dt.date(2024, 1, d) for d in (23, 24, 25, 26, 29)]
-    rows = forecast.recent_days(flow.slot_flow(swipes(spark, sf_dir), ["payType"]), days)
+    rows = forecast.recent_days(flow.slot_flow(forecast.covering(swipes(spark, sf_dir), days), ["payType"]), days)
     per_type = rows.groupBy("stationID", "slot", "payType").agg(
         *[(F.sum(c) / F.lit(5.0)).alias(c) for c in ("inNums", "outNums")])
     return per_type.groupBy("stationID", "slot").agg(
@@ -198,9 +208,8 @@ def paytype_sum(spark, sf_dir):
 
 @query("forecast_files_blend", with_(TWO) + """
 SELECT stationID, TIMESTAMP '2024-01-30' + to_minutes(CAST(slot * 10 AS BIGINT)) AS startTime,
-       round((f1.inNums + f2.inNums) / 2, 9) AS inNums, round((f1.outNums + f2.outNums) / 2, 9) AS outNums,
-       CAST(2 AS BIGINT) AS runs
-FROM f1 JOIN f2 USING (stationID, slot)""")
+       round((i1 + i2) / 2, 9) AS inNums, round((o1 + o2) / 2, 9) AS outNums, CAST(2 AS BIGINT) AS runs
+FROM two""")
 def forecast_files_blend(spark, sf_dir):
     """Two runs written as forecast files, all files of the folder read back and averaged per key."""
     from gateflow.session import run_folder

@@ -11,6 +11,7 @@ from gateflow.functions import timefields as tf
 from gateflow.operators import flow, grid, history, trailing
 from gateflow.queries.flow import dense_flow, stored_flow, swipes
 from gateflow.queries.registry import BUSINESS, DENSE, FIRST_DAY, FLOW, HOLIDAYS, ORIGIN, day_text, query, with_
+from gateflow.session import materialise
 
 
 def indexed(df):
@@ -63,20 +64,21 @@ def prev_day_first_repeated(spark, sf_dir):
 @query("prev_day_paytype_join", with_(DENSE) + """,
 pay AS (SELECT stationID, day, slot, payType, CAST(sum(status) AS BIGINT) AS inNums,
                CAST(count(*) - sum(status) AS BIGINT) AS outNums FROM swipe GROUP BY ALL),
-grid4 AS (SELECT c.*, CAST(p AS INTEGER) AS payType FROM cells c, generate_series(0, 3) q(p)
-          WHERE c.day = DATE '2024-01-30')
-SELECT g.stationID, g.slot, g.payType, coalesce(b.inNums, 0) AS inNums_p, coalesce(b.outNums, 0) AS outNums_p
-FROM grid4 g LEFT JOIN pay b ON g.stationID = b.stationID AND g.slot = b.slot AND g.payType = b.payType
-  AND b.day = DATE '2024-01-29'""".lstrip())
+target AS (SELECT c.stationID, c.day, c.slot, CAST(p AS INTEGER) AS payType FROM cells c, generate_series(0, 3) q(p)
+           WHERE c.day = DATE '2024-01-30'
+           UNION ALL SELECT stationID, day, slot, payType FROM pay WHERE day < DATE '2024-01-30')
+SELECT g.stationID, strftime(g.day, '%Y-%m-%d') AS day, g.slot, g.payType, coalesce(b.inNums, 0) AS inNums_p,
+       coalesce(b.outNums, 0) AS outNums_p
+FROM target g LEFT JOIN pay b ON g.stationID = b.stationID AND g.slot = b.slot AND g.payType = b.payType
+  AND b.day + INTERVAL 1 DAY = g.day""".lstrip())
 def prev_day_paytype_join(spark, sf_dir):
     """Forecast rows for every ticket type appended to the flow, then the previous day brought over."""
-    sw = swipes(spark, sf_dir)
-    known = flow.slot_flow(sw, ["payType"]).filter(F.col("day") < F.lit(dt.date(2024, 1, 30)))
-    ahead = grid.per_pay_type(grid.grid(sw, dt.date(2024, 1, 30), dt.date(2024, 1, 30)))
+    typed = materialise(flow.slot_flow(swipes(spark, sf_dir), ["payType"]), "typed")
+    known = typed.filter(F.col("day") < F.lit(dt.date(2024, 1, 30)))
+    ahead = grid.per_pay_type(grid.grid(typed, dt.date(2024, 1, 30), dt.date(2024, 1, 30)))
     rows = known.unionByName(ahead, allowMissingColumns=True).withColumn("dayIndex", day_index())
     joined = history.previous_day(rows, keys=("stationID", "slot", "payType"))
-    return joined.filter(F.col("dayIndex") == 30).na.fill(0).select(
-        "stationID", "slot", "payType", "inNums_p", "outNums_p")
+    return day_text(joined.na.fill(0).select("stationID", "day", "slot", "payType", "inNums_p", "outNums_p"))
 
 
 @query("neighbour_slots", with_(DENSE) + """
@@ -95,9 +97,11 @@ LABEL_DAYS = [dt.date(2024, 1, 9), dt.date(2024, 1, 16), dt.date(2024, 1, 23), d
 labels AS (SELECT unnest([DATE '2024-01-09', DATE '2024-01-16', DATE '2024-01-23', DATE '2024-01-30']) AS labelDay)
 SELECT stationID, slot, strftime(labelDay, '%Y-%m-%d') AS labelDay,
 """ .lstrip() + ",\n".join(
-    f"max(inNums) FILTER (g = {i}) AS In{i}, max(outNums) FILTER (g = {i}) AS out{i}, "
-    f"CAST(max(g) FILTER (g = {i}) AS INTEGER) AS gap{i}" for i in range(1, 6)) + """
-FROM (SELECT dense.*, labelDay, date_diff('day', dense.day, labelDay) AS g FROM dense, labels) WHERE g BETWEEN 1 AND 5
+    f"max(inNums) FILTER (k = {i}) AS In{i}, max(outNums) FILTER (k = {i}) AS out{i}, "
+    f"CAST(max(g) FILTER (k = {i}) AS INTEGER) AS gap{i}" for i in range(1, 6)) + """
+FROM (SELECT dense.*, labelDay, date_diff('day', dense.day, labelDay) AS g,
+             row_number() OVER (PARTITION BY stationID, slot, labelDay ORDER BY dense.day DESC) AS k
+      FROM dense JOIN labels ON dense.day < labelDay) WHERE k <= 5
 GROUP BY stationID, slot, labelDay""")
 def last5_days(spark, sf_dir):
     return day_text(history.last_days_wide(dense_flow(spark, sf_dir), LABEL_DAYS))
@@ -112,14 +116,17 @@ def rolling_mean(spark, sf_dir):
     return day_text(history.rolling_mean(dense_flow(spark, sf_dir)).drop("inNums", "outNums"))
 
 
-@query("peaks_valleys", with_(DENSE) + """
+@query("peaks_valleys", with_(DENSE) + " UNION ALL ".join(f"""
 SELECT * FROM (
-  SELECT stationID, strftime(dense.day, '%Y-%m-%d') AS day, slot, inNums,
-         CASE WHEN inNums > lag(inNums) OVER w AND inNums > lead(inNums) OVER w THEN 'peak'
-              WHEN inNums < lag(inNums) OVER w AND inNums < lead(inNums) OVER w THEN 'valley' END AS kind
-  FROM dense WINDOW w AS (PARTITION BY stationID, dense.day ORDER BY slot)) WHERE kind IS NOT NULL""")
+  SELECT stationID, strftime(dense.day, '%Y-%m-%d') AS day, slot, '{c}' AS flow, {c} AS value,
+         CASE WHEN {c} > lag({c}) OVER w AND {c} > lead({c}) OVER w THEN 'peak'
+              WHEN {c} < lag({c}) OVER w AND {c} < lead({c}) OVER w THEN 'valley' END AS kind
+  FROM dense WINDOW w AS (PARTITION BY stationID, dense.day ORDER BY slot)) WHERE kind IS NOT NULL""" for c in ("inNums", "outNums")))
 def peaks_valleys(spark, sf_dir):
-    return day_text(history.peaks_valleys(dense_flow(spark, sf_dir)).drop("outNums"))
+    dense = materialise(dense_flow(spark, sf_dir), "dense")
+    both = [history.peaks_valleys(dense, c).select("stationID", "day", "slot", F.lit(c).alias("flow"), F.col(c).alias("value"), "kind")
+            for c in ("inNums", "outNums")]
+    return day_text(both[0].unionByName(both[1]))
 
 
 _EXPANDING = {"h": "hour", "hm": "hour, minute", "wh": "weekday, hour", "whm": "weekday, hour, minute"}
@@ -156,10 +163,12 @@ _WIDE = [f"{side}{i}" for i in range(1, 6) for side in ("In", "out")]
 labels AS (SELECT unnest([DATE '2024-01-09', DATE '2024-01-16', DATE '2024-01-23', DATE '2024-01-30']) AS labelDay),
 w AS (SELECT stationID, slot, labelDay,
 """.lstrip() + ",\n".join(
-    f"max(inNums) FILTER (g = {i}) AS In{i}, max(outNums) FILTER (g = {i}) AS out{i}, "
-    f"CAST(max(g) FILTER (g = {i}) AS INTEGER) AS gap{i}" for i in range(1, 6)) + """
-  FROM (SELECT dense.*, labelDay, date_diff('day', dense.day, labelDay) AS g FROM dense, labels)
-  WHERE g BETWEEN 1 AND 5 GROUP BY 1, 2, 3)
+    f"max(inNums) FILTER (k = {i}) AS In{i}, max(outNums) FILTER (k = {i}) AS out{i}, "
+    f"CAST(max(g) FILTER (k = {i}) AS INTEGER) AS gap{i}" for i in range(1, 6)) + """
+  FROM (SELECT dense.*, labelDay, date_diff('day', dense.day, labelDay) AS g,
+               row_number() OVER (PARTITION BY stationID, slot, labelDay ORDER BY dense.day DESC) AS k
+        FROM dense JOIN labels ON dense.day < labelDay)
+  WHERE k <= 5 GROUP BY 1, 2, 3)
 SELECT w.* EXCLUDE (l), """ + ", ".join(f'coalesce(lag({c}) OVER n, -1) AS "{c}_1", coalesce(lead({c}) OVER n, -1) AS "{c}_-1"'
                             for c in _WIDE) + """,
        d.inNums AS labelin, d.outNums AS labelout
@@ -257,7 +266,38 @@ def _slip_labels(span: int) -> tuple[str, str]:
     trailing.SLIP_SPEC, TRAILING_WINDOWS_BY_SPAN[2], *_slip_labels(2), extra="part, "))
 def trailing_stats_by_slip(spark, sf_dir):
     """Capped variant with two-day spans: train, train-all, validation and test rows."""
-    return _trailing_output(trailing.slip_sets(business_flow(spark, sf_dir), 2, 20, 21), ["part"])
+    return _slip_output(spark, sf_dir, 2)
+
+
+def _slip_output(spark, sf_dir, span):
+    rows = business_flow(spark, sf_dir)
+    return _trailing_output(trailing.slip_sets(rows, span, 20, 21, cap=ANCHOR_CAP_BY_SPAN[span]), ["part"])
+
+
+def _register_slip(span: int) -> None:
+    @query(f"trailing_stats_by_slip_{span}", _trailing_sql(
+        trailing.SLIP_SPEC, TRAILING_WINDOWS_BY_SPAN[span], *_slip_labels(span), extra="part, "))
+    def slip(spark, sf_dir):
+        return _slip_output(spark, sf_dir, span)
+
+
+for _span in (1, 3, 5):
+    _register_slip(_span)
+
+
+def _register_anchor_set(span: int) -> None:
+    found = ", ".join(str(a) for a in trailing.anchors_before(21, span))
+
+    @query(f"anchor_training_set_{span}", _trailing_sql(
+        trailing.DEFAULT_SPEC, (1, 3, 5, 10, 15),
+        f"SELECT h.*, anchor FROM hist h JOIN anchors ON h.idx >= anchor AND h.idx < anchor + {span} AND h.idx < 21",
+        f"SELECT unnest([{found}]) AS anchor"))
+    def anchor_set(spark, sf_dir):
+        return _trailing_output(trailing.anchor_training_set(business_flow(spark, sf_dir), span=span, end=21))
+
+
+for _span in (2, 5, 7):
+    _register_anchor_set(_span)
 
 
 _DEVICE = ["dID_of_sID", "dID_of_sID_h", "dID_of_sID_hm"] + [

@@ -48,18 +48,19 @@ def rolling_origin_splits(spark, sf_dir):
 
 
 @query("fold_errors", with_(DENSE, BUSINESS) + """,
-p AS (SELECT stationID, idx, slot, inNums, lag(inNums) OVER (PARTITION BY stationID, slot ORDER BY idx) AS prev
-      FROM dense JOIN business USING (day)),
-f AS (SELECT (stationID * 31 + idx * 7 + slot) % 5 AS fold, avg(abs(inNums - prev)) AS mae FROM p
-      WHERE prev IS NOT NULL GROUP BY 1)
-SELECT 'inNums' AS label, round(avg(mae), 9) AS mae FROM f""".lstrip())
+p AS (SELECT stationID, idx, slot, inNums, outNums, lag(inNums) OVER w AS i, lag(outNums) OVER w AS o
+      FROM dense JOIN business USING (day) WINDOW w AS (PARTITION BY stationID, slot ORDER BY idx)),
+f AS (SELECT (stationID * 31 + idx * 7 + slot) % 5 AS fold, avg(abs(inNums - i)) AS mi, avg(abs(outNums - o)) AS mo FROM p
+      WHERE i IS NOT NULL GROUP BY 1)
+SELECT 'inNums' AS label, round(avg(mi), 9) AS mae FROM f UNION ALL SELECT 'outNums', round(avg(mo), 9) FROM f""".lstrip())
 def fold_errors(spark, sf_dir):
     """Error of the previous business day as forecast: per fold first, then averaged over the folds."""
     from gateflow.operators import forecast, history
-    rows = history.business_day_lags(indexed(dense_flow(spark, sf_dir)), ["inNums"], [1])
-    scores = (rows.filter(F.col("inNums_lag_1").isNotNull()).groupBy(model.arithmetic_fold(5).alias("fold"))
-              .agg(F.avg(F.abs(F.col("inNums") - F.col("inNums_lag_1"))).alias("mae"))
-              .withColumn("label", F.lit("inNums")))
+    rows = history.business_day_lags(indexed(dense_flow(spark, sf_dir)), lags=[1])
+    gaps = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.abs(F.col(c) - F.col(f"{c}_lag_1")).alias("gap"))
+                               for c in ("inNums", "outNums")]))
+    scores = (rows.filter(F.col("inNums_lag_1").isNotNull()).select(model.arithmetic_fold(5).alias("fold"), gaps.alias("g"))
+              .groupBy("fold", F.col("g.label").alias("label")).agg(F.avg("g.gap").alias("mae")))
     return forecast.mean_over_folds(scores).withColumn("mae", F.round("mae", 9))
 
 

@@ -38,12 +38,10 @@ def network_edges(spark, sf_dir):
     return oneway.unionByName(oneway.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-@query("neighbour_list", with_(EDGES, "r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) k "
-                                      "FROM edges)") + """
-SELECT src AS stationID, """ + ", ".join(f"coalesce(max(dst) FILTER (k = {i + 1}), -1) AS map{i:02d}"
-                                         for i in range(4)) + " FROM r GROUP BY src")
+@query("neighbour_list", with_(EDGES) + """
+SELECT src AS stationID, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS INTEGER) AS rank, dst AS neighbour FROM edges""")
 def neighbour_list(spark, sf_dir):
-    return network.neighbours(network_edges(spark, sf_dir)).na.fill(-1)
+    return network.neighbour_ranks(network_edges(spark, sf_dir))
 
 
 @query("station_degree", with_(EDGES) + "SELECT dst AS stationID, count(*) AS degree FROM edges GROUP BY dst")
@@ -59,15 +57,51 @@ def graph_checks(spark, sf_dir):
     return network.graph_checks(network_edges(spark, sf_dir))
 
 
-@query("graph_svd")
+def _svd_sql(cells: str, row: str, column: str, names, start: str, rounds: int = 10) -> str:
+    """The iteration as a chain of subqueries over ``cells`` (row, column)."""
+    parts = [f"v0 AS MATERIALIZED (SELECT {column}, 1.0::DOUBLE AS x, ({start})::DOUBLE AS y FROM (SELECT DISTINCT {column} FROM {cells}))"]
+    for k in range(rounds):
+        parts += [
+            f"u{k} AS MATERIALIZED (SELECT {row}, sum(x) AS x, sum(y) AS y FROM {cells} JOIN v{k} USING ({column}) GROUP BY 1)",
+            f"t{k} AS MATERIALIZED (SELECT {column}, sum(x) AS x, sum(y) AS y FROM {cells} JOIN u{k} USING ({row}) GROUP BY 1)",
+            f"g{k} AS MATERIALIZED (SELECT sum(x * x) AS xx, sum(x * y) AS xy FROM t{k})",
+            f"o{k} AS MATERIALIZED (SELECT {column}, x / sqrt(xx) AS x, y - xy / xx * x AS y FROM t{k}, g{k})",
+            f"n{k} AS MATERIALIZED (SELECT sum(y * y) AS yy FROM o{k})",
+            f"v{k + 1} AS MATERIALIZED (SELECT {column}, x, y / sqrt(yy) AS y FROM o{k}, n{k})"]
+    parts += [f"signs AS (SELECT CASE WHEN sum(x) < 0 THEN -1 ELSE 1 END AS sx, "
+              f"CASE WHEN sum(y * ({start})) < 0 THEN -1 ELSE 1 END AS sy FROM v{rounds})",
+              f"f AS (SELECT {row}, round(sum(x), 6) AS a, round(sum(y), 6) AS b FROM {cells} JOIN v{rounds} USING ({column}) GROUP BY 1)"]
+    return ", ".join(parts) + f" SELECT {{row}}, a * sx + 0.0 AS {names[0]}, b * sy + 0.0 AS {names[1]} FROM f, signs"
+
+
+@query("graph_svd", with_(EDGES, "cells AS (SELECT DISTINCT src AS stationID, dst FROM edges)", _svd_sql(
+    "cells", "stationID", "dst", ["mapSVD1", "mapSVD2"], network.ROAD_START).format(row="stationID")))
 def graph_svd(spark, sf_dir):
     edges = network_edges(spark, sf_dir).withColumnRenamed("src", "stationID")
-    return network.svd_features(edges, "stationID", "dst", ["mapSVD1", "mapSVD2"])
+    out = network.svd_features(edges, "stationID", "dst", ["mapSVD1", "mapSVD2"], network.ROAD_START)
+    return out.withColumns({c: F.round(c, 6) for c in ("mapSVD1", "mapSVD2")})
 
 
-@query("graph_nmf")
+def _nmf_sql(iterations: int = 10) -> str:
+    first = "(SELECT {0}, (1 + 0.5 * ({0} % 3))::DOUBLE AS x, (1 + 0.25 * ({0} % 5))::DOUBLE AS y FROM (SELECT DISTINCT {0} FROM edges))"
+    parts = [f"w0 AS MATERIALIZED {first.format('src')}", f"h0 AS MATERIALIZED {first.format('dst')}"]
+
+    def update(new, own, other, by, onto):
+        parts.extend([
+            f"g_{new} AS MATERIALIZED (SELECT sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM {other})",
+            f"p_{new} AS MATERIALIZED (SELECT {onto}, sum(x) AS px, sum(y) AS py FROM edges JOIN {other} USING ({by}) GROUP BY 1)",
+            f"{new} AS MATERIALIZED (SELECT {onto}, x * px / (x * xx + y * xy) AS x, y * py / (x * xy + y * yy) AS y "
+            f"FROM {own} JOIN p_{new} USING ({onto}), g_{new})"])
+    for k in range(iterations):
+        update(f"h{k + 1}", f"h{k}", f"w{k}", "src", "dst")
+        update(f"w{k + 1}", f"w{k}", f"h{k + 1}", "dst", "src")
+    return ", ".join(parts) + f" SELECT src AS stationID, round(x, 6) AS mapNMF1, round(y, 6) AS mapNMF2 FROM w{iterations}"
+
+
+@query("graph_nmf", with_(EDGES, _nmf_sql()))
 def graph_nmf(spark, sf_dir):
-    return network.nmf_features(network_edges(spark, sf_dir))
+    out = network.nmf_features(network_edges(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("mapNMF1", "mapNMF2")})
 
 
 # Weather stand-in: most frequent event type of the day, value range as temperature, size of the day as wind.
@@ -120,9 +154,12 @@ def weather_onehot(spark, sf_dir):
                                  F.col("`wind_odd/calm`").alias("wind_odd")))
 
 
-@query("weather_svd")
+@query("weather_svd", with_(WEATHER, "cells AS (SELECT day, 'weat=' || weat AS cell FROM weather UNION SELECT day, 'wind=' || wind FROM weather)",
+                            _svd_sql("cells", "day", "cell", ["weatsvd1", "weatsvd2"], network.WEATHER_START).format(
+                                row="strftime(day, '%Y-%m-%d') AS day")))
 def weather_svd(spark, sf_dir):
-    return day_text(network.weather_features(parse_weather(weather_days(spark, sf_dir))))
+    out = day_text(network.weather_features(parse_weather(weather_days(spark, sf_dir))))
+    return out.withColumns({c: F.round(c, 6) for c in ("weatsvd1", "weatsvd2")})
 
 
 @query("line_onehot", with_(SWIPE) + """
@@ -134,12 +171,13 @@ def line_onehot(spark, sf_dir):
 
 
 @query("dim_enrich", with_(FLOW, EDGES, WEATHER) + """,
-road AS (SELECT dst AS stationID, count(*) AS degree, min(src) AS map00 FROM edges GROUP BY 1)
+road AS (SELECT dst AS stationID, count(*) AS degree, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS neighbours FROM edges GROUP BY 1)
 SELECT stationID, strftime(f.day, '%Y-%m-%d') AS day, slot, inNums, outNums, coalesce(degree, -1) AS degree,
-       coalesce(map00, -1) AS map00, weat, temp
+       coalesce(neighbours, '') AS neighbours, weat, temp
 FROM flow f LEFT JOIN road USING (stationID) LEFT JOIN weather w ON w.day = f.day""".lstrip())
 def dim_enrich(spark, sf_dir):
     edges = materialise(network_edges(spark, sf_dir), "edges")
-    road = network.degrees(edges).join(network.neighbours(edges, 1), "stationID")
+    road = network.degrees(edges).join(network.neighbour_lists(edges), "stationID").withColumn(
+        "neighbours", F.array_join("neighbours", ","))
     days = parse_weather(weather_days(spark, sf_dir)).select("day", "weat", "temp")
-    return day_text(network.enrich(flow.slot_flow(swipes(spark, sf_dir)), road, days).na.fill(-1))
+    return day_text(network.enrich(flow.slot_flow(swipes(spark, sf_dir)), road, days).na.fill(-1).na.fill("", ["neighbours"]))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from gateflow.functions import numeric as num
 from gateflow.functions import timefields as tf
 from gateflow.operators import flow, history, profile, selection
-from gateflow.queries.flow import dense_flow, swipes
+from gateflow.queries.flow import dense_flow, stored_flow, swipes
 from gateflow.queries.registry import DENSE, FIRST_DAY, FLOW, FORECAST_DAY, SWIPE, day_text, query, with_
+from gateflow.session import materialise
 
 # Swipes with holes: low device numbers are blanked so that missing values occur.
 _HOLES = "h AS (SELECT *, CASE WHEN deviceID >= 10 THEN deviceID END AS device2 FROM swipe)"
@@ -18,7 +19,7 @@ def holed(spark, sf_dir):
     return swipes(spark, sf_dir).withColumn("device2", F.when(F.col("deviceID") >= 10, F.col("deviceID")))
 
 
-_PROFILED = ["event_id", "stationID", "status", "payType", "device2", "value"]
+_PROFILED = ["event_id", "stationID", "deviceID", "status", "payType", "value", "device2"]  # all numeric columns
 
 
 @query("column_profile", with_(SWIPE, _HOLES) + " UNION ALL ".join(f"""
@@ -35,14 +36,22 @@ def column_profile(spark, sf_dir):
 
 
 @query("narrowed_columns", with_(SWIPE, _HOLES) + """
-SELECT event_id, CAST(stationID AS TINYINT) AS stationID, CAST(coalesce(device2, 9) AS TINYINT) AS device2,
+SELECT event_id, time, lineID, userID, CAST(stationID AS TINYINT) AS stationID, CAST(deviceID AS TINYINT) AS deviceID,
+       CAST(status AS TINYINT) AS status, CAST(payType AS TINYINT) AS payType, CAST(coalesce(device2, 9) AS TINYINT) AS device2,
        CAST(value AS FLOAT) AS value FROM h""")
 def narrowed_columns(spark, sf_dir):
-    rows = holed(spark, sf_dir).select("event_id", "stationID", "device2", "value")
-    return profile.narrow(rows, ["stationID", "device2", "value"])[0]
+    """Every numeric column; the type of event_id follows the number of rows, so it keeps its own here."""
+    return profile.narrow(holed(spark, sf_dir), [c for c in _PROFILED if c != "event_id"])[0]
 
 
-_CODED = ["lineID", "stationID", "device2", "status", "payType"]
+# Every column; times as text, which both engines write alike.
+_COLUMNS = ["event_id", "timeText", "lineID", "stationID", "deviceID", "status", "userID", "payType", "value", "device2"]
+_TIMED = "h AS (SELECT *, strftime(time, '%Y-%m-%d %H:%M:%S') AS timeText, CASE WHEN deviceID >= 10 THEN deviceID END AS device2 FROM swipe)"
+_CODED = [c for c in _COLUMNS if c != "value"]  # the text of a fraction differs between engines
+
+
+def timed(spark, sf_dir):
+    return holed(spark, sf_dir).withColumn("timeText", F.date_format("time", "yyyy-MM-dd HH:mm:ss")).drop("time")
 
 
 def _counts_sql(columns) -> str:
@@ -50,36 +59,44 @@ def _counts_sql(columns) -> str:
         f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM h GROUP BY 2""" for c in columns)
 
 
-@query("value_frequencies", with_(SWIPE, _HOLES, f"c AS ({_counts_sql(_CODED)})") + """
+@query("value_frequencies", with_(SWIPE, _TIMED, f"c AS ({_counts_sql(_CODED)})") + """
 SELECT "column", coalesce(value, 'none') AS value, n, n / (SELECT count(*) FROM h) AS share FROM c""")
 def value_frequencies(spark, sf_dir):
-    return profile.value_frequencies(holed(spark, sf_dir), _CODED).na.fill("none", ["value"])
+    return profile.value_frequencies(timed(spark, sf_dir), _CODED).na.fill("none", ["value"])
 
 
-@query("column_stats", with_(SWIPE, _HOLES, f"c AS ({_counts_sql(_CODED)})") + """
+@query("column_stats", with_(SWIPE, _TIMED, f"c AS ({_counts_sql(_COLUMNS)})") + """
 SELECT "column", max(n) / (SELECT count(*) FROM h) AS topShare, count(value) AS nunique FROM c GROUP BY 1""")
 def column_stats(spark, sf_dir):
-    return profile.column_stats(holed(spark, sf_dir), _CODED)
+    return profile.column_stats(timed(spark, sf_dir), _COLUMNS)
+
+
+_NUMERIC = ["event_id", "stationID", "deviceID", "status", "payType", "value", "device2"]
+
+
+def _summary_sql(c: str) -> str:
+    number = c in _NUMERIC
+    freq = f"(SELECT max(n) FROM (SELECT count(*) n FROM h WHERE {c} IS NOT NULL GROUP BY {c}))"
+    top = (f"CASE WHEN {freq} > 1 THEN (SELECT CAST({c} AS VARCHAR) FROM h WHERE {c} IS NOT NULL GROUP BY {c} "
+           f"ORDER BY count(*) DESC, CAST({c} AS VARCHAR) DESC LIMIT 1) END")
+    numbers = [f"round(avg({c}), 6)", f"round(stddev_samp({c}), 6)", f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)",
+               *[f"round(quantile_cont({c}, {q}), 6)" for q in (0.25, 0.5, 0.75)]] if number else ["CAST(NULL AS DOUBLE)"] * 7
+    names = ["mean", "std", '"min"', '"max"', "q25", "q50", "q75"]
+    return (f"SELECT '{c}' AS \"column\", count({c}) AS count, count(DISTINCT {c}) AS \"unique\", coalesce({top}, 'none') AS top, "
+            f"{freq} AS freq, " + ", ".join(f"{e} AS {n}" for e, n in zip(numbers, names)) + " FROM h")
 
 
-@query("summary_stats", with_(SWIPE, _HOLES) + " UNION ALL ".join([f"""
-SELECT '{c}' AS "column", count({c}) AS count, count(DISTINCT {c}) AS "unique",
-       (SELECT CAST({c} AS VARCHAR) FROM h WHERE {c} IS NOT NULL GROUP BY {c}
-        ORDER BY count(*) DESC, CAST({c} AS VARCHAR) DESC LIMIT 1) AS top,
-       (SELECT max(n) FROM (SELECT count(*) n FROM h WHERE {c} IS NOT NULL GROUP BY {c})) AS freq,
-       round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS "min",
-       CAST(max({c}) AS DOUBLE) AS "max", quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50,
-       quantile_cont({c}, 0.75) AS q75 FROM h""" for c in _CODED[1:]]))
+@query("summary_stats", with_(SWIPE, _TIMED) + " UNION ALL ".join(_summary_sql(c) for c in _COLUMNS))
 def summary_stats(spark, sf_dir):
-    out = profile.summary(holed(spark, sf_dir), _CODED[1:])
-    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+    out = profile.summary(timed(spark, sf_dir), _COLUMNS)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")}).na.fill("none", ["top"])
 
 
 @query("null_profile", with_(SWIPE, _HOLES) + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(*) - count({c}) AS nulls FROM h"""
-    for c in ["time", "lineID", "stationID", "deviceID", "status", "userID", "payType", "device2"]))
+    for c in ["event_id", "time", "lineID", "stationID", "deviceID", "status", "userID", "payType", "value", "device2"]))
 def null_profile(spark, sf_dir):
-    return profile.null_profile(holed(spark, sf_dir).drop("event_id", "value"))
+    return profile.null_profile(holed(spark, sf_dir))
 
 
 @query("outlier_checks", with_(SWIPE) + """
@@ -109,9 +126,9 @@ _QUASI_SQL = ("q AS (SELECT stationID, slot, inNums, outNums, CASE WHEN inNums >
     f"""SELECT '{c}' AS "column", max(n) / (SELECT count(*) FROM q) AS topShare
     FROM (SELECT {c}, count(*) n FROM q GROUP BY 1)""" for c in _QUASI) + ") WHERE topShare > 0.90")
 def quasi_constant(spark, sf_dir):
-    rows = dense_flow(spark, sf_dir).select(
+    rows = materialise(dense_flow(spark, sf_dir).select(
         "stationID", "slot", "inNums", "outNums", F.when(F.col("inNums") > 30, "busy").alias("busy"),
-        F.lit(1).alias("version"))
+        F.lit(1).alias("version")), "quasi")  # read twice below
     return selection.dominant_values(rows)
 
 
@@ -141,7 +158,7 @@ FROM u GROUP BY stationID, u.day, slot, inNums, outNums HAVING sum(s) <> 0""".ls
 def dataset_equality(spark, sf_dir):
     """Two versions of the flow: one lacks a day, the other has a closed station."""
     import datetime as dt
-    rows = flow.slot_flow(swipes(spark, sf_dir))
+    rows = stored_flow(spark, sf_dir)
     a = rows.filter(F.col("day") < F.lit(dt.date(2024, 1, 20)))
     b = rows.filter(F.col("day") < F.lit(dt.date(2024, 1, 21))).withColumn(
         "inNums", F.when(F.col("stationID") == 4, F.lit(0)).otherwise(F.col("inNums")))
@@ -156,8 +173,8 @@ SELECT stationID, '2024-01-30', slot, NULL, NULL FROM cells WHERE day = DATE '20
 def union_unlike(spark, sf_dir):
     """Training rows and forecast rows; the latter have no flow columns."""
     from gateflow.operators import grid
-    sw = swipes(spark, sf_dir)
-    known = flow.slot_flow(sw).filter(F.col("day") < F.lit(FORECAST_DAY))
-    ahead = grid.grid(sw, FORECAST_DAY, FORECAST_DAY)
+    rows = stored_flow(spark, sf_dir)
+    known = rows.filter(F.col("day") < F.lit(FORECAST_DAY))
+    ahead = grid.grid(rows, FORECAST_DAY, FORECAST_DAY)
     both = known.unionByName(ahead, allowMissingColumns=True)
     return day_text(both.withColumns({c: F.col(c).cast("double") for c in ("inNums", "outNums")}))

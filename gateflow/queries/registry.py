@@ -65,7 +65,7 @@ DENSE = FLOW + """, days AS (
 cells AS (
   SELECT s.stationID, d.day, d.weekday, CAST(k AS INTEGER) AS slot
   FROM (SELECT DISTINCT stationID FROM swipe) s, days d, generate_series(0, 143) g(k)),
-dense AS (
+dense AS MATERIALIZED (
   SELECT c.stationID, c.day, c.weekday, c.slot, CAST(c.slot // 6 AS INTEGER) AS hour,
          CAST(c.slot % 6 * 10 AS INTEGER) AS minute,
          coalesce(f.inNums, 0) AS inNums, coalesce(f.outNums, 0) AS outNums

@@ -9,6 +9,7 @@ from gateflow.functions import timefields as tf
 from gateflow.operators import flow, history, stats
 from gateflow.queries.flow import dense_flow, stored_flow, swipes
 from gateflow.queries.registry import DENSE, FIRST_DAY, FLOW, FORECAST_DAY, day_text, query, with_
+from gateflow.session import materialise
 
 _FAMILY = {"ID_dh": ["stationID", "weekday", "hour"], "ID_d": ["stationID", "weekday"], "ID": ["stationID"],
            "d": ["day"]}
@@ -110,29 +111,41 @@ def night_profile(spark, sf_dir):
     return stats.night_profile(flow.slot_flow(swipes(spark, sf_dir)))
 
 
-@query("history_mean_transfer", with_(DENSE) + """,
-h AS (SELECT f.*, x.n AS devices FROM flow f
-      JOIN (SELECT stationID, weekday, hour, count(DISTINCT deviceID) n FROM swipe WHERE day < DATE '2024-01-30'
-            GROUP BY 1, 2, 3) x USING (stationID, weekday, hour)
-      WHERE f.day < DATE '2024-01-30'),
-a AS (SELECT stationID, avg(devices) v FROM h GROUP BY 1),
-b AS (SELECT stationID, hour, avg(devices) v, avg(inNums) w FROM h GROUP BY 1, 2),
-c AS (SELECT stationID, weekday, hour, avg(devices) v FROM h GROUP BY 1, 2, 3)
-SELECT stationID, slot, coalesce(a.v, 0) AS devices_s, coalesce(b.v, 0) AS devices_s_h, coalesce(b.w, 0) AS in_s_h,
-       coalesce(c.v, 0) AS devices_s_w_h
-FROM dense d LEFT JOIN a USING (stationID) LEFT JOIN b USING (stationID, hour)
-LEFT JOIN c USING (stationID, weekday, hour) WHERE d.day = DATE '2024-01-30'""".lstrip())
+# Grain of each transferred mean: distinct devices at five grains, largest device and ticket type at three.
+_TRANSFERS = {
+    "devices_s": ["stationID"], "devices_s_h": ["stationID", "hour"], "devices_s_h_m": ["stationID", "hour", "minute"],
+    "devices_s_w_h": ["stationID", "weekday", "hour"], "devices_s_w_h_m": ["stationID", "weekday", "hour", "minute"],
+    "device_s": ["stationID"], "device_s_h": ["stationID", "hour"], "device_s_w_h": ["stationID", "weekday", "hour"],
+    "pay_s": ["stationID"], "pay_s_h": ["stationID", "hour"], "pay_s_w_h": ["stationID", "weekday", "hour"]}
+_TRANSFER_FN = {"devices": "count(DISTINCT deviceID)", "device": "max(deviceID)", "pay": "max(payType)"}
+
+
+def _transfer_sql() -> str:
+    past, joins, shown = [], [], []
+    for name, grain in _TRANSFERS.items():
+        keys = ", ".join(grain)
+        past.append(f"x_{name} AS (SELECT {keys}, {_TRANSFER_FN[name.split('_')[0]]} AS v FROM swipe WHERE day < DATE '2024-01-30' GROUP BY ALL)")
+        past.append(f"m_{name} AS (SELECT {keys}, avg(v) AS {name} FROM flow JOIN x_{name} USING ({keys}) WHERE flow.day < DATE '2024-01-30' GROUP BY {keys})")
+        joins.append(f"LEFT JOIN m_{name} USING ({keys})")
+        shown.append(f"coalesce({name}, 0) AS {name}")
+    return (with_(DENSE, *past) + "SELECT stationID, slot, " + ", ".join(shown) + " FROM dense d " + " ".join(joins)
+            + " WHERE d.day = DATE '2024-01-30'")
+
+
+@query("history_mean_transfer", _transfer_sql())
 def history_mean_transfer(spark, sf_dir):
+    """The statistics of past days on their rows, their means at the same grains on the rows of the forecast day."""
     from gateflow.operators import grid
-    sw = flow.with_grain_fields(swipes(spark, sf_dir))
+    sw = flow.with_grain_fields(swipes(spark, sf_dir)).select("stationID", "day", "slot", "weekday", "hour", "minute", "deviceID", "payType", "status")
+    sw = materialise(sw, "fields")
     past = sw.filter(F.col("day") < F.lit(FORECAST_DAY))
-    everything = stored_flow(spark, sf_dir)
-    known = tf.add_time_fields(everything.filter(F.col("day") < F.lit(FORECAST_DAY)))
-    rows = flow.add_distinct_counts(known, past, "deviceID", {"devices": ["stationID", "weekday", "hour"]})
+    everything = sw.select("stationID", "day", "slot", "weekday", "hour", "minute").distinct()
+    rows = everything.filter(F.col("day") < F.lit(FORECAST_DAY))
+    aggs = {"devices": F.count_distinct("deviceID"), "device": F.max("deviceID"), "pay": F.max("payType")}
+    for name, grain in _TRANSFERS.items():
+        rows = rows.join(past.groupBy(*grain).agg(aggs[name.split("_")[0]].alias(name)), grain, "left")
     target = tf.add_time_fields(grid.grid(everything, FORECAST_DAY, FORECAST_DAY))
-    out = stats.transfer_means(target, rows, {
-        "devices_s": ("devices", ["stationID"]), "devices_s_h": ("devices", ["stationID", "hour"]),
-        "in_s_h": ("inNums", ["stationID", "hour"]), "devices_s_w_h": ("devices", ["stationID", "weekday", "hour"])})
+    out = stats.transfer_means(target, materialise(rows, "history"), {n: (n, g) for n, g in _TRANSFERS.items()})
     return out.na.fill(0).drop("day", "weekday", "hour", "minute")
 
 
