@@ -16,11 +16,12 @@ from pyspark.sql import Window
 
 from gateflow.llm.common import materialise, shared_folder, shuffle_width
 
-# A paragraph ends with its line or sentence, or at the end of a word after 96 characters.
-PARAGRAPH = r"\S[^\n.!?]{0,95}[^\s.!?]*[.!?]*"
+# A paragraph ends with its line, or at the end of a word after 112 characters.
+PARAGRAPH = r"\S[^\n]{0,111}\S*"
 TABLES = 3
 BASE_WIDTH = 8   # cells of each table of a published fingerprint
-ROUNDS = 12      # peeling passes over one table each
+CELLS = 1.6      # cells of a comparison for each digest of the pair
+ROUNDS = 11      # peeling passes over one table each
 ATTEMPTS = 8     # doublings before the exact digests are compared instead
 
 
@@ -46,10 +47,11 @@ def _cells(digests: DataFrame, keys: list[str], attempt: int) -> DataFrame:
                                                  F.bit_xor(_check(key)).alias("check")))
 
 
-def _peel(cells: DataFrame, keys: list[str], attempt: int) -> DataFrame:
-    """(keys, side, slot, n): recovered digests have side 1 or -1 and stand in ``slot``; what is left has side 0.
+def _peel(cells: DataFrame, keys: list[str], attempt: int, keep: bool) -> DataFrame:
+    """(keys, side, slot, n): recovered digests have side 1 or -1; what is left has side 0.
 
-    A digest has one cell in each table, so within a pass over one table no digest is removed twice.
+    With ``keep`` a recovered digest stands in ``slot``, otherwise ``n`` counts those of a side. A digest has one cell
+    in each table, so within a pass over one table no digest is removed twice.
     """
     state = cells.select(*keys, "width", F.lit(0).cast("long").alias("side"), "slot", "n", "key", "check")
     fields = ("side", "slot", "n", "key", "check")
@@ -59,7 +61,7 @@ def _peel(cells: DataFrame, keys: list[str], attempt: int) -> DataFrame:
         single = ((F.col("side") == 0) & (F.abs(n) == 1) & (F.floor(F.col("slot") / width) == table)
                   & (F.col("check") == _check(key)) & (F.col("slot") == _slot(key, table, width, attempt)))
         zero = F.lit(0).cast("long")
-        found = F.struct(n.alias("side"), key.alias("slot"), zero.alias("n"), zero.alias("key"), zero.alias("check"))
+        found = F.struct(n.alias("side"), (key if keep else zero).alias("slot"), F.lit(1).cast("long").alias("n"), zero.alias("key"), zero.alias("check"))
         others = [F.struct(zero.alias("side"), _slot(key, t, width, attempt).alias("slot"), (-n).alias("n"), key.alias("key"),
                            F.col("check").alias("check")) for t in range(TABLES) if t != table]
         state = (state.select(*keys, "width", F.inline(F.when(single, F.array(found, *others)).otherwise(
@@ -69,31 +71,32 @@ def _peel(cells: DataFrame, keys: list[str], attempt: int) -> DataFrame:
     return state.select(*keys, "side", "slot", "n")
 
 
-def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, digest, side) of the paragraphs in which the two digest sets ``left`` and ``right`` of a pair differ.
+def differences(pairs: DataFrame, keys: list[str], keep: bool = True) -> DataFrame:
+    """(keys, digest, side, n) of the paragraphs in which the two digest sets ``left`` and ``right`` of a pair differ.
 
-    ``side`` is 1 for digests of the left set only and -1 for the right. ``keys`` name a pair. The first sketch has
-    twice as many cells as the pair has digests; pairs whose peeling ends with cells left are tried with twice the size
-    and new hashes, and after ``ATTEMPTS`` doublings compared digest by digest.
+    ``side`` is 1 for digests of the left set only and -1 for the right. Without ``keep`` there is one row for each side
+    with the number ``n`` of digests. ``keys`` name a pair. The first sketch has ``CELLS`` times as many cells as the
+    pair has digests; pairs whose peeling ends with cells left are tried with twice the size and new hashes, and after
+    ``ATTEMPTS`` doublings compared digest by digest.
     """
     recovered, todo = None, pairs.select(*keys, "left", "right")
     for attempt in range(ATTEMPTS):
-        width = F.ceil((F.size("left") + F.size("right")) * (2.0 * 2 ** attempt / TABLES)) + BASE_WIDTH
+        width = F.ceil((F.size("left") + F.size("right")) * (CELLS * 2 ** attempt / TABLES)) + BASE_WIDTH
         sides = todo.select(*keys, width.alias("width"), F.inline(F.array(
             F.struct(F.lit(1).cast("long").alias("sign"), F.col("left").alias("digests")),
             F.struct(F.lit(-1).cast("long").alias("sign"), F.col("right").alias("digests")))).alias("sign", "digests"))
         digests = sides.select(*keys, "width", "sign", F.explode("digests").alias("digest"))
-        peeled = materialise(_peel(_cells(digests, keys, attempt).filter("n <> 0 OR key <> 0 OR check <> 0"), keys, attempt), "sketch-peeled")
+        peeled = materialise(_peel(_cells(digests, keys, attempt).filter("n <> 0 OR key <> 0 OR check <> 0"), keys, attempt, keep), "sketch-peeled")
         failed = peeled.filter("side = 0").select(*keys).distinct()
-        done = peeled.filter("side <> 0").select(*keys, F.col("slot").alias("digest"), "side")
+        done = peeled.filter("side <> 0").select(*keys, F.col("slot").alias("digest"), "side", "n")
         if failed.isEmpty():
             return done if recovered is None else recovered.union(done)
         failed = materialise(failed, "sketch-failed")
         done = done.join(failed, keys, "left_anti")
         recovered = done if recovered is None else recovered.union(done)
         todo = pairs.join(failed, keys, "left_semi").select(*keys, "left", "right")
-    rest = todo.select(*keys, F.explode(F.array_except("left", "right")).alias("digest"), F.lit(1).cast("long").alias("side")).union(
-        todo.select(*keys, F.explode(F.array_except("right", "left")).alias("digest"), F.lit(-1).cast("long").alias("side")))
+    rest = todo.select(*keys, F.explode(F.array_except("left", "right")).alias("digest"), F.lit(1).cast("long").alias("side"), F.lit(1).cast("long").alias("n")).union(
+        todo.select(*keys, F.explode(F.array_except("right", "left")).alias("digest"), F.lit(-1).cast("long").alias("side"), F.lit(1).cast("long").alias("n")))
     return recovered.union(rest)
 
 
@@ -145,7 +148,7 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     paragraphs are alike. A null text is empty, a table of one row follows itself.
     """
     spark = docs.sparkSession
-    parts = shuffle_width(spark)
+    parts = 4 * shuffle_width(spark)  # small enough for the aggregations of a bucket to stay in memory
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("own", paragraph_digests(F.col("text")))
     n = F.char_length("text")
@@ -163,8 +166,8 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = made.select(*keys, F.inline(F.array(
         F.struct(F.lit(0).alias("pair"), F.col("own").alias("left"), F.col("edited").alias("right")),
         F.struct(F.lit(1).alias("pair"), F.col("own").alias("left"), F.col("after").alias("right")))).alias("pair", "left", "right"))
-    differ = differences(pairs, [*keys, "pair"]).groupBy(*keys).agg(
-        *[F.count_if((F.col("pair") == p) & (F.col("side") == s)).alias(f"d{p}{'lr'[s < 0]}") for p in (0, 1) for s in (1, -1)])
+    differ = differences(pairs, [*keys, "pair"], keep=False).groupBy(*keys).agg(
+        *[F.sum(F.when((F.col("pair") == p) & (F.col("side") == s), F.col("n"))).alias(f"d{p}{'lr'[s < 0]}") for p in (0, 1) for s in (1, -1)])
     versions = made.select(*keys, F.inline(F.array(
         F.struct(F.lit(0).alias("version"), F.col("own").alias("digests")),
         F.struct(F.lit(1).alias("version"), F.col("edited").alias("digests")))).alias("version", "digests"))

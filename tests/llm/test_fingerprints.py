@@ -4,7 +4,7 @@ import re
 from gateflow.llm import iblt
 from tests.llm.data import awkward, frame
 
-UNIT = re.compile(r"[^ \t\n\x0b\f\r][^\n.!?]{0,95}[^ \t\n\x0b\f\r.!?]*[.!?]*")
+UNIT = re.compile(r"[^ \t\n\x0b\f\r][^\n]{0,111}[^ \t\n\x0b\f\r]*")
 
 
 def test_fingerprints_equal_brute_force(spark):
