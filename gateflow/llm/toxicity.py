@@ -35,7 +35,7 @@ appelé dijo escribió llamó""".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, BREAK = range(8)
 NEGATION_REACH = 3  # words between a negation and what it turns round
-STEMS = (3, 4, 5, 6)
+STEMS = (4, 5, 6, 7)
 SAMPLE = {1: 6_000, 0: 24_000}  # labelled documents of each kind that lexicon and weights are learned from
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;\n]|[\"“”«»„]")
@@ -98,8 +98,9 @@ def _pattern(label) -> int | None:
 
 
 PATTERNS = 10  # insult and threat, each with and without target and report; negated, with and without report
-# Prior weights of the patterns, in their order: a bare threat word weighs nothing until labels say so.
-PRIOR = np.array([8.0, 6.0, 9.0, 6.0, 0.0, 0.0, 3.5, 2.0, 5.0, 3.5])
+# Prior weights of the patterns, in their order, and of the length: a bare threat word weighs nothing until labels say so.
+PRIOR = np.array([8.0, 6.0, 9.0, 6.0, 0.0, 0.0, 3.5, 2.0, 5.0, 3.5, 0.0])
+CLEAR = 0.75  # share of toxic documents from which a word or stem counts as an insult
 
 
 class Scorer:
@@ -120,8 +121,11 @@ class Scorer:
         return found
 
     def features(self, text: str | None) -> np.ndarray:
-        """Per pattern: log(1 + lexical weight of all its clauses)."""
-        out = np.zeros(PATTERNS)
+        """Per pattern: log(1 + lexical weight of all its clauses); last the logarithm of the length of the text if any matched.
+
+        A longer text holds more words that only look like insults, which the weight of the length can balance.
+        """
+        out = np.zeros(PATTERNS + 1)
         text = (text or "").lower()
         vocabulary = set(_WORD.findall(text))
         insults = {w: x for w in vocabulary if (x := self.insult(w))}
@@ -141,7 +145,10 @@ class Scorer:
                 symbol = QUOTE if token in "\"“”«»„" else self.symbols.get(token, OTHER)
                 weight += symbol == THREAT
             state = self.step[state][symbol]
-        return np.log1p(out)
+        if out.any():
+            out[PATTERNS] = math.log1p(len(text) / 1000)
+            out[:PATTERNS] = np.log1p(out[:PATTERNS])
+        return out
 
     def score(self, text: str | None) -> float:
         x = self.bias + float(self.features(text) @ self.weights)
@@ -152,7 +159,7 @@ class Scorer:
         a = np.c_[np.ones(len(x)), x]
         prior = np.r_[-3.0, PRIOR]
         w = prior.copy()
-        pull = np.r_[0.05, np.full(PATTERNS, strength)]
+        pull = np.r_[0.05, np.full(PATTERNS + 1, strength)]
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             g = a.T @ (counts * (p - y)) + pull * (w - prior)
@@ -195,10 +202,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     tested = max(1, candidates.count())
     rate = F.col("pos") / F.col("n")
     above = F.when(F.col("pos") == F.col("n"), F.lit(0.0)).otherwise((1 - rate) * F.log((1 - rate) / (1 - base)))
-    chosen = candidates.filter(rate > max(0.6, base)).filter(
+    chosen = candidates.filter(rate > max(CLEAR, base)).filter(
         F.col("n") * (rate * F.log(rate / base) + above) > math.log(10 * tested)).select("size", "term", rate.alias("rate")).collect()
-    lexicon = {w: 1.0 for w in INSULTS} | {r.term: float(r.rate) for r in chosen if r.size == 0}
-    scorer = Scorer(lexicon, {r.term: float(r.rate) for r in chosen if r.size})
+    # a word that half the time stands in clean documents says far less than one that never does
+    lexicon = {r.term: float(r.rate) ** 4 for r in chosen if r.size == 0} | {w: 1.0 for w in INSULTS}
+    scorer = Scorer(lexicon, {r.term: float(r.rate) ** 4 for r in chosen if r.size})
 
     ship(docs.sparkSession)
     seen = (rows.select("toxic", _features(scorer, F.col("text")).alias("f")).groupBy("toxic", "f").count().collect())
