@@ -48,14 +48,14 @@ class Boosting:
     seed: int = 1
 
     @staticmethod
-    def preset(name: str, rounds: int = 60, rate: float = 0.1, max_depth: int = 8) -> "Boosting":
-        """A published setting, with fewer and larger steps: thousands of rounds at a rate of 0.01
-        are as many sequential jobs on a cluster."""
+    def preset(name: str, **changes) -> "Boosting":
+        """A published setting as it is; ``changes`` name what shall differ. Thousands of rounds at a rate of 0.01 are
+        as many sequential jobs on a cluster, so rounds and rate are what one usually changes."""
         p = PUBLISHED[name]
-        depth = p.get("depth") or math.ceil(math.log2(p["leaves"]))
-        return Boosting(rounds=min(rounds, p["rounds"]), rate=max(rate, p["rate"]), depth=min(depth, max_depth),
-                        rows=p["rows"], min_rows=p.get("min_rows", 1),
-                        loss="absolute" if name == "absolute-loss" else "squared")
+        published = Boosting(rounds=p["rounds"], rate=p["rate"], depth=p.get("depth") or math.ceil(math.log2(p["leaves"])),
+                             rows=p["rows"], min_rows=p.get("min_rows", 1), patience=p["patience"],
+                             loss="absolute" if name == "absolute-loss" else "squared")
+        return replace(published, **changes)
 
 
 def side_by_side(jobs: Sequence[Callable[[], T]], threads: int = 4) -> list[T]:

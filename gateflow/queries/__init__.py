@@ -6,7 +6,7 @@ import importlib
 
 from gateflow.queries.registry import QUERIES, SQL
 
-for _name in ("flow", "calendar", "history", "statistics", "profiling", "network", "riders", "forecasts", "models"):
+for _name in ("flow", "calendar", "history", "statistics", "profiling", "network", "riders", "forecasts", "models", "files"):
     importlib.import_module(f"gateflow.queries.{_name}")
 
 __all__ = ["QUERIES", "SQL"]

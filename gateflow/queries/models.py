@@ -99,11 +99,17 @@ def distance_weights(spark, sf_dir):
 
 @query("gbt_forecast")
 def gbt_forecast(spark, sf_dir):
-    """Total-flow forecast with weather columns of the day."""
+    """Total-flow forecast with the weather of the day before and the whole road table."""
+    from gateflow.operators import network
+    from gateflow.queries.network import network_edges
+    from gateflow.session import materialise
     from gateflow.sources.dimensions import parse_weather
-    days = parse_weather(weather_days(spark, sf_dir)).select("day", "tempHigh", "tempLow")
-    return total_flow.total_flow_forecast(swipes(spark, sf_dir), FIRST_DAY, PREVIOUS_DAY, FORECAST_DAY, QUICK, CLOSED,
-                                          days=days)
+    # the stand-in for the weather is read off the swipes, so a day may only see the day before
+    days = parse_weather(weather_days(spark, sf_dir)).select(F.date_add("day", 1).alias("day"), "tempHigh", "tempLow")
+    roads = materialise(network.road_features(materialise(network_edges(spark, sf_dir), "edges")), "roads").na.fill(-1)
+    return total_flow.total_flow_forecast(swipes(spark, sf_dir), FIRST_DAY, PREVIOUS_DAY, FORECAST_DAY,
+                                          model.Boosting.preset("total-flow", rounds=20, rate=0.2, depth=4, patience=5), CLOSED,
+                                          stations=roads, days=days)
 
 
 @query("gbt_paytype")
@@ -117,7 +123,7 @@ def gbt_rolling_origin(spark, sf_dir):
     """Errors per fold and target."""
     table, names = rolling_origin.feature_table(swipes(spark, sf_dir), FIRST_DAY, FORECAST_DAY, HOLIDAYS, ORIGIN,
                                                 dt.date(2024, 1, 26))
-    return rolling_origin.rolling_errors(table, names, [19, 20], model.Boosting(rounds=4, rate=0.3, depth=3, patience=2))
+    return rolling_origin.rolling_errors(table, names, [18, 19, 20], model.Boosting(rounds=4, rate=0.3, depth=3, patience=2))
 
 
 @query("gbt_anchor_windows")

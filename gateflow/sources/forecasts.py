@@ -16,8 +16,13 @@ def run_stamp(now: dt.datetime | None = None) -> str:
     return (now or dt.datetime.now()).strftime("%Y_%m_%d_%H_%M")
 
 
-def write_features(features: DataFrame, folder: str, by: str | None = "day") -> None:
-    """Feature table between the feature job and the model job, partitioned by day for pruning."""
+def write_features(features: DataFrame, folder: str, by: str | None = "day", files: int = 1) -> None:
+    """Feature table between the feature job and the model job, partitioned by day for pruning.
+
+    Rows are dealt by day and a salt first: a day has ``files`` files, however many tasks wrote it.
+    """
+    if by:
+        features = features.repartition(by, F.pmod(F.xxhash64(*features.columns), F.lit(files)))
     writer = features.write.mode("errorifexists")
     (writer.partitionBy(by) if by else writer).parquet(folder)
 

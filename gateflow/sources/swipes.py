@@ -51,11 +51,15 @@ def rows_per_file(swipes: DataFrame) -> DataFrame:
     return swipes.groupBy("fileDate").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_swipe_files(swipes: DataFrame, folder: str) -> None:
-    """One folder of CSV files per day; the day stays in the path for pruning."""
+def write_swipe_files(swipes: DataFrame, folder: str, files: int = 1) -> None:
+    """One folder of CSV files per day; the day stays in the path for pruning.
+
+    Rows are dealt by day and a salt first: a day has up to ``files`` files, however many tasks wrote it.
+    """
     (
         swipes.select([f.name for f in SWIPE_SCHEMA])
         .withColumn("record", F.date_format("time", "yyyy-MM-dd"))
+        .repartition("record", F.pmod(F.xxhash64("userID", "time"), F.lit(files)))
         .withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
         .write.mode("errorifexists").partitionBy("record").option("header", True).csv(folder)
     )

@@ -55,7 +55,14 @@ def test_neighbours_do_not_cross_days_or_stations(make_flow):
 def test_last_days_skip_missing_days(make_flow):
     flow = make_flow([(1, d, 0, d.day, 0) for d in days(7) if d.day != 4])
     got = history.last_days_wide(flow, [dt.date(2024, 1, 7)]).first()
-    assert (got.In1, got.In2, got.In3, got.gap3, got.In5) == (6, 5, 3, 4, None)
+    assert (got.In1, got.In2, got.In3, got.gap3, got.In5) == (6, 5, 3, 4, 1)
+
+
+def test_last_days_look_past_a_long_gap(make_flow):
+    flow = make_flow([(1, dt.date(2024, 1, d), 0, d, 0) for d in (1, 2, 3, 4, 9)])
+    got = history.last_days_wide(flow, [dt.date(2024, 1, 10)]).first()
+    assert (got.In1, got.In2, got.In3, got.In4, got.In5, got.gap2) == (9, 4, 3, 2, 1, 6)
+    assert history.last_days_wide(flow, [dt.date(2024, 1, 10)], lookback=5).first().In2 is None
 
 
 def test_rolling_mean_crosses_midnight(make_flow):
@@ -125,6 +132,6 @@ def test_anchor_lists():
 
 def test_slip_sets_have_all_parts(make_flow):
     flow = business(make_flow([(1, d, t, d.day, 1) for d in days(30) for t in (0, 9)]))
-    got = trailing.slip_sets(flow, 3, 20, 21)
+    got = trailing.slip_sets(flow, 3, 20, 21, cap=3)
     sizes = {r.part: r["count"] for r in got.groupBy("part").count().collect()}
     assert sizes == {"train": 18, "train_all": 18, "valid": 2, "test": 2}

@@ -68,9 +68,10 @@ def test_rolling_origin(table):
 
 def test_presets_scale_rounds():
     s = model.Boosting.preset("anchors", rounds=40)
-    assert (s.rounds, s.rate, s.depth, s.rows) == (40, 0.1, 6, 0.9)
+    assert (s.rounds, s.rate, s.depth, s.rows) == (40, 0.08, 6, 0.9)
+    assert model.Boosting.preset("anchors").rounds == 200000
     assert model.Boosting.preset("absolute-loss").loss == "absolute"
-    assert model.Boosting.preset("rolling-origin").depth == 8
+    assert model.Boosting.preset("rolling-origin").depth == 11
 
 
 def test_distance_weight(spark):

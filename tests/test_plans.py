@@ -35,7 +35,7 @@ def test_boosted_forecast_beats_the_previous_day(spark):
 
 def test_rolling_errors(spark):
     got = QUERIES["gbt_rolling_origin"](spark, SF).collect()
-    assert len(got) == 4 and all(r.mae >= 0 for r in got)
+    assert len(got) == 6 and all(r.mae >= 0 for r in got)
 
 
 def test_features_do_not_leak(spark):
