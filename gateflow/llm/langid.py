@@ -20,7 +20,7 @@ HIDDEN = 8           # units of each direction
 SAMPLE = 240         # training documents per language: the bound of the sample
 SAMPLE_WINDOWS = 4   # windows taken from each of them, evenly spaced over the whole text
 STEPS, BATCH, RATE = 240, 128, 0.02
-COLUMNS = 4096       # windows read side by side
+COLUMNS = 2048       # windows read side by side
 
 
 def _sigmoid(x):

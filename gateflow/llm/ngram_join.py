@@ -32,6 +32,7 @@ from gateflow.llm.components import connected_components
 CELLS_LOG2 = 20      # hashed cells of the document frequencies
 CHUNK_LOG2 = 12      # cells of one row while counts are merged
 BATCH = 512          # documents whose shingles travel together while repeats are counted
+SLICE = 32           # documents hashed at once
 BLOCK_SHINGLES = 400_000  # shingles of a block: bounds the memory of a task
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -47,6 +48,8 @@ def shingle_sets(text: pa.Array, width: int) -> list[np.ndarray]:
     A-Z are lower-cased and words end at ASCII white space. A text with fewer words than ``width`` is one
     shingle of all its words; a null text or one without words gives an empty set.
     """
+    if len(text) > SLICE:  # a few texts at a time: the hashes take many times the room of the bytes
+        return [s for at in range(0, len(text), SLICE) for s in shingle_sets(text.slice(at, SLICE), width)]
     data, bounds = text_bytes(text)
     if not len(data):
         return [np.zeros(0, np.uint64)] * (len(bounds) - 1)
