@@ -11,7 +11,7 @@ from gateflow.llm import langid, packing, suffix_dedup, toxicity
 from gateflow.llm.common import materialise, ship, table
 from gateflow.llm.ngram_join import jaccard_components
 
-LEAST_SCORE = 0.35  # probability of the best language; four languages that are equally likely have 0.25
+LEAST_SCORE = 0.26  # probability of the best language; of four languages that are equally likely each has 0.25
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
