@@ -108,7 +108,7 @@ def gbt_forecast(spark, sf_dir):
     days = parse_weather(weather_days(spark, sf_dir)).select(F.date_add("day", 1).alias("day"), "tempHigh", "tempLow")
     roads = materialise(network.road_features(materialise(network_edges(spark, sf_dir), "edges")), "roads").na.fill(-1)
     return total_flow.total_flow_forecast(swipes(spark, sf_dir), FIRST_DAY, PREVIOUS_DAY, FORECAST_DAY,
-                                          model.Boosting.preset("total-flow", rounds=20, rate=0.2, depth=4, patience=5), CLOSED,
+                                          model.Boosting.preset("total-flow", rounds=10, rate=0.2, depth=4, patience=4), CLOSED,
                                           stations=roads, days=days)
 
 
