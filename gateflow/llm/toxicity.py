@@ -172,26 +172,35 @@ class Scorer:
         return self
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> DataFrame:
-    """Labelled documents that are not held out: of each label those with the smallest hashes, up to its bound."""
+def _sample(docs: DataFrame, labels: DataFrame, sample: dict[int, int]) -> tuple[DataFrame, dict[int, float]]:
+    """Labelled documents that are not held out: of each label those with the smallest hashes, up to its bound.
+
+    Also for each label how many labelled ids one id of the sample stands for.
+    """
     known = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     top = known.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")))
     top = top.filter(" OR ".join(f"(toxic = {k} AND place <= {n})" for k, n in sample.items())).select("doc_id", "toxic")
+    stands_for = {r.toxic: max(1.0, r["count"] / sample[r.toxic]) for r in known.groupBy("toxic").count().collect()}
     # the sample has at most sum(sample) ids, whatever the size of the tables
-    return docs.join(F.broadcast(top), "doc_id").select("toxic", "text")
+    return docs.join(F.broadcast(top), "doc_id").select("toxic", "text"), stands_for
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Scorer:
     """Lexicon and pattern weights from a bounded sample of ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text).
 
     A word or stem is an insult if its documents are toxic so often that chance (a Chernoff bound over all candidates)
-    is ruled out. Without labelled rows the seed words and prior weights hold.
+    is ruled out. Rows of a label that met its bound count for those left out, so rates, base and weights are those of
+    all labelled rows. Without labelled rows the seed words and prior weights hold.
     """
-    rows = materialise(_sample(docs, labels, sample or SAMPLE), "toxicity-sample")
+    chosen_rows, stands_for = _sample(docs, labels, sample or SAMPLE)
+    rows = materialise(chosen_rows, "toxicity-sample")
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
     if not total.pos or total.pos == total.n:
         return Scorer({w: 1.0 for w in INSULTS}, {})
-    base = total.pos / total.n
+    # in all as many as the sample has rows: what it proves, against the prior too, does not grow with the rows left out
+    scale = total.n / (stands_for[1] * total.pos + stands_for[0] * (total.n - total.pos))
+    weight = {k: float(w * scale) for k, w in stands_for.items()}
+    base = weight[1] * total.pos / total.n
     words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("word")).filter("word <> ''")
     # counts of documents; stems count a document once for each of its words, which is close enough for a lexicon
     terms = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).select(
@@ -200,17 +209,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
         "n", "pos").filter("t.term IS NOT NULL").groupBy("t.size", "t.term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     candidates = materialise(terms.filter("pos >= 3"), "toxicity-terms")
     tested = max(1, candidates.count())
-    rate = F.col("pos") / F.col("n")
-    above = F.when(F.col("pos") == F.col("n"), F.lit(0.0)).otherwise((1 - rate) * F.log((1 - rate) / (1 - base)))
+    rate = weight[1] * F.col("pos") / (weight[1] * F.col("pos") + weight[0] * (F.col("n") - F.col("pos")))
+    # chance is judged on the rows drawn: a term that says nothing about the label has the sample's own share in them
+    drawn, share = F.col("pos") / F.col("n"), total.pos / total.n
+    above = F.when(F.col("pos") == F.col("n"), F.lit(0.0)).otherwise((1 - drawn) * F.log((1 - drawn) / (1 - share)))
     chosen = candidates.filter(rate > max(CLEAR, base)).filter(
-        F.col("n") * (rate * F.log(rate / base) + above) > math.log(10 * tested)).select("size", "term", rate.alias("rate")).collect()
+        F.col("n") * (drawn * F.log(drawn / share) + above) > math.log(10 * tested)).select("size", "term", rate.alias("rate")).collect()
     # a word that half the time stands in clean documents says far less than one that never does
     lexicon = {r.term: float(r.rate) ** 4 for r in chosen if r.size == 0} | {w: 1.0 for w in INSULTS}
     scorer = Scorer(lexicon, {r.term: float(r.rate) ** 4 for r in chosen if r.size})
 
     ship(docs.sparkSession)
     seen = (rows.select("toxic", _features(scorer, F.col("text")).alias("f")).groupBy("toxic", "f").count().collect())
-    return scorer.fit(np.array([r.f for r in seen]), np.array([float(r.toxic) for r in seen]), np.array([float(r["count"]) for r in seen]))
+    return scorer.fit(np.array([r.f for r in seen]), np.array([float(r.toxic) for r in seen]), np.array([r["count"] * weight[r.toxic] for r in seen]))
 
 
 def _features(scorer: Scorer, text: Column) -> Column:

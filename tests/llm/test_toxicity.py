@@ -72,3 +72,22 @@ def test_without_labels(spark):
     got = {r.doc_id: r.predicted for r in tox.toxicity(frame(spark, ["You idiot.", "Good day."]), none).collect()}
     assert got == {0: 1, 1: 0}
     assert tox.toxicity(frame(spark, ["x"]).limit(0), none).count() == 0
+
+
+def test_capped_class_keeps_the_true_ratio(spark):
+    """Only the clean class meets its cap: lexicon, intercept and scores stay those of all labelled rows."""
+    texts, marks = [], []
+    for k in range(1500):
+        toxic = k % 5 == 0
+        j = k // 5 if toxic else k - k // 5 - 1
+        extra = ["blarg"] * (j % 2 == 0) + ["greyish"] * (j % 10 < 6) if toxic else ["greyish"] * (j % 10 == 0)
+        texts.append(" ".join([words(k, 20, 900), *extra]))
+        marks.append(int(toxic))
+    docs = frame(spark, texts).select("doc_id", "text")
+    labels = spark.createDataFrame([(k, 1, m) for k, m in enumerate(marks)], "doc_id long, quality int, toxic int")
+    whole, capped = tox.train(docs, labels), tox.train(docs, labels, {1: 6_000, 0: 150})
+    for scorer in (whole, capped):
+        assert "blarg" in scorer.words
+        assert "greyish" not in scorer.words  # 3 of 5 of its documents are toxic, in the capped sample 6 of 7
+    assert abs(capped.bias - whole.bias) < 0.3  # the unweighted sample adds log(6) to it
+    assert abs(capped.score("A calm day.") - whole.score("A calm day.")) < 0.03
