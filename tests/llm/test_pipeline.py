@@ -59,3 +59,13 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    """Two edits of 100 words: likeness 86 / 106 of five-word shingles, 89 / 105 of four-word ones; three edits: 81 / 111."""
+    base, rows = words(500, 100, 10**6).split(), []
+    for i, edits in enumerate([(), (30, 60), (20, 50, 80)]):
+        text = " ".join("edited" + str(k) if k in edits else w for k, w in enumerate(base))
+        rows.append((i, text, "en", "s", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").sort("doc_id").collect()] == [0, 2]
