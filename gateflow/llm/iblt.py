@@ -18,6 +18,9 @@ from gateflow.llm.common import materialise, shared_folder, shuffle_width
 
 # A paragraph ends with its line, or at the end of a word after 112 characters.
 PARAGRAPH = r"\S[^\n]{0,111}\S*"
+# A sentence ends with its line or full stop, or at the end of a word after 96 characters: the cuts of two versions meet
+# again at the next full stop, where those of paragraphs differ up to the next line end.
+SENTENCE = r"\S[^\n.!?]{0,95}[^\s.!?]*[.!?]*"
 TABLES = 3
 BASE_WIDTH = 8   # cells of each table of a published fingerprint
 CELLS = 1.6      # cells of a comparison for each digest of the pair
@@ -25,9 +28,9 @@ ROUNDS = 11      # peeling passes over one table each
 ATTEMPTS = 8     # doublings before the exact digests are compared instead
 
 
-def paragraph_digests(text: Column) -> Column:
-    """Distinct 64-bit digests of the paragraphs of a text; an empty or null text has none."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
+def paragraph_digests(text: Column, unit: str = PARAGRAPH) -> Column:
+    """Distinct 64-bit digests of the paragraphs (matches of ``unit``) of a text; an empty or null text has none."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(unit), F.lit(0))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -140,24 +143,24 @@ def fingerprint_text(digests: DataFrame, keys: list[str]) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("slot", part.alias("t")))), lambda s: s["t"])).alias("fingerprint"))
 
 
-def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = PARAGRAPH) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The edited text has the last half of the code points replaced by as many of the next document's first ones.
     Likeness is the Jaccard similarity of the paragraph sets, from the digests that peeling recovers; two texts without
-    paragraphs are alike. A null text is empty, a table of one row follows itself.
+    paragraphs are alike. ``unit`` is the pattern of a paragraph. A null text is empty, a table of one row follows itself.
     """
     spark = docs.sparkSession
     parts = 4 * shuffle_width(spark)  # small enough for the aggregations of a bucket to stay in memory
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("own", paragraph_digests(F.col("text")))
+    rows = rows.withColumn("own", paragraph_digests(F.col("text"), unit))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
     made = (with_next(rows, parts).select("dest", "rid", "doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"),
                                           edited.alias("text"))
             .select("dest", "rid", "doc_id", "n_chars", "own", "after", F.sha2("text", 256).alias("edited_sha256"),
-                    paragraph_digests(F.col("text")).alias("edited")))
+                    paragraph_digests(F.col("text"), unit).alias("edited")))
     # bucketed by dest as it is already dealt: what follows groups within a row and needs no shuffle
     name = f"sketch_{uuid.uuid4().hex}"
     made.write.bucketBy(parts, "dest").option("path", f"{shared_folder(spark).rstrip('/')}/{name}").saveAsTable(name)

@@ -71,7 +71,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.version_fingerprints(table(spark, sf_dir, "documents"))
+    return iblt.version_fingerprints(table(spark, sf_dir, "documents"), unit=iblt.SENTENCE)
 
 
 @query

@@ -1,8 +1,8 @@
 import hashlib
 import re
 
-from gateflow.llm import iblt
-from tests.llm.data import awkward, frame
+from gateflow.llm import iblt, queries
+from tests.llm.data import awkward, frame, words
 
 UNIT = re.compile(r"[^ \t\n\x0b\f\r][^\n]{0,111}[^ \t\n\x0b\f\r]*")
 
@@ -46,3 +46,19 @@ def test_empty_table_and_null_ids(spark):
 def test_main_path_is_native(spark):
     plan = iblt.version_fingerprints(frame(spark, ["a b", "c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+SENTENCE_UNIT = re.compile(r"[^ \t\n\x0b\f\r][^\n.!?]{0,95}[^ \t\n\x0b\f\r.!?]*[.!?]*")
+
+
+def test_query_cuts_meet_again_after_an_inserted_word(spark, tmp_path):
+    sentences = [words(600 + k, 14) + "." for k in range(12)]
+    text = " ".join(sentences)
+    edited = "inserted " + text
+    frame(spark, [text, edited, "One. Two!\nThree", None]).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op1_document_fingerprints"](spark, str(tmp_path)).collect()}
+    texts = [text, edited, "One. Two!\nThree", ""]
+    for i, t in enumerate(texts):
+        a, b = (set(SENTENCE_UNIT.findall(x)) for x in (t, texts[(i - 1) % 4]))
+        assert abs(got[i].near_next - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+    assert got[1].near_next > 0.8  # the next document is the same text without the inserted word
