@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,16 @@ def span_forecast(rows: DataFrame, cells: DataFrame, span: int, test_index: int,
 
 def anchor_forecast(rows: DataFrame, cells: DataFrame, spans: Sequence[int], test_index: int, forecast_day: dt.date,
                     setting: model.Boosting, folds: int = 10, windows: Sequence[int] = (1, 3, 5, 10, 15),
-                    spec: dict | None = None, closed: Sequence[int] = ()) -> DataFrame:
-    """Blend over the label spans; night slots come from the history of non-zero days."""
+                    spec: dict | None = None, closed: Sequence[int] = ()) -> tuple[DataFrame, DataFrame]:
+    """Blend over the label spans, and the out-of-fold errors per span, label and fold.
+
+    Night slots come from the history of non-zero days.
+    """
     spec = spec or trailing.DEFAULT_SPEC
     parts = model.side_by_side([
-        lambda s=s: span_forecast(rows, cells, s, test_index, setting, folds, windows, spec)[0] for s in spans])
+        lambda s=s: span_forecast(rows, cells, s, test_index, setting, folds, windows, spec) for s in spans])
     night = stats.night_profile(rows.filter(F.col("businessIndex") < test_index)).select(
         "stationID", "slot", F.col("mean_in").alias("night_in"), F.col("mean_out").alias("night_out"))
-    return forecast.submission(grid.template(cells, forecast_day), forecast.blend(parts), night, closed)
+    blended = forecast.blend([part for part, _ in parts])
+    return (forecast.submission(grid.template(cells, forecast_day), blended, night, closed),
+            reduce(DataFrame.unionByName, [errors for _, errors in parts]))

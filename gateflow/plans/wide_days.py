@@ -24,13 +24,16 @@ def feature_table(dense: DataFrame, label_days: Sequence[dt.date]) -> DataFrame:
 
 
 def wide_days_forecast(dense: DataFrame, label_days: Sequence[dt.date], forecast_day: dt.date,
-                       setting: model.Boosting, folds: int = 5, closed: Sequence[int] = ()) -> DataFrame:
-    """``label_days`` are earlier days of the same kind; the forecast day is added to them."""
+                       setting: model.Boosting, folds: int = 5, closed: Sequence[int] = ()) -> tuple[DataFrame, DataFrame]:
+    """Forecast, and the out-of-fold errors per label and fold.
+
+    ``label_days`` are earlier days of the same kind; the forecast day is added to them.
+    """
     table = materialise(feature_table(dense, [*label_days, forecast_day]), "features")
     names = [c for c in table.columns if c not in ("day", "labelin", "labelout")]
     ahead = F.col("day") == F.lit(forecast_day)
-    _, scored, _ = model.stack(table.filter(~ahead), table.filter(ahead), names, ["labelin", "labelout"], setting,
+    _, scored, errors = model.stack(table.filter(~ahead), table.filter(ahead), names, ["labelin", "labelout"], setting,
                                folds, categorical=["stationID"])
     out = scored.select("stationID", "day", "slot", truncate(F.col("labelin_pred")).alias("inNums"),
                         truncate(F.col("labelout_pred")).alias("outNums"))
-    return forecast.submission(grid.template(table, forecast_day), out, closed=closed)
+    return forecast.submission(grid.template(table, forecast_day), out, closed=closed), errors

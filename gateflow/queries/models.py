@@ -108,7 +108,7 @@ def gbt_forecast(spark, sf_dir):
     days = parse_weather(weather_days(spark, sf_dir)).select(F.date_add("day", 1).alias("day"), "tempHigh", "tempLow")
     roads = materialise(network.road_features(materialise(network_edges(spark, sf_dir), "edges")), "roads").na.fill(-1)
     return total_flow.total_flow_forecast(swipes(spark, sf_dir), FIRST_DAY, PREVIOUS_DAY, FORECAST_DAY,
-                                          model.Boosting.preset("total-flow", rounds=10, rate=0.2, depth=4, patience=4), CLOSED,
+                                          model.Boosting.preset("total-flow", rounds=20, rate=0.2, depth=4, patience=5), CLOSED,
                                           stations=roads, days=days)
 
 
@@ -126,19 +126,44 @@ def gbt_rolling_origin(spark, sf_dir):
     return rolling_origin.rolling_errors(table, names, [18, 19, 20], model.Boosting(rounds=4, rate=0.3, depth=3, patience=2))
 
 
-@query("gbt_anchor_windows")
-def gbt_anchor_windows(spark, sf_dir):
+@query("gbt_rolling_forecast")
+def gbt_rolling_forecast(spark, sf_dir):
+    """Forecast of the rolling-origin plan: fitted to all days before the forecast day."""
+    table, names = rolling_origin.feature_table(swipes(spark, sf_dir), FIRST_DAY, FORECAST_DAY, HOLIDAYS, ORIGIN, FORECAST_DAY)
+    return rolling_origin.final_forecast(table, names, 21, FORECAST_DAY,
+                                         model.Boosting(rounds=4, rate=0.3, depth=3, patience=2), CLOSED)
+
+
+def _anchor_windows(spark, sf_dir):
     rows = business_flow(spark, sf_dir)
     cells = tf.add_time_fields(indexed(grid.grid(rows, FORECAST_DAY, FORECAST_DAY)))
-    spec = {"s_h_m": ["mean"], "s_w_h": ["mean", "median", "max"]}
-    return anchor_windows.anchor_forecast(rows, cells, [3, 5], 21, FORECAST_DAY, QUICK, folds=2, windows=(1, 3, 5),
-                                          spec=spec, closed=CLOSED)
+    return anchor_windows.anchor_forecast(rows, cells, [2, 3, 5, 7], 21, FORECAST_DAY, QUICK, closed=CLOSED)
+
+
+@query("gbt_anchor_windows")
+def gbt_anchor_windows(spark, sf_dir):
+    return _anchor_windows(spark, sf_dir)[0]
+
+
+@query("gbt_anchor_errors")
+def gbt_anchor_errors(spark, sf_dir):
+    """Out-of-fold errors per span, label and fold."""
+    return _anchor_windows(spark, sf_dir)[1]
+
+
+def _wide_days(spark, sf_dir):
+    return wide_days.wide_days_forecast(dense_flow(spark, sf_dir), LABEL_DAYS[:-1], FORECAST_DAY, QUICK, closed=CLOSED)
 
 
 @query("gbt_wide_days")
 def gbt_wide_days(spark, sf_dir):
-    return wide_days.wide_days_forecast(dense_flow(spark, sf_dir), LABEL_DAYS[:-1], FORECAST_DAY, QUICK, folds=2,
-                                        closed=CLOSED)
+    return _wide_days(spark, sf_dir)[0]
+
+
+@query("gbt_wide_errors")
+def gbt_wide_errors(spark, sf_dir):
+    """Out-of-fold errors per label and fold."""
+    return _wide_days(spark, sf_dir)[1]
 
 
 @query("feature_importance")
