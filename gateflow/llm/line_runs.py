@@ -1,10 +1,12 @@
 """Lines that many documents hold, found with levelled, sorted runs of line hashes.
 
-A run is a table of the keys (two 64-bit hashes of a normalised line) that one batch of documents brought first: how many
-documents of the batch hold the key, and the largest of their ids. A new batch is anti-joined with all runs; what is left
-becomes a run of its own, what the runs already hold is noted beside them as a repeat. So a key is in one run only, and
-runs of a level are compacted by merging their rows. Runs are bucketed and sorted by the key: neither the
-anti-joins nor the compactions shuffle a run again.
+A run is a table of the keys (two 64-bit hashes of a normalised line) of one batch of documents: how many documents of
+the batch hold a key, the largest of their ids, and whether the key is fresh. A new batch is anti-joined with all runs
+by an outer merge join that keeps both halves: keys without a partner are fresh and belong to the new run from then on,
+the others are repeats, which add their counts only. So a key is fresh in one run at most, and later batches look at the
+fresh keys alone.
+Runs of a level are compacted by merging them. They are bucketed and sorted by the key, so neither anti-joins nor
+compactions shuffle a run again; their files aren't compressed, as hashes don't shrink.
 
 Everything is DataFrame functions. A hot line reaches a shuffle as one row of a document, then as partial counts.
 """
@@ -41,7 +43,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, least_chars: int, b
 
 
 class LineRuns:
-    """Levels of runs; ``fan`` runs of one level become one run of the next. Repeats are levelled in the same way.
+    """Levels of runs; ``fan`` runs of one level become one run of the next.
 
     Batches hold whole documents, and no document is in two of them. Files are external tables in the shared folder;
     ``close`` takes their names out of the catalog.
@@ -49,58 +51,56 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fan: int = 2, buckets: int | None = None):
         self.spark, self.fan, self.buckets = spark, fan, buckets or shuffle_width(spark)
-        self.fresh: list[list[str]] = []
-        self.again: list[list[str]] = []
+        self.levels: list[list[str]] = []
         self.names: list[str] = []
 
-    def _write(self, rows: DataFrame, purpose: str) -> str:
-        """Store rows that are dealt by the key; what comes out of a merge of runs still is."""
-        name = f"line_{purpose}_{uuid.uuid4().hex}"
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _write(self, rows: DataFrame) -> str:
+        """Store rows that are dealt by the key; what comes out of a merge with runs still is."""
+        name = f"line_run_{uuid.uuid4().hex}"
         self.names.append(name)
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", run_folder(self.spark, name)).saveAsTable(name)
+        (rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("compression", "uncompressed")
+         .option("path", run_folder(self.spark, name)).saveAsTable(name))
         return name
 
-    def _read(self, name: str, *columns: str) -> DataFrame:
-        return self.spark.table(name).select(*(columns or (*KEY, "n_docs", "last"))).hint("merge")
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.table(name).hint("merge")
+
+    def add(self, lines: DataFrame) -> None:
+        """Take the lines (doc_id, h1, h2) of a batch in."""
+        counts = lines.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
+        rows = counts.repartition(self.buckets, *KEY).withColumn("fresh", F.lit(True))
+        for name in self.runs():
+            known = self._read(name).filter("fresh").select(*KEY, F.lit(True).alias("known"))
+            rows = rows.join(known, KEY, "left").select(*KEY, "n_docs", "last", (F.col("fresh") & F.col("known").isNull()).alias("fresh"))
+        self._push(self._write(rows), 0)
+
+    def _push(self, run: str, level: int) -> None:
+        if len(self.levels) == level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) == self.fan:
+            runs, self.levels[level] = self.levels[level], []
+            self._push(self._write(self._merged(runs)), level + 1)
 
     def _merged(self, names: list[str]) -> DataFrame:
         """Runs merged by key, two at a time: an outer merge join of two runs is dealt like them, its result isn't known to be."""
         names = list(names)
         while len(names) > 2:
-            names = names[2:] + [self._write(self._merged(names[:2]), "run")]
+            names = names[2:] + [self._write(self._merged(names[:2]))]
         rows = self._read(names[0])
         if len(names) == 1:
             return rows
-        other = self._read(names[1]).select(*KEY, F.col("n_docs").alias("n"), F.col("last").alias("l"))
+        other = self._read(names[1]).select(*KEY, F.col("n_docs").alias("n"), F.col("last").alias("l"), F.col("fresh").alias("f"))
         return rows.join(other, KEY, "full").select(
-            *KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last", "l").alias("last"))
-
-    def add(self, lines: DataFrame) -> None:
-        """Take the lines (doc_id, h1, h2) of a batch in: its distinct keys are anti-joined with every run."""
-        counts = lines.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
-        keys = self._write(counts.repartition(self.buckets, *KEY), "keys")
-        runs = [name for level in self.fresh for name in level]
-        if not runs:
-            return self._push(self.fresh, keys, 0)
-        fresh = self._read(keys)
-        for name in runs:
-            fresh = fresh.join(self._read(name, *KEY), KEY, "left_anti")
-        fresh = self._write(fresh, "run")
-        again = self._write(self._read(keys).join(self._read(fresh, *KEY), KEY, "left_anti"), "repeats")
-        self._push(self.fresh, fresh, 0)
-        self._push(self.again, again, 0)
-
-    def _push(self, levels: list[list[str]], run: str, level: int) -> None:
-        if len(levels) == level:
-            levels.append([])
-        levels[level].append(run)
-        if len(levels[level]) == self.fan:
-            runs, levels[level] = levels[level], []
-            self._push(levels, self._write(self._merged(runs), "run"), level + 1)
+            *KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last", "l").alias("last"),
+            (F.coalesce("fresh", F.lit(False)) | F.coalesce("f", F.lit(False))).alias("fresh"))
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, last) of every key over all batches."""
-        return self._merged([name for level in self.fresh + self.again for name in level])
+        """(h1, h2, n_docs, last, fresh) of every key over all batches."""
+        return self._merged(self.runs())
 
     def close(self) -> None:
         for name in self.names:
@@ -120,7 +120,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     found = line_hashes(docs, id_col, text_col, least_chars, batches)
     folder = run_folder(spark, "line-hashes")
-    found.write.partitionBy("batch").parquet(folder)  # texts are read once for this, narrow rows afterwards
+    found.write.partitionBy("batch").option("compression", "uncompressed").parquet(folder)  # texts are read once for this, narrow rows afterwards
     hashed = spark.read.schema(found.schema).parquet(folder)
     runs = LineRuns(spark, fan)
     try:
