@@ -104,16 +104,16 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                         signature[:, at // bits] |= bit[:, k].astype(np.int64) << (at % bits)
             n = len(unit)
             spread = pa.array(np.repeat(np.arange(n), count))
-            yield {"rep": part.column(0).take(spread), "copies": part.column(4).take(spread), "label": part.column(1).take(spread),
+            yield {"key": part.column(5).take(spread), "rep": part.column(0).take(spread), "copies": part.column(4).take(spread), "label": part.column(1).take(spread),
                    "dim": part.column(3).take(spread), "band": np.tile(np.arange(count, dtype=np.int32), n), "bucket": signature.ravel(),
                    "signature": pa.array(signature.tolist()).take(spread), "v": part.column(2).take(spread)}
 
     kind = distinct.schema["label"].dataType.simpleString()
-    dealt = materialise(arrow_map(distinct.select("rep", "label", "v", "dim", "copies"), deal,
-                                  f"rep long, copies long, label {kind}, dim int, band int, bucket long, signature array<long>, v {distinct.schema['v'].dataType.simpleString()}", rows=256), "codes-dealt")
-    key = ["label", "dim", "band", "bucket"]
-    sized = dealt.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    placed = dealt.join(sized, key).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = materialise(arrow_map(distinct.select("rep", "label", "v", "dim", "copies", "key"), deal,
+                                  f"key string, rep long, copies long, label {kind}, dim int, band int, bucket long, signature array<long>, v {distinct.schema['v'].dataType.simpleString()}", rows=256), "codes-dealt")
+    place = ["label", "dim", "band", "bucket"]
+    sized = dealt.groupBy(*place).agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    placed = dealt.join(sized, place).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # every pair of blocks of a bucket once: a block goes to the pairs (part, x) with x >= part and (x, part) with x < part
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns(
         {"low": F.least("part", "other"), "high": F.greatest("part", "other")})
@@ -157,14 +157,14 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                         up[max(x, y)] = min(x, y)
         tops = np.array([root(i) for i in range(len(rep))])
         some = np.flatnonzero((links > 0) | (tops != np.arange(len(rep))))
-        return pa.table({"rep": rep[some], "links": links[some], "top": rep[tops[some]]})
+        return pa.table({"key": table.column("key").take(pa.array(some)), "rep": rep[some], "links": links[some], "top": rep[tops[some]]})
 
-    found = materialise(grouped(met.select(*key, "low", "high", "part", "rep", "copies", "signature", "v"), [*key, "low", "high"], compare,
-                                "rep long, links long, top long"), "codes-found")
+    found = materialise(grouped(met.select(*place, "low", "high", "part", "key", "rep", "copies", "signature", "v"), [*place, "low", "high"], compare,
+                                "key string, rep long, links long, top long"), "codes-found")
     same = usable.join(distinct.select("key", "rep"), "key").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
     classes = connected_components(found.select(F.col("rep").alias("u"), F.col("top").alias("v")).union(same), "codes-classes")
-    totals = found.groupBy("rep").agg(F.sum("links").alias("others"))
-    counts = distinct.select("key", "rep", "copies").join(totals, "rep", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    totals = found.groupBy("key").agg(F.sum("links").alias("others"))  # unlike vectors may share an id, never a key
+    counts = distinct.select("key", "copies").join(totals, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     per_row = usable.join(counts, "key").select("vec_id", "n_links").union(
         rows.filter(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long"))).union(
         usable.join(distinct.select("key"), "key", "left_anti").select("vec_id", F.lit(0).cast("long")))

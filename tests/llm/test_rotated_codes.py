@@ -51,6 +51,15 @@ def test_links_equal_brute_force(spark, block, bucket):
     assert got == brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for i, v, k in rows])
 
 
+def test_repeated_ids_with_unlike_vectors(spark):
+    rng = np.random.default_rng(9)
+    a, b = (rng.normal(size=16).astype(np.float32).tolist() for _ in range(2))
+    near = [[x + d for x in v] for v, d in ((a, 1e-3), (a, 2e-3), (b, 1e-3))]
+    rows = [(1, a, 1), (1, b, 1), (2, near[0], 1), (3, near[1], 1), (4, near[2], 1), (1, a, 1), (5, b, 2)]
+    got = sorted(tuple(r) for r in codes.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == brute(rows)
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 64))
