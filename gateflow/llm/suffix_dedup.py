@@ -234,19 +234,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A string of ``length`` bytes counts if it starts anywhere else, also in the same text and overlapping.
     Documents with null or equal ids are told apart by their text. ``keep`` names columns to carry along.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(plain, length, spread)
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    # a text that several equal rows hold repeats as a whole; one of the rows stands for it in what follows
+    equal = materialise(plain.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).filter("rows > 1")
+                        .select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), F.lit(True).alias("equal")), "suffix-equal")
+    same = F.expr("d.doc_id <=> e.of AND d.text_key = e.of_key")
+    if not equal.isEmpty():
+        marked = plain.alias("d").join(equal.alias("e"), same, "left")
+        once = marked.filter("equal").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+        ranges = repeated_ranges(marked.filter("equal IS NULL").select("doc_id", "text").unionByName(once.select("doc_id", "text")), length, spread)
+    else:
+        ranges = repeated_ranges(plain, length, spread)
     carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"),
                        carried.alias("carried"))
-    joined = (rows.alias("d").join(ranges.alias("r"), F.expr("d.doc_id <=> r.doc_id AND d.text_key = r.text_key"), "left")
-              .select("d.doc_id", "text", "ranges", "carried"))
+    marked = rows.alias("d").join(equal.alias("e"), same, "left").select("d.*", "equal")
+    joined = (marked.alias("d").join(ranges.alias("r"), F.expr("equal IS NULL AND d.doc_id <=> r.doc_id AND d.text_key = r.text_key"), "left")
+              .select("d.doc_id", "text", "ranges", "carried", "equal"))
 
     def cut(batch):
         data, bounds = text_bytes(batch.column(1))
         out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
-        for a, b, r in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(2).to_pylist(), strict=True):
-            spans = _union(r, b - a)
+        for a, b, r, whole in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            spans = [(0, b - a)] if whole and b - a >= length else _union(r, b - a)
             edges = [0, *[x for s in spans for x in s], b - a]
             out["kept"].append(b"".join(data[a + x: a + y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)))
             out["n_bytes"].append(b - a)

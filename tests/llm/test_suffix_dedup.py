@@ -39,6 +39,15 @@ def test_removed_bytes_equal_brute_force(spark, length, spread):
     assert {(r.rep, r.ranges) for r in got} == {(1, "r")}
 
 
+def test_equal_rows_are_gone_and_leave_others_right(spark):
+    whole, short, passage = words(40, 120), "short text", words(41, 90)
+    texts = [whole] * 200 + [short] * 5 + [whole[:500] + " " + words(42, 60), passage + " x", "y " + passage, None, None]
+    ids = [1] * 200 + [2] * 5 + [3, 4, 5, 6, 6]
+    done = suffix_dedup.remove_repeats(frame(spark, texts, ids)).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in done) == Counter(
+        (i, *x) for i, x in zip(ids, brute(texts, 400), strict=True))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_two_stage_order(seed):
     rng = random.Random(seed)
