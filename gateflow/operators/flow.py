@@ -98,6 +98,32 @@ def distinct_counts(swipes: DataFrame, column: str, grains: dict[str, Sequence[s
     )
 
 
+def device_bitmaps(swipes: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """Exact sets of whole numbers as bitmaps: (keys, bucket, bits) at the finest grain; NULL is in no set.
+
+    A bitmap has a fixed size and covers 32,768 numbers; others lie in further buckets. Rows are combined to distinct
+    (keys, value) before the shuffle, and the sets are built where they meet.
+    """
+    value = F.col(column).cast("long")
+    rows = swipes.select(*keys, value.alias("_v")).distinct()
+    return rows.groupBy(*keys, F.bitmap_bucket_number("_v").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.when(F.col("_v").isNotNull(), F.bitmap_bit_position("_v"))).alias("bits"))
+
+
+def distinct_by_bitmaps(sets: DataFrame, grains: dict[str, Sequence[str]]) -> DataFrame:
+    """Distinct values at several grains from stored finest sets, which are OR-ed upwards: one row per grain and group.
+
+    Unlike counts, sets of any days or slots can be merged later. One shuffle of bitmaps, combined on the map side.
+    """
+    keys = list(dict.fromkeys(k for grain in grains.values() for k in grain))
+    kinds = dict(sets.dtypes)
+    groups = F.explode(F.array(*[F.struct(F.lit(name).alias("grain"), *[
+        (F.col(k) if k in grain else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for name, grain in grains.items()]))
+    merged = (sets.select(groups.alias("g"), "bucket", "bits").groupBy("g", "bucket")
+              .agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")))
+    return merged.groupBy("g").agg(F.sum("n").alias("n")).select("g.*", "n")
+
+
 def add_distinct_counts(flow: DataFrame, swipes: DataFrame, column: str,
                         grains: dict[str, Sequence[str]]) -> DataFrame:
     """Distinct counts joined back to the flow rows, one column per grain.
@@ -116,18 +142,30 @@ def top_values(swipes: DataFrame, columns: Sequence[str], grain: Sequence[str])
 
     The columns are stacked, so one scan and one shuffle of counts serve all of them.
     """
-    stacked = swipes.select(*grain, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns])).alias("_p"))
-    counts = (stacked.groupBy(*grain, "_p._column", "_p._value").agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_value").isNotNull()))
+    return _tops(value_counts_by(swipes, columns, grain), columns, grain)
+
+
+def _tops(counts: DataFrame, columns: Sequence[str], grain: Sequence[str]) -> DataFrame:
     out = []
     for c in columns:
-        own = F.when(F.col("_column") == c, F.col("_value"))
-        weight = F.when(F.col("_column") == c, F.struct(F.col("_n"), -F.col("_value")))
+        own = F.when(F.col("column") == c, F.col("value"))
+        weight = F.when(F.col("column") == c, F.struct(F.col("n"), -F.col("value")))
         out += [F.max(own).alias(f"{c}_max"), F.max_by(own, weight).alias(f"{c}_mode")]
     return counts.groupBy(*grain).agg(*out)
 
 
+def top_of_counts(counts: DataFrame, columns: Sequence[str], grain: Sequence[str]) -> DataFrame:
+    """The same from stored value counts (keys, column, value, n) of a finer grain, which are added up."""
+    return _tops(counts.groupBy(*grain, "column", "value").agg(F.sum("n").alias("n")), columns, grain)
+
+
+def value_counts_by(swipes: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, column, value, n) of whole-number columns, one scan; NULL is no value."""
+    stacked = swipes.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("p"))
+    return stacked.filter("p.value IS NOT NULL").groupBy(*keys, "p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def largest_n(df: DataFrame, grain: Sequence[str], column: str, n: int) -> DataFrame:
     """The n largest values per group with their rank; equal values keep their multiplicity.
 

@@ -34,7 +34,7 @@ def adjacency_file(spark, sf_dir):
     """The matrix with ids in its header and first column, as a file and back to edges."""
     edges, folder = materialise(network_edges(spark, sf_dir), "edges"), run_folder(spark, "adjacency")
     matrix = edges.groupBy("src").pivot("dst").agg(F.lit(1)).na.fill(0)
-    matrix.repartition(1).write.option("header", True).csv(folder)  # one row per station
+    matrix.write.option("header", True).csv(folder)  # a row per station, each file with the header
     return dimensions.read_adjacency(spark, folder)
 
 

@@ -139,6 +139,27 @@ def distinct_devices_grains(spark, sf_dir):
     return counts.na.fill(-1)  # -1: the key is not part of the grain
 
 
+_DAY_GRAINS = GRAINS | {"s_d": ["stationID", "day"], "s_d_h": ["stationID", "day", "hour"]}
+
+
+def _day_grain_sql() -> str:
+    parts = []
+    for name, grain in _DAY_GRAINS.items():
+        shown = [f"{k if k in grain else -1} AS {k}" for k in ("stationID", "weekday", "hour", "minute")]
+        day = "strftime(swipe.day, '%Y-%m-%d')" if "day" in grain else "'all'"
+        parts.append(f"SELECT '{name}' AS grain, {day} AS day, {', '.join(shown)}, count(DISTINCT deviceID) AS n FROM swipe "
+                     f"GROUP BY {', '.join('swipe.day' if k == 'day' else k for k in grain)}")
+    return " UNION ALL ".join(parts)
+
+
+@query("distinct_devices_bitmaps", with_(SWIPE) + _day_grain_sql())
+def distinct_devices_bitmaps(spark, sf_dir):
+    """Exact device counts of the five grains and of days, from one stored table of bitmaps per slot and day."""
+    sets = flow.device_bitmaps(flow.with_grain_fields(swipes(spark, sf_dir)), "deviceID", ["stationID", "day", "weekday", "hour", "minute"])
+    counts = flow.distinct_by_bitmaps(materialise(sets, "bitmaps"), _DAY_GRAINS)
+    return counts.withColumn("day", F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("all"))).na.fill(-1)
+
+
 @query("distinct_devices_per_day", with_(FLOW) + """
 SELECT stationID, strftime(f.day, '%Y-%m-%d') AS day, slot, a.n AS dID_of_sID, b.n AS dID_of_sID_h,
        c.n AS dID_of_sID_hm
@@ -172,11 +193,11 @@ JOIN (SELECT {keys}, max(payType) AS payType_max, first(payType ORDER BY n DESC,
 
 @query("top_device_max_and_mode", with_(SWIPE) + " UNION ALL ".join(_top_sql(n, g) for n, g in _TOP_GRAINS.items()))
 def top_device_max_and_mode(spark, sf_dir):
-    """Three grains from one stored table of counts."""
-    sw = flow.with_grain_fields(swipes(spark, sf_dir)).select("stationID", "weekday", "hour", "deviceID", "payType")
-    sw = materialise(sw, "top")
-    parts = [flow.top_values(sw, ["deviceID", "payType"], g).select(
-        F.lit(n).alias("grain"), *[F.col(k) if k in g else F.lit(-1).alias(k) for k in ("stationID", "weekday", "hour")],
+    """Three grains from one stored table of counts at the finest of them; the swipes are read once."""
+    finest = _TOP_GRAINS["s_w_h"]
+    counts = materialise(flow.value_counts_by(flow.with_grain_fields(swipes(spark, sf_dir)), ["deviceID", "payType"], finest), "counts")
+    parts = [flow.top_of_counts(counts, ["deviceID", "payType"], g).select(
+        F.lit(n).alias("grain"), *[F.col(k) if k in g else F.lit(-1).alias(k) for k in finest],
         "deviceID_max", "deviceID_mode", "payType_max", "payType_mode") for n, g in _TOP_GRAINS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -114,10 +114,11 @@ def error_metrics(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c != "stationID"})
 
 
-@query("row_errors", with_(TWO) + """
-SELECT stationID, slot, abs(d.inNums - f1.inNums) AS absolute,
-       abs(d.inNums - f1.inNums) / nullif(abs(d.inNums + f1.inNums), 0) AS relative
-FROM dense d JOIN f1 USING (stationID, slot) WHERE d.day = DATE '2024-01-30'""")
+@query("row_errors", with_(DENSE) + """
+SELECT stationID, slot, abs(d.inNums - p.inNums)::DOUBLE AS absolute,
+       abs(d.inNums - p.inNums)::DOUBLE / nullif(abs(d.inNums + p.inNums), 0)::DOUBLE AS relative
+FROM (SELECT stationID, slot, inNums FROM dense WHERE day = DATE '2024-01-30') d
+JOIN (SELECT stationID, slot, inNums FROM dense WHERE day = DATE '2024-01-29') p USING (stationID, slot)""")
 def row_errors(spark, sf_dir):
     dense = materialise(dense_flow(spark, sf_dir), "dense")
     truth = dense.filter(F.col("day") == F.lit(FORECAST_DAY))

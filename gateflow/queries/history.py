@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from gateflow.constants import ANCHOR_CAP_BY_SPAN, TRAILING_WINDOWS_BY_SPAN
 from gateflow.functions import timefields as tf
-from gateflow.operators import flow, grid, history, trailing
+from gateflow.operators import expanding_state, flow, grid, history, trailing
 from gateflow.queries.flow import dense_flow, stored_flow, swipes
 from gateflow.queries.registry import BUSINESS, DENSE, FIRST_DAY, FLOW, HOLIDAYS, ORIGIN, day_text, query, with_
-from gateflow.session import materialise
+from gateflow.session import materialise, run_folder
+from gateflow.sources import swipes as src
 
 
 def indexed(df):
@@ -145,6 +146,21 @@ def expanding_stats(spark, sf_dir):
     return day_text(history.expanding_stats(rows).drop("weekday", "hour", "minute", "inNums", "outNums"))
 
 
+@query("expanding_incremental", with_(FLOW, f"e AS ({_EXPANDING_SQL})") + """
+SELECT * REPLACE (strftime(day, '%Y-%m-%d') AS day) FROM e""")
+def expanding_incremental(spark, sf_dir):
+    """The same statistics from daily files, fed one at a time: a step reads its own file and the state before it."""
+    files, folder = run_folder(spark, "swipes"), run_folder(spark, "state")
+    src.write_swipe_files(swipes(spark, sf_dir), files)
+    days = [r[0] for r in src.read_swipe_files(spark, files).select("fileDate").distinct().orderBy("fileDate").collect()]
+    for previous, day in zip([None, *days], days):
+        rows = tf.add_time_fields(flow.slot_flow(src.read_swipe_files(spark, files, day, day)))
+        expanding_state.advance(spark, folder, previous, day, rows)
+    rows = tf.add_time_fields(flow.slot_flow(src.read_swipe_files(spark, files)))
+    out = expanding_state.attach(rows, spark.read.parquet(folder), extra=["day"])
+    return day_text(out.drop("weekday", "hour", "minute", "inNums", "outNums"))
+
+
 @query("expanding_prev_day", with_(FLOW, f"e AS ({_EXPANDING_SQL})") + """
 SELECT f.stationID, strftime(f.day, '%Y-%m-%d') AS day, f.slot, f.inNums, f.outNums,
 """ + ", ".join(f"coalesce(e.{c}, 0) AS {c}_p" for c in _EXPANDING_NAMES) + """
@@ -237,14 +253,12 @@ _SPAN3_ALL = ", ".join(str(a) for a in trailing.anchors_before(21, 3))
 
 
 @query("anchor_training_set", _trailing_sql(
-    {"s_h": ["mean"], "s_w_h": ["mean", "median", "var"]}, (1, 3, 5, 10, 15),
+    trailing.DEFAULT_SPEC, (1, 3, 5, 10, 15),
     f"SELECT h.*, anchor FROM hist h JOIN anchors ON h.idx >= anchor AND h.idx < anchor + 3 AND h.idx < 21",
     f"SELECT unnest([{_SPAN3_ALL}]) AS anchor"))
 def anchor_training_set(spark, sf_dir):
-    """All anchors three days apart, label rows of the three days after each."""
-    rows = business_flow(spark, sf_dir)
-    out = trailing.anchor_training_set(rows, span=3, end=21, spec={"s_h": ["mean"], "s_w_h": ["mean", "median", "var"]})
-    return _trailing_output(out)
+    """All anchors three days apart, label rows of the three days after each, every grain."""
+    return _trailing_output(trailing.anchor_training_set(business_flow(spark, sf_dir), span=3, end=21))
 
 
 def _slip_labels(span: int) -> tuple[str, str]:

@@ -36,22 +36,24 @@ def column_profile(spark, sf_dir):
 
 
 @query("narrowed_columns", with_(SWIPE, _HOLES) + """
-SELECT event_id, time, lineID, userID, CAST(stationID AS TINYINT) AS stationID, CAST(deviceID AS TINYINT) AS deviceID,
+SELECT CAST(event_id AS INTEGER) AS event_id, time, lineID, userID, CAST(stationID AS TINYINT) AS stationID, CAST(deviceID AS TINYINT) AS deviceID,
        CAST(status AS TINYINT) AS status, CAST(payType AS TINYINT) AS payType, CAST(coalesce(device2, 9) AS TINYINT) AS device2,
        CAST(value AS FLOAT) AS value FROM h""")
 def narrowed_columns(spark, sf_dir):
-    """Every numeric column; the type of event_id follows the number of rows, so it keeps its own here."""
-    return profile.narrow(holed(spark, sf_dir), [c for c in _PROFILED if c != "event_id"])[0]
+    """Every numeric column. event_id is a smallint or an integer by the number of rows; both are shown as integers."""
+    narrowed = profile.narrow(holed(spark, sf_dir), _PROFILED)[0]
+    return narrowed.withColumn("event_id", F.col("event_id").cast("int"))
 
 
 # Every column; times as text, which both engines write alike.
 _COLUMNS = ["event_id", "timeText", "lineID", "stationID", "deviceID", "status", "userID", "payType", "value", "device2"]
-_TIMED = "h AS (SELECT *, strftime(time, '%Y-%m-%d %H:%M:%S') AS timeText, CASE WHEN deviceID >= 10 THEN deviceID END AS device2 FROM swipe)"
-_CODED = [c for c in _COLUMNS if c != "value"]  # the text of a fraction differs between engines
+_SHOWN = ["valueText" if c == "value" else c for c in _COLUMNS]  # the text of a fraction differs between engines: six decimals
+_TIMED = "h AS (SELECT *, CAST(CAST(value AS DECIMAL(18, 6)) AS VARCHAR) AS valueText, strftime(time, '%Y-%m-%d %H:%M:%S') AS timeText, CASE WHEN deviceID >= 10 THEN deviceID END AS device2 FROM swipe)"
 
 
 def timed(spark, sf_dir):
-    return holed(spark, sf_dir).withColumn("timeText", F.date_format("time", "yyyy-MM-dd HH:mm:ss")).drop("time")
+    return holed(spark, sf_dir).withColumns({"timeText": F.date_format("time", "yyyy-MM-dd HH:mm:ss"),
+                                             "valueText": F.col("value").cast("decimal(18,6)").cast("string")}).drop("time")
 
 
 def _counts_sql(columns) -> str:
@@ -59,10 +61,10 @@ def _counts_sql(columns) -> str:
         f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM h GROUP BY 2""" for c in columns)
 
 
-@query("value_frequencies", with_(SWIPE, _TIMED, f"c AS ({_counts_sql(_CODED)})") + """
+@query("value_frequencies", with_(SWIPE, _TIMED, f"c AS ({_counts_sql(_SHOWN)})") + """
 SELECT "column", coalesce(value, 'none') AS value, n, n / (SELECT count(*) FROM h) AS share FROM c""")
 def value_frequencies(spark, sf_dir):
-    return profile.value_frequencies(timed(spark, sf_dir), _CODED).na.fill("none", ["value"])
+    return profile.value_frequencies(timed(spark, sf_dir), _SHOWN).na.fill("none", ["value"])
 
 
 @query("column_stats", with_(SWIPE, _TIMED, f"c AS ({_counts_sql(_COLUMNS)})") + """
@@ -165,6 +167,14 @@ def dataset_equality(spark, sf_dir):
     return day_text(profile.differences(a, b))
 
 
+@query("preview", with_(SWIPE) + """
+SELECT event_id, stationID, deviceID, status, payType, lineID, userID FROM swipe ORDER BY event_id LIMIT 5""")
+def preview(spark, sf_dir):
+    """The first rows in the order of their ids: a top-k, no sort of the table."""
+    rows = swipes(spark, sf_dir).select("event_id", "stationID", "deviceID", "status", "payType", "lineID", "userID")
+    return profile.preview(rows.orderBy("event_id"))
+
+
 @query("union_unlike", with_(DENSE) + """
 SELECT stationID, strftime(flow.day, '%Y-%m-%d') AS day, slot, CAST(inNums AS DOUBLE) AS inNums,
        CAST(outNums AS DOUBLE) AS outNums FROM flow WHERE day < DATE '2024-01-30'

@@ -136,8 +136,9 @@ def _transfer_sql() -> str:
 def history_mean_transfer(spark, sf_dir):
     """The statistics of past days on their rows, their means at the same grains on the rows of the forecast day."""
     from gateflow.operators import grid
-    sw = flow.with_grain_fields(swipes(spark, sf_dir)).select("stationID", "day", "slot", "weekday", "hour", "minute", "deviceID", "payType", "status")
-    sw = materialise(sw, "fields")
+    fields = flow.with_grain_fields(swipes(spark, sf_dir))
+    # a row per device and slot has all that the coarser grains need; the swipes are read once and never copied
+    sw = materialise(fields.groupBy("stationID", "day", "slot", "weekday", "hour", "minute", "deviceID").agg(F.max("payType").alias("payType")), "fields")
     past = sw.filter(F.col("day") < F.lit(FORECAST_DAY))
     everything = sw.select("stationID", "day", "slot", "weekday", "hour", "minute").distinct()
     rows = everything.filter(F.col("day") < F.lit(FORECAST_DAY))

@@ -51,15 +51,17 @@ def rows_per_file(swipes: DataFrame) -> DataFrame:
     return swipes.groupBy("fileDate").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_swipe_files(swipes: DataFrame, folder: str, files: int = 1) -> None:
+def write_swipe_files(swipes: DataFrame, folder: str, rows_per_task: int = 2_000_000) -> None:
     """One folder of CSV files per day; the day stays in the path for pruning.
 
-    Rows are dealt by day and a salt first: a day has up to ``files`` files, however many tasks wrote it.
+    Rows are counted per day first: a day gets as many files as it has shares of ``rows_per_task`` rows, so neither a
+    day with very many swipes is written by one task nor a small one by many.
     """
+    rows = swipes.select([f.name for f in SWIPE_SCHEMA]).withColumn("record", F.date_format("time", "yyyy-MM-dd"))
+    shares = rows.groupBy("record").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).alias("shares"))
+    known = rows.alias("r").join(F.broadcast(shares).alias("s"), F.expr("r.record <=> s.record")).select("r.*", "shares")
     (
-        swipes.select([f.name for f in SWIPE_SCHEMA])
-        .withColumn("record", F.date_format("time", "yyyy-MM-dd"))
-        .repartition("record", F.pmod(F.xxhash64("userID", "time"), F.lit(files)))
+        known.repartition("record", F.pmod(F.xxhash64("userID", "time"), F.col("shares"))).drop("shares")
         .withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
         .write.mode("errorifexists").partitionBy("record").option("header", True).csv(folder)
     )
