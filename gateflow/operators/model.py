@@ -13,10 +13,10 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gateflow.session import shared_folder
+from gateflow.session import materialise, shared_folder
 
 T = TypeVar("T")
 
@@ -126,36 +126,81 @@ def fold_of(keys: Sequence[str], k: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(k)).cast("int")
 
 
+def ranked(df: DataFrame, keys: Sequence[str], seed: int, name: str) -> DataFrame:
+    """Rows with their exact rank from 0 by a seeded hash of the keys; ties of the hash are put in order by the keys.
+
+    Rows are dealt by ranges of the hash; the counts of the ranges tell each one the rank it starts at, so ranks are
+    exact without a sort in one task.
+    """
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in keys], F.lit(str(seed)))
+    order = ["_hash", *keys]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.withColumn("_hash", F.md5(text.cast("binary"))).repartitionByRange(parts, *order)
+                        .withColumn("_part", F.spark_partition_id()), "ranked")
+    held = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_held"))  # a row per range
+    before = held.select("_part", (F.sum("_held").over(Window.orderBy("_part")) - F.col("_held")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return (dealt.withColumn("_inside", inside).join(F.broadcast(before), "_part")
+            .withColumn(name, F.col("_before") + F.col("_inside")).drop("_hash", "_part", "_inside", "_before"))
+
+
+def balanced_folds(df: DataFrame, keys: Sequence[str], k: int, seed: int = 0) -> DataFrame:
+    """Shuffled folds whose sizes differ by one row at most: ``fold`` is the rank by a seeded hash, modulo ``k``."""
+    return ranked(df, keys, seed, "_rank").withColumn("fold", (F.col("_rank") % F.lit(k)).cast("int")).drop("_rank")
+
+
 def arithmetic_fold(k: int) -> Column:
     """Fold from station, business day and slot by plain arithmetic."""
     return ((F.col("stationID") * 31 + F.col("businessIndex") * 7 + F.col("slot")) % F.lit(k)).cast("int")
 
 
-def cross_fit(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, setting: Boosting, k: int = 5,
-              fold: Column | None = None, name: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold predictions of the training rows and fold-averaged predictions of the test rows."""
-    name = name or f"{label}_pred"
-    train = train.withColumn("fold", fold if fold is not None else fold_of(["stationID", "day", "slot"], k))
+def assembled(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = ()) -> tuple[PipelineModel, DataFrame, int]:
+    """(stages, stored rows, categories): rows with their feature vector, put together once for any number of fits."""
+    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_code", handleInvalid="keep", stringOrderType="alphabetAsc")
+                for c in categorical]
+    assembler = VectorAssembler(inputCols=[f"{c}_code" if c in categorical else c for c in features], outputCol="features", handleInvalid="keep")
+    filled = df.na.fill(0, list(features))
+    stages = Pipeline(stages=[*indexers, assembler]).fit(filled)
+    return stages, materialise(stages.transform(filled), "assembled"), max([len(s.labels) for s in stages.stages[:-1]], default=0)
+
+
+def fit_vectors(rows: DataFrame, label: str, setting: Boosting, categories: int = 0):
+    """One model on rows from ``assembled``."""
+    shared_folder(rows.sparkSession)
+    return GBTRegressor(
+        featuresCol="features", labelCol=label, predictionCol="prediction", maxIter=setting.rounds, stepSize=setting.rate,
+        maxDepth=setting.depth, subsamplingRate=setting.rows, maxBins=max(setting.bins, categories + 1), minInstancesPerNode=setting.min_rows,
+        lossType=setting.loss, seed=setting.seed, checkpointInterval=10).fit(rows)
+
+
+def stack(train: DataFrame, test: DataFrame, features: Sequence[str], labels: Sequence[str], setting: Boosting, k: int = 5,
+          categorical: Sequence[str] = (), keys: Sequence[str] = ("stationID", "day", "slot"), fold: Column | None = None,
+          threads: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cross-fit every label: out-of-fold forecasts of the training rows (``<label>_pred``, with their ``fold``), the mean
+    forecast of the folds per key of the test rows, and the mean absolute error per label and fold.
+
+    Rows are assembled and stored once; the fits of all folds and labels share them and run side by side. Folds are
+    scored apart and averaged by key, so no plan holds more than one fold's trees per label.
+    """
+    train = train.withColumn("fold", fold if fold is not None else fold_of(keys, k))
+    stages, ready, categories = assembled(train, features, categorical)
+    ahead = stages.transform(test.na.fill(0, [c for c in features if c in test.columns])).select(*keys, "features")
     models = side_by_side([
-        lambda i=i: fit(train.filter(F.col("fold") != i), features, label, setting, **options) for i in range(k)])
-    parts, sums = [], test
-    for i, model in enumerate(models):
-        parts.append(predict(model, train.filter(F.col("fold") == i), name))
-        sums = predict(model, sums, f"_p{i}")
-    mean = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(k)]) / F.lit(k)
-    return reduce(DataFrame.unionByName, parts), sums.withColumn(name, mean).drop(*[f"_p{i}" for i in range(k)])
-
-
-def stack(train: DataFrame, test: DataFrame, features: Sequence[str], labels: Sequence[str], setting: Boosting,
-          k: int = 5, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cross-fit every label; also returns the mean absolute error per label and fold."""
-    scores = []
-    for label in labels:
-        train, test = cross_fit(train, test, features, label, setting, k, **options)
-        scores.append(train.groupBy("fold").agg(F.avg(F.abs(F.col(label) - F.col(f"{label}_pred"))).alias("mae"))
-                      .withColumn("label", F.lit(label)))
-        train = train.drop("fold")
-    return train, test, reduce(DataFrame.unionByName, scores)
+        lambda i=i, c=c: fit_vectors(ready.filter(F.col("fold") != i), c, setting, categories) for i in range(k) for c in labels], threads)
+    known, future = [], []
+    for i in range(k):
+        part, later = ready.filter(F.col("fold") == i), ahead
+        for at, c in enumerate(labels):
+            name, m = f"{c}_pred", models[i * len(labels) + at]
+            part = m.transform(part).withColumnRenamed("prediction", name)
+            later = m.transform(later).withColumnRenamed("prediction", name)
+        known.append(part.drop("features"))
+        future.append(later.select(*keys, *[f"{c}_pred" for c in labels]))
+    oof = materialise(reduce(DataFrame.unionByName, known).drop(*[f"{c}_code" for c in categorical]), "out-of-fold")
+    mean = reduce(DataFrame.unionByName, future).groupBy(*keys).agg(*[F.avg(f"{c}_pred").alias(f"{c}_pred") for c in labels])
+    gaps = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.abs(F.col(c) - F.col(f"{c}_pred")).alias("gap")) for c in labels]))
+    scores = oof.select("fold", gaps.alias("g")).groupBy("fold", "g.label").agg(F.avg("g.gap").alias("mae"))
+    return oof, mean, scores
 
 
 def per_type(train: DataFrame, test: DataFrame, domain: Sequence, column: str,

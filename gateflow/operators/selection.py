@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gateflow.constants import QUASI_CONSTANT_SHARE
+from gateflow.operators import model
+from gateflow.session import materialise
 
 
 def dominant_values(df: DataFrame, columns: Sequence[str] | None = None,
@@ -58,6 +63,47 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
 
 
+def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of very many columns: one pass adds up the products of all pairs in one matrix.
+
+    Missing values count as 0, as in the fits. A plan holds one vector of the columns, not a field for each pair. The
+    matrix has a cell for each pair of columns; pairs with a constant column are left out.
+    """
+    columns = list(columns)
+    rows = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    vectors = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows).select("_x")
+    scaled = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(vectors).transform(vectors)
+    matrix = Correlation.corr(scaled, "_z").first()[0].toArray()
+    found = [(a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j and math.isfinite(matrix[i, j])]
+    return df.sparkSession.createDataFrame(found, "a STRING, b STRING, correlation DOUBLE")
+
+
+def partners(df: DataFrame, keys: Sequence[str], columns: Sequence[str], seed: int = 0, suffix: str = "_other") -> DataFrame:
+    """Every row with the values of another row: rows are ranked twice by seeded hashes, and equal ranks meet.
+
+    The values of a column so joined are a shuffled copy of it, the same on every run.
+    """
+    own = model.ranked(df, keys, seed, "_rank")
+    other = model.ranked(df.select(*dict.fromkeys([*keys, *columns])), keys, seed + 1, "_rank").select("_rank", *[F.col(c).alias(c + suffix) for c in columns])
+    return own.join(other, "_rank").drop("_rank")
+
+
+def permutation_importance(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], label: str,
+                           predict: Callable[[DataFrame], DataFrame], seed: int = 0) -> tuple[DataFrame, float]:
+    """(feature, importance) and the error as it is: how much the mean absolute error grows once a column is shuffled.
+
+    ``predict`` adds a column ``_pred``. All shuffled copies come from one join; each costs one scoring of the rows.
+    """
+    both = materialise(partners(rows, keys, columns, seed), "partners")
+
+    def error(scored: DataFrame) -> float:
+        return scored.agg(F.avg(F.abs(F.col(label) - F.col("_pred")))).first()[0]
+
+    base = error(predict(both))
+    grown = model.side_by_side([lambda c=c: error(predict(both.withColumn(c, F.col(f"{c}_other")))) - base for c in columns])
+    return rows.sparkSession.createDataFrame(list(zip(columns, grown)), "feature STRING, importance DOUBLE"), base
+
+
 def include(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The listed columns that exist, in the listed order."""
     return df.select(*[c for c in columns if c in df.columns])

@@ -22,7 +22,6 @@ def span_forecast(rows: DataFrame, cells: DataFrame, span: int, test_index: int,
     options = {"windows": windows, "spec": spec}
     train = materialise(trailing.anchor_training_set(known, span, test_index, **options), "anchors")
     test = trailing.add_trailing_stats(cells.withColumn("anchor", F.lit(test_index)), known, [test_index], **options)
-    test = materialise(test, "anchors")
     names = [c for c in train.columns if c not in NOT_FEATURES]
     _, scored, errors = model.stack(train, test, names, ["inNums", "outNums"], setting, folds)
     out = scored.select("stationID", "day", "slot", F.col("inNums_pred").alias("inNums"),
