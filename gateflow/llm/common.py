@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -9,13 +10,34 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gateflow.session import materialise, shared_folder
 
-__all__ = ["arrow_map", "grouped", "materialise", "mixed", "range_hash", "salted", "shared_folder", "ship", "shuffle_width",
-           "table", "text_bytes"]
+__all__ = ["arrow_map", "grouped", "holds", "materialise", "mixed", "numbered", "range_hash", "release", "salted", "shared_folder", "ship",
+           "shuffle_width", "table", "text_bytes"]
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, drop: Callable[[], None]) -> None:
+    """Name what a Python worker keeps from task to task; ``drop`` lets it go."""
+    _held[name] = drop
+
+
+def release(*needed: str) -> None:
+    """Let go of what tasks left in this Python worker, but for what ``needed`` names, and give freed memory back.
+
+    Workers live on between tasks and operators, and neither Arrow's pool nor the C library returns freed memory by itself.
+    """
+    for name, drop in _held.items():
+        if name not in needed:
+            drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,13 +67,32 @@ def salted(n: int, *columns: str):
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their exact rank from 0 in the order of some columns, without a sort in one task.
+
+    Rows are dealt by ranges; the counts of the ranges tell each one the rank it starts at.
+    """
+    dealt = materialise(df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    held = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
+    before = held.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return (dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range")
+            .withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside"))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str,
-              rows: int | None = None) -> DataFrame:
+              rows: int | None = None, needs: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; it returns columns (a dict), several of them, or None.
 
-    ``rows`` cuts a batch into slices of so many rows before the call, which bounds what a call holds.
+    ``rows`` cuts a batch into slices of so many rows before the call, which bounds what a call holds; ``needs`` names
+    what the worker shall keep between tasks.
     """
     def run(batches):
+        release(*needs)
+        yield from columns_of(batches)
+        release(*needs)
+
+    def columns_of(batches):
         types = arrow_schema
         for whole in batches:
             step = rows or max(1, whole.num_rows)
@@ -73,8 +114,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dic
 
 def grouped(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply ``fn`` to the rows of each key; callers keep keys small by blocks or salts."""
+    def run(rows: pa.Table) -> pa.Table:
+        out = fn(rows)
+        if rows.nbytes > 1 << 20:
+            release()
+        return out
+
     ship(df.sparkSession)
-    return df.groupBy(*keys).applyInArrow(fn, schema)
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +142,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLES = [np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
            for seed in (11, 12)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+holds("powers", _powers.clear)
 
 
 def _power_arrays(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:

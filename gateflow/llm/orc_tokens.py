@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = (rows.repartitionByRange(files or shuffle_width(docs.sparkSession), "doc_id")
              .sortWithinPartitions("doc_id", F.xxhash64("text")))
-    arrow_map(dealt, run, "doc_id long, ids array<int>", rows=256).write.options(**OPTIONS).orc(folder)
+    arrow_map(dealt, run, "doc_id long, ids array<int>", rows=256, needs=("words",)).write.options(**OPTIONS).orc(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", rows=256)
+    return arrow_map(rows, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", rows=256, needs=("words",))
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], float]]:

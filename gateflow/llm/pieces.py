@@ -169,7 +169,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, run, f"doc_id {kind}, ids array<int>, decoded string", rows=128).withColumnRenamed("doc_id", id_col)
+    return arrow_map(rows, run, f"doc_id {kind}, ids array<int>, decoded string", rows=128, needs=("words",)).withColumnRenamed("doc_id", id_col)
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,4 +185,4 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string", rows=128).withColumnRenamed("doc_id", id_col)
+    return arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string", rows=128, needs=("words",)).withColumnRenamed("doc_id", id_col)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from array import array
 
+from gateflow.llm.common import holds
+
 HELD = 600_000    # words of each of the two generations that are kept
 LONGEST = 64      # characters; longer words are encoded but not kept
 
@@ -67,6 +69,7 @@ class WordEncoder(KeptParts):
 
 
 _encoders: dict = {}
+holds("words", _encoders.clear)
 
 
 def encoder(kind: type[KeptParts], path: str):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gateflow.llm.common import materialise, ship
+from gateflow.llm.common import materialise, release, ship
 from gateflow.llm.langid import held_out
 
 # Seed words of the symbols, in English, German, French and Spanish.
@@ -235,12 +235,19 @@ def score_column(scorer: Scorer, text: Column) -> Column:
     """Score from 0 to 1 of a text column; a null or empty text has the score of a text without matched clauses."""
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
+        out = pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
+        release()
+        return out
     return run(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) of every row of ``docs``; ``labels`` has (doc_id, toxic)."""
+    """(id, held_out, score, predicted) of every row of ``docs``; ``labels`` has (doc_id, toxic).
+
+    Null and empty texts have the score of a text without matched clauses. Equal texts have equal scores, rows with equal
+    ids are scored apart, a null id is not held out and never learned from. Labels other than 0 and 1 are left out; without labels
+    the seed words and prior weights hold. Other columns are left alone; an empty table gives an empty result.
+    """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scorer = train(plain, labels)
     scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score_column(scorer, F.col(text_col)).alias("score"))
