@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 from array import array
 
+import numpy as np
+
 from gateflow.llm.common import holds
 
 HELD = 600_000    # words of each of the two generations that are kept
+TOGETHER = 256    # new words that the library encodes as one text
 LONGEST = 64      # characters; longer words are encoded but not kept
 
 
@@ -65,7 +68,16 @@ class WordEncoder(KeptParts):
         return text.replace("\n", " ").split(" ")
 
     def learn(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        """Ids of words, which go to the library as texts of TOGETHER words; the offsets of the tokens tell the word."""
+        groups = [parts[at: at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
+        out: list[bytes] = []
+        for words, found in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            starts = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+            of = np.searchsorted(starts, [at for at, _ in found.offsets], "right")
+            upto = 4 * np.searchsorted(of, np.arange(1, len(words) + 2))
+            ids = array("I", found.ids).tobytes()
+            out += [ids[x:y] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        return out
 
 
 _encoders: dict = {}
