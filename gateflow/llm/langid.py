@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gateflow.llm.common import arrow_map, ship, text_bytes
+from gateflow.llm.common import arrow_map, release, ship, text_bytes
 
 UNKNOWN = "und"
 WINDOW = 96          # bytes read from a fresh state
@@ -162,9 +162,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     The sample takes the smallest hashes of the ids. Without labelled rows the network knows no language.
     """
-    rows = (docs.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-            .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("turn")))
-    top = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("turn"))).filter(F.col("place") <= sample)
+    known = (docs.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+             .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("turn"),
+                     F.xxhash64(F.col(text_col)).alias("content")))
+    # narrow rows decide; the few texts follow. Equal rows are one
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "content"))
+    chosen = known.select("lang", "turn", "content").distinct().withColumn("place", place).filter(F.col("place") <= sample).drop("place")
+    top = (known.join(F.broadcast(chosen), ["lang", "turn", "content"])  # at most ``sample`` rows of a language
+           .groupBy("lang", "turn", "content").agg(F.first("text").alias("text")))
 
     def windows(batch):
         data, bounds = text_bytes(batch.column(1))
@@ -201,7 +206,9 @@ def language(net: ByteGru, text: Column) -> Column:
             else:
                 names += [UNKNOWN] * (len(bounds) - 1)
                 scores += [0.0] * (len(bounds) - 1)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        out = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        release()
+        return out
 
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     none = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -209,7 +216,12 @@ def language(net: ByteGru, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row, by a network trained on the rows that are not held out."""
+    """(id, held_out, lang_pred, score) of every row, by a network trained on the rows that are not held out.
+
+    Null texts, empty ones and those without a letter are ``und`` with score 0. Equal texts have equal predictions, rows
+    with equal ids are scored apart, a null id is not held out and never learned from. Without labelled rows every text
+    is ``und``. Other columns are left alone; an empty table gives an empty result.
+    """
     net = train(docs, id_col, text_col, lang_col)
     ship(docs.sparkSession)
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), language(net, F.col(text_col)).alias("p")).select(
