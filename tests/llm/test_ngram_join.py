@@ -12,13 +12,13 @@ from tests.llm.data import awkward, frame, words
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def shingles(text):
+def shingles(text, width=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return {tuple(w[k: k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[k: k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def brute(ids, texts):
-    sets, up = [shingles(t) for t in texts], {i: i for i in ids if i is not None}
+def brute(ids, texts, width=4, percent=85):
+    sets, up = [shingles(t, width) for t in texts], {i: i for i in ids if i is not None}
 
     def root(x):
         while up[x] != x:
@@ -27,7 +27,7 @@ def brute(ids, texts):
     for a in range(len(ids)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if None not in (ids[a], ids[b]) and both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if None not in (ids[a], ids[b]) and both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = root(ids[a]), root(ids[b])
                 up[max(x, y)] = min(x, y)
     return sorted((str(i), len(s), str(root(i)) if i is not None else "None") for i, s in zip(ids, sets, strict=True))

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tests.llm import test_ngram_join, test_suffix_dedup
 from tests.llm.data import words
 from tokenizers import Tokenizer
@@ -39,7 +40,7 @@ def test_stages(spark, tmp_path):
     languages, toxicity, near_copies, passages, packed = ([tuple(r) for r in k.collect()] for k in kept[1:])
     assert sorted(r[0] for r in languages) == sorted(i for i in ids if i not in (105, 106, None))
     assert sorted(r[0] for r in toxicity) == sorted(r[0] for r in languages if not (r[0] < 60 and r[0] % 4 == 0))
-    plain = test_ngram_join.brute([r[0] for r in toxicity], [r[1] for r in toxicity])
+    plain = test_ngram_join.brute([r[0] for r in toxicity], [r[1] for r in toxicity], 5, 80)
     assert sorted(r[0] for r in near_copies) == sorted({int(i) for i, _, root in plain if i == root})
     assert 100 not in {r[0] for r in near_copies} and 101 not in {r[0] for r in near_copies}
     before = {r[0]: r[1] for r in near_copies}
@@ -69,3 +70,32 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark):
         rows.append((i, text, "en", "s", len(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").sort("doc_id").collect()] == [0, 2]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found long, number long, content string, row string, kept string"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7, 8, "c", "r", "k") for i, t in rows], SCHEMA)
+
+
+def test_equal_ids_with_unlike_texts_are_documents_of_their_own(spark):
+    a, b = words(600, 60), words(601, 60)
+    rows = [(1, a), (1, b), (2, b), (3, a), (1, a), (4, words(602, 60)), (None, a), (None, a)]
+    got = corpus_pipeline.near_duplicate_stage(spark, documents(spark, rows), "")
+    assert got.columns == documents(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, a), (1, b), (4, rows[5][1]), (0, a), (0, a)])
+    assert {(r.found, r.number, r.content, r.row) for r in got.collect()} == {(7, 8, "c", "r")}
+
+
+def test_language_stage_keeps_columns_and_rejects_what_no_language_fits(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(["the", "house", "and", "water", "of"], k=30))) for k in range(40)]
+    rows += [(100 + k, " ".join(rng.choices(["der", "und", "wasser", "ein", "haus"], k=30))) for k in range(40)]
+    docs = documents(spark, rows + [(300, "12 34"), (301, None), (302, words(7, 20_000))])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") >= 100, "de").otherwise("en"))
+    got = corpus_pipeline.language_stage(spark, docs, "")
+    assert got.columns == docs.columns and {r.found for r in got.collect()} == {7}
+    assert {r.doc_id for r in got.collect()} >= {i for i, _ in rows} and not {300, 301} & {r.doc_id for r in got.collect()}
+    monkeypatch.setattr(corpus_pipeline, "LEAST_MARGIN", 2.1)  # more than certain with two languages
+    assert corpus_pipeline.language_stage(spark, docs, "").count() == 0
