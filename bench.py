@@ -21,7 +21,7 @@ HEADLINE = [
     "anchor_training_set", "group_stats", "baseline_stats", "feat_stats", "night_profile", "column_profile",
     "value_frequencies", "quasi_constant", "feature_correlation", "dataset_equality", "neighbour_list", "dim_enrich",
     "regular_riders", "next_swipe", "od_trips", "blend", "postprocess", "profile_scaling", "triple_smoothing",
-    "week_over_week", "streaming_slot_flow", "gbt_forecast",
+    "week_over_week", "distinct_devices_bitmaps", "balanced_folds", "streaming_slot_flow", "gbt_forecast",
 ]
 
 
