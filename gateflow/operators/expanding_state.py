@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,35 +20,40 @@ GRAINS = {"h": ["stationID", "hour"], "hm": ["stationID", "hour", "minute"],
 COLUMNS = {"in": "inNums", "out": "outNums"}
 
 
-def day_partials(rows: DataFrame, grains: dict[str, Sequence[str]] = GRAINS, columns: dict[str, str] = COLUMNS) -> DataFrame:
-    """(grain, keys, partials) of some rows; a key that is not part of a grain is NULL."""
+def row_partials(rows: DataFrame, grains: dict[str, Sequence[str]] = GRAINS, columns: dict[str, str] = COLUMNS) -> DataFrame:
+    """(grain, keys, partials) of each row for itself; a key that is not part of a grain is NULL."""
     keys = list(dict.fromkeys(k for grain in grains.values() for k in grain))
     kinds = dict(rows.dtypes)
     groups = F.array(*[F.struct(F.lit(name).alias("grain"), *[
         (F.col(k) if k in grain else F.lit(None).cast(kinds[k])).alias(k) for k in keys]) for name, grain in grains.items()])
-    aggs = [e for p, c in columns.items() for e in (
-        F.max(c).alias(f"{p}_max"), F.min(c).alias(f"{p}_min"), F.sum(c).alias(f"{p}_sum"), F.count(c).alias(f"{p}_n"))]
-    return rows.select(F.explode(groups).alias("g"), *columns.values()).groupBy(*[F.col(f"g.{k}").alias(k) for k in ("grain", *keys)]).agg(*aggs)
+    parts = [e for p, c in columns.items() for e in (
+        *[F.col(c).alias(f"{p}_{s}") for s in ("max", "min", "sum")], F.col(c).isNotNull().cast("long").alias(f"{p}_n"))]
+    return rows.select(F.explode(groups).alias("g"), *columns.values()).select("g.*", *parts)
 
 
-def merge(state: DataFrame, partials: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame:
-    """Both states as one."""
-    keys = [c for c in partials.columns if c.rsplit("_", 1)[0] not in columns]
+def merge(*states: DataFrame, columns: dict[str, str] = COLUMNS) -> DataFrame:
+    """All partials as one state; one shuffle, combined on the map side."""
+    keys = [c for c in states[0].columns if c.rsplit("_", 1)[0] not in columns]
     aggs = [f(f"{p}_{s}").alias(f"{p}_{s}") for p in columns for s, f in (("max", F.max), ("min", F.min), ("sum", F.sum), ("n", F.sum))]
-    return state.unionByName(partials).groupBy(*keys).agg(*aggs)
+    return reduce(DataFrame.unionByName, states).groupBy(*keys).agg(*aggs)
+
+
+def day_partials(rows: DataFrame, grains: dict[str, Sequence[str]] = GRAINS, columns: dict[str, str] = COLUMNS) -> DataFrame:
+    """(grain, keys, partials) of some rows."""
+    return merge(row_partials(rows, grains, columns), columns=columns)
 
 
 def version(folder: str, day: dt.date) -> str:
     return f"{folder}/day={day:%Y-%m-%d}"
 
 
-def step(spark: SparkSession, folder: str, previous: dt.date | None, day: dt.date, rows: DataFrame, **options) -> DataFrame:
+def step(spark: SparkSession, folder: str, previous: dt.date | None, day: dt.date, rows: DataFrame,
+         grains: dict[str, Sequence[str]] = GRAINS, columns: dict[str, str] = COLUMNS) -> DataFrame:
     """The state after ``day``: the version of ``previous`` merged with the rows of the day alone."""
-    partials = day_partials(rows, **options)
+    own = row_partials(rows, grains, columns)
     if previous is None:
-        return partials
-    merged = {k: v for k, v in options.items() if k == "columns"}
-    return merge(spark.read.schema(partials.schema).parquet(version(folder, previous)), partials, **merged)
+        return merge(own, columns=columns)
+    return merge(spark.read.schema(merge(own, columns=columns).schema).parquet(version(folder, previous)), own, columns=columns)
 
 
 def advance(spark: SparkSession, folder: str, previous: dt.date | None, day: dt.date, rows: DataFrame, **options) -> None:
