@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateflow.llm.common import arrow_map, grouped, materialise, mixed, range_hash, ship, shuffle_width, text_bytes
+from gateflow.llm.common import arrow_map, grouped, materialise, mixed, range_hash, release, ship, shuffle_width, text_bytes
 from gateflow.llm.components import connected_components
 
 CELLS_LOG2 = 20      # hashed cells of the document frequencies
@@ -213,6 +213,9 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
         if held:
             close()
         yield from flush()
+        held = []
+        met.clear()
+        release()
 
     dealt = arrow_map(docs.select("doc_id", "text"), deal, kind, rows=BATCH)
     return materialise(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
