@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc  # pa.compute is there only once something has imported it
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -89,13 +90,13 @@ def block_pairs(rows: pa.Table) -> pa.Table:
     Rows with a term hold a source's share of it; rows without one name the sources of both tiles and their share of a
     term that they don't hold. Of a block of one tile with itself, every ordered pair comes out; of two tiles, both orders.
     """
-    heads = rows.filter(pa.compute.is_null(rows["term"]))
+    heads = rows.filter(pc.is_null(rows["term"]))
     sources = heads["source"].to_pylist()
     side = np.array(heads["tile"].to_pylist())
     none = np.array(heads["p"].to_pylist(), np.int64)
-    given = rows.filter(pa.compute.is_valid(rows["term"]))
+    given = rows.filter(pc.is_valid(rows["term"]))
     place = {s: i for i, s in enumerate(sources)}
-    codes = pa.compute.dictionary_encode(given["term"].combine_chunks()) if given.num_rows else None
+    codes = pc.dictionary_encode(given["term"].combine_chunks()) if given.num_rows else None
     n = len(codes.dictionary) if codes is not None else 0
     shares = np.repeat(none[:, None], n, axis=1)
     if n:

@@ -98,3 +98,12 @@ def test_pointers_are_sorted_as_bytes():
     found = shard.words(order).to_pylist()
     assert found == sorted((t for text in texts for t in terms(text)), key=str.encode)
     assert [int(a != b) for a, b in zip(found, found[1:], strict=False)] == np.diff(run).tolist()
+
+
+def test_blocks_in_a_fresh_worker(monkeypatch):
+    """A worker whose first task is a block has imported pyarrow alone, of which compute is no part."""
+    monkeypatch.delattr(pa, "compute")
+    rows = [("en", s, 0, t, p, 0, 0, 0) for s, t, p in (("a", None, 2), ("b", None, 3), ("a", "x", 10))]
+    names = ["lang", "source", "tile", "term", "p", "block", "tile_a", "tile_b"]
+    found = source_audit.block_pairs(pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=names))
+    assert found.to_pylist() == [{"lang": "en", "source": s, "item": o, "value": 3, "terms": 1} for s, o in ("ab", "ba")]
