@@ -113,9 +113,11 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(0)).otherwise(tree(0, len(bounds) - 1)) if bounds else F.lit(0)
 
 
-def with_next(rows: DataFrame, parts: int) -> DataFrame:
+def with_next(rows: DataFrame, parts: int, derived: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` (doc_id, ...) with dest, rid and ``next``, the row that follows in descending doc_id; the first follows the last.
 
+    ``derived`` columns are made once the rows are dealt, so they take no room in the shuffle.
+
     Null ids come last, equal ids in the order of their texts. Rows are dealt by quantiles of the ids, which are ids
     of the table, so the first row of each range is known and also sent, as a guest, to the range that ends before it.
     """
@@ -126,8 +128,10 @@ def with_next(rows: DataFrame, parts: int) -> DataFrame:
     heads = F.col("doc_id").isin(bounds) if len(bounds) <= 1 else F.array_contains(F.lit(bounds), F.col("doc_id"))
     dealt = rows.select("*", F.posexplode(F.when(F.coalesce(heads, F.lit(False)), F.array(own, (own + 1) % max(1, len(bounds)))).otherwise(
         F.array(own))).alias("guest", "dest"))
+    if derived:
+        dealt = dealt.repartition("dest").withColumns(derived)
     order = Window.partitionBy("dest").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    names = [c for c in rows.columns]
+    names = [*rows.columns, *(derived or {})]
     follow = F.lead(F.struct(*names)).over(order)
     if not bounds:  # no ids at all: one range, whose first row follows its last
         follow = F.coalesce(follow, F.first(F.struct(*names)).over(order))
@@ -153,12 +157,11 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     parts = 4 * shuffle_width(spark)  # small enough for the aggregations of a bucket to stay in memory
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("own", paragraph_digests(F.col("text"), unit))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
-    made = (with_next(rows, parts).select("dest", "rid", "doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"),
-                                          edited.alias("text"))
+    dealt = with_next(rows, parts, {"own": paragraph_digests(F.col("text"), unit)})
+    made = (dealt.select("dest", "rid", "doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"), edited.alias("text"))
             .select("dest", "rid", "doc_id", "n_chars", "own", "after", F.sha2("text", 256).alias("edited_sha256"),
                     paragraph_digests(F.col("text"), unit).alias("edited")))
     # bucketed by dest as it is already dealt: what follows groups within a row and needs no shuffle

@@ -48,6 +48,21 @@ def test_main_path_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_digests_are_made_after_the_shuffle(spark, monkeypatch):
+    """Only ids and texts travel: digests do not compress, and the shuffle is most of the disk."""
+    plans, dealing = [], iblt.with_next
+
+    def seen(*args, **options):
+        out = dealing(*args, **options)
+        plans.append(out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return out
+
+    monkeypatch.setattr(iblt, "with_next", seen)
+    assert iblt.version_fingerprints(frame(spark, ["One. Two.", "Three."], [7, 7])).count() == 2
+    shuffled = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plans[0])
+    assert [re.sub(r"#\d+L?", "", x) for x in shuffled] == ["doc_id, text, guest, dest"]
+
+
 SENTENCE_UNIT = re.compile(r"[^ \t\n\x0b\f\r][^\n.!?]{0,95}[^ \t\n\x0b\f\r.!?]*[.!?]*")
 
 
