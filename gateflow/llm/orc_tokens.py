@@ -38,7 +38,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     """
     def run(batch):
         use, tail = word_encoder(tokenizer), int(end).to_bytes(4, "little")
-        ids = [x + tail for x in use.encode(batch.column(1).to_pylist())]
+        ids = [x + tail for x in use.encode(batch.column(1))]
         bounds = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
         return {"doc_id": batch.column(0),
                 "ids": pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(ids), np.int32)))}

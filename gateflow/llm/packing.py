@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def cut(batch):
         encoder, tail = word_encoder(tokenizer), int(end).to_bytes(4, "little")
         out = {c: [] for c in ("row", "piece", "start", "length", "ids_crc32")}
-        for row, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
+        for row, ids in enumerate(encoder.encode(batch.column(1))):
             ids += tail
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at: at + 4 * capacity]

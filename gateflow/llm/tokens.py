@@ -6,12 +6,15 @@ import os
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from gateflow.llm.common import holds
 
 HELD = 600_000    # words of each of the two generations that are kept
 TOGETHER = 256    # new words that the library encodes as one text
 LONGEST = 64      # characters; longer words are encoded but not kept
+GATHERED = 1 << 16  # words of a batch whose ids are put together at once
 
 
 class KeptParts:
@@ -30,25 +33,31 @@ class KeptParts:
     def learn(self, parts: list[str]) -> list[bytes]:
         raise NotImplementedError
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(t) if t else [] for t in texts]
+    def known(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts; new ones are learned and kept."""
         if len(self.young) > HELD:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = set().union(*split).difference(young)
+        found = list(map(young.get, parts))
         missing = []
-        for part in new:
-            ids = old.get(part)
+        for i, ids in enumerate(found):
             if ids is None:
-                missing.append(part)
-            else:
-                young[part] = ids
-        young.update(zip(missing, self.learn(missing), strict=True))
-        out = [b"".join(map(young.__getitem__, parts)) for parts in split]
-        for part in missing:
-            if len(part) > LONGEST:
-                del young[part]
-        return out
+                found[i] = ids = old.get(parts[i])
+                if ids is None:
+                    missing.append(i)
+                else:
+                    young[parts[i]] = ids
+        for i, ids in zip(missing, self.learn([parts[i] for i in missing]), strict=True):
+            found[i] = ids
+            if len(parts[i]) <= LONGEST:
+                young[parts[i]] = ids
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.split(t) if t else [] for t in texts]
+        distinct = list(set().union(*split))
+        ids = dict(zip(distinct, self.known(distinct), strict=True))
+        return [b"".join(map(ids.__getitem__, parts)) for parts in split]
 
 
 class WordEncoder(KeptParts):
@@ -64,8 +73,26 @@ class WordEncoder(KeptParts):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
 
-    def split(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ")
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text; Arrow splits the texts and numbers their distinct words, so only these become Python strings."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ids = self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pool = np.frombuffer(b"".join(ids), np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, of = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        parts = []
+        for at in range(0, len(of), GATHERED):
+            some = of[at: at + GATHERED]
+            n = sizes[some]
+            upto = np.cumsum(n)
+            parts.append(pool[np.repeat(starts[some] - upto + n, n) + np.arange(upto[-1])].tobytes())
+        flat = b"".join(parts)
+        bounds = np.r_[0, np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy())]
+        upto = (4 * np.r_[0, np.cumsum(sizes[of])][bounds]).tolist()
+        return [flat[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """Ids of words, which go to the library as texts of TOGETHER words; the offsets of the tokens tell the word."""
