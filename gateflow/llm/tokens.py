@@ -60,29 +60,85 @@ class KeptParts:
         return [b"".join(map(ids.__getitem__, parts)) for parts in split]
 
 
-class WordEncoder(KeptParts):
+class KeptWords:
+    """Words and their ids in Arrow arrays, found by their sorted hashes: about a third of what strings in a dict take."""
+
+    def __init__(self):
+        self.hashes, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def find(self, hashes: np.ndarray, words: pa.Array) -> np.ndarray:
+        """Row of each word, or -1. Of kept words with equal hashes the first one is found."""
+        found = np.full(len(hashes), -1, np.int64)
+        if len(self):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+            met = np.flatnonzero(self.hashes[at] == hashes)
+            rows = self.rows[at[met]]
+            same = pc.equal(self.words.take(pa.array(rows)), words.take(pa.array(met))).to_numpy(zero_copy_only=False)
+            found[met[same]] = rows[same]
+        return found
+
+    def add(self, hashes: np.ndarray, words: pa.Array, ids: pa.Array) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.rows = np.insert(self.rows, at, order + len(self))
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = pa.concat_arrays([self.ids, ids.cast(pa.binary())])
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(hash, words), np.int64, len(words))
+
+
+class WordEncoder:
     """For tokenizers whose tokens never reach across white space.
 
     Normalisation, special strings and merges of such a tokenizer stay inside the words between blanks or line ends,
-    so the ids of a text are those of its words in turn; the library encodes every distinct word.
+    so the ids of a text are those of its words in turn; the library encodes every distinct word. Words are kept in two
+    generations of bounded size; the older one is dropped when the younger is full.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        self.newer, self.older = KeptWords(), KeptWords()
+
+    def known(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words as large binaries; new ones are learned and kept."""
+        if len(self.newer) > HELD:
+            self.older, self.newer = self.newer, KeptWords()
+        texts = words.to_numpy(zero_copy_only=False).tolist()
+        hashes = word_hashes(texts)
+        rows = self.newer.find(hashes, words)
+        held, rest = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        before = self.older.find(hashes[rest], words.take(pa.array(rest)))
+        again, missing = rest[before >= 0], rest[before < 0]
+        learned = self.learn([texts[i] for i in missing])
+        order = np.concatenate([held, again, missing])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids = pa.concat_arrays([self.newer.ids.take(pa.array(rows[held])).cast(pa.large_binary()),
+                                self.older.ids.take(pa.array(before[before >= 0])).cast(pa.large_binary()),
+                                pa.array(learned, pa.large_binary())]).take(pa.array(place))
+        kept = np.concatenate([again, np.array([i for i in missing if len(texts[i]) <= LONGEST], np.int64)])
+        self.newer.add(hashes[kept], words.take(pa.array(kept)), ids.take(pa.array(kept)))
+        return ids
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
-        """Ids of each text; Arrow splits the texts and numbers their distinct words, so only these become Python strings."""
+        """Ids of each text; Arrow splits the texts and numbers their distinct words, each of which is looked up once."""
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        ids = self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts, of = np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        ids = self.known(words.dictionary)
+        pool = np.frombuffer(ids.buffers()[2] or b"", np.uint32)
+        upto = np.frombuffer(ids.buffers()[1] or bytes(8), np.int64)[: len(ids) + 1] // 4
+        starts, sizes, of = upto[:-1], np.diff(upto), words.indices.to_numpy()
         parts = []
         for at in range(0, len(of), GATHERED):
             some = of[at: at + GATHERED]
@@ -111,7 +167,7 @@ _encoders: dict = {}
 holds("words", _encoders.clear)
 
 
-def encoder(kind: type[KeptParts], path: str):
+def encoder(kind: type[KeptParts] | type[WordEncoder], path: str):
     """The encoder of this Python process for a tokenizer file."""
     if (kind, path) not in _encoders:
         _encoders[kind, path] = kind(path)

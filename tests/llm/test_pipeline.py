@@ -62,6 +62,17 @@ def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_passage_stage_runs_one_python_function_after_the_last_join(spark):
+    """With two of them every executor had twice as many workers, up to packing."""
+    passage = words(900, 90, 300)
+    rows = [(k, words(k, 20) + " " + passage, "en", "s", 1) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    done = corpus_pipeline.repeated_passage_stage(spark, docs, "")
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert all(passage not in r.text and r.n_chars == len(r.text) for r in done.collect())
+
+
 def test_near_duplicates_by_five_words_and_four_fifths(spark):
     """Two edits of 100 words: likeness 86 / 106 of five-word shingles, 89 / 105 of four-word ones; three edits: 81 / 111."""
     base, rows = words(500, 100, 10**6).split(), []

@@ -72,5 +72,18 @@ def test_segments_find_the_same_anchors(monkeypatch):
     assert {s for s, _ in starts(whole)} == {s for s, _ in starts(parts)} == set(range(len(data) - 99))
 
 
+def test_remaining_text_needs_one_python_function(spark):
+    """A second function in the stage doubled the workers, which later stages kept."""
+    passage = words(50, 100)
+    texts = ["é" * 3 + passage + "ß x", "è" + passage + "à", "é" * 401, None, "short \ufffd"]
+    done = suffix_dedup.remove_repeats(frame(spark, texts), as_text=True, keep=("rep",))
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and done.schema["kept"].dataType.simpleString() == "string"
+    plain = {r.doc_id: bytes(r.kept).decode("utf-8", "ignore") for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    got = {r.doc_id: r.kept for r in done.collect()}
+    assert got == plain and got[4] == texts[4] and got[3] == ""
+    assert passage not in got[0]
+
+
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(frame(spark, ["x"]).limit(0)).count() == 0

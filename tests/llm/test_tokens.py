@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter
@@ -51,6 +52,31 @@ def test_a_batch_looks_each_distinct_word_up_once():
     assert encoder.encode(texts.slice(0, 0)) == [] and encoder.encode([None]) == [b""]
 
 
+def test_kept_words_take_little_memory_and_are_found_in_both_generations(monkeypatch):
+    """Strings and bytes in two dicts took about 150 bytes a word: four workers with full stores broke an executor's limit."""
+    monkeypatch.setattr(tokens, "HELD", 20_000)
+    encoder, asked = tokens.WordEncoder(WORD), []
+    monkeypatch.setattr(encoder, "learn", lambda parts: asked.append(len(parts)) or [b"\1\0\0\0\2\0\0\0"] * len(parts))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    for k in range(3):
+        encoder.encode([" ".join(f"{i:08x}" for i in range(10_500 * k, 10_500 * (k + 1)))])
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert asked == [10_500] * 3 and taken < 60 * 31_500
+    encoder.encode([" ".join(f"{i:08x}" for i in range(0, 31_500, 7))])
+    assert sum(asked) == 31_500
+
+
+def test_words_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "word_hashes", lambda some: np.array([len(w) % 2 for w in some], np.int64))
+    library, encoder = Tokenizer.from_file(WORD), tokens.WordEncoder(WORD)
+    texts = [words(k, 200, 100) + " é\x00 a<|endoftext|>b  \n" for k in range(3)]
+    want = [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    for _ in range(2):
+        assert [encoder.encode([t])[0] for t in texts] == want
+
+
 def lattice(v, text):
     """Best path over all pieces, without windows."""
     best = [(0.0, 0, None)] + [None] * len(text)
